@@ -96,9 +96,9 @@ def join_08_rule_diff(s, d):
     return rules.rule_diff(old, new, ["p_partkey"])
 
 
-@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_orderdate < date '1993-01-01')")
+@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_totalprice > 300000)")
 def join_11_unknown_targets(s, d):
-    return table(s, d, "customer").join(table(s, d, "orders").where("o_orderdate < date '1993-01-01'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+    return table(s, d, "customer").join(table(s, d, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
 
 
 @query("""select r_name, n_name, count(distinct c_custkey) as customers, count(o_orderkey) as orders, round(sum(o_totalprice::double), 2) as total from region join nation on n_regionkey = r_regionkey join customer on c_nationkey = n_nationkey left join orders on o_custkey = c_custkey group by 1, 2""")
