@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: Quantities by keyword, first match wins.
 GROUPS = [
@@ -38,7 +39,7 @@ def dimension_score(target: Column, source: Column, same_bits: Column) -> Column
     return F.when(conflict(target, source), 0.0).when(target == source, 100.0).when(same_bits, 80.0).when(target.isNull() & source.isNull(), 60.0).otherwise(35.0)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity of two texts; null as empty."""
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)], dtype="float64")
