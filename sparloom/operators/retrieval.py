@@ -97,7 +97,7 @@ def with_lists(vectors: DataFrame, centroids: np.ndarray, probes: int = 1, key:
     return vectors.where(F.col(column).isNotNull()).select(key, column).mapInArrow(run, f"{key} bigint, {column} array<float>, list int")
 
 
-def ivf_search(vectors: DataFrame, queries: DataFrame, k: int, lists: int = 64, probes: int = 16, key: str = "vec_id", column: str = "embedding") -> DataFrame:
+def ivf_search(vectors: DataFrame, queries: DataFrame, k: int, lists: int = 32, probes: int = 24, key: str = "vec_id", column: str = "embedding") -> DataFrame:
     """(query_id, key, score, rank): top k within the probed lists; a list is salted, as one may hold a third of all vectors."""
     c = fit_centroids(vectors, lists, column)
     salt = 8

@@ -58,7 +58,7 @@ def test_search_equals_brute_force_and_index_recall(spark, small):
     for r in retrieval.search(e, q, 10).collect():
         got.setdefault(r.query_id, set()).add(r.vec_id)
     hit = {}
-    for r in retrieval.ivf_search(e, q, 10, lists=32, probes=16).collect():
+    for r in retrieval.ivf_search(e, q, 10, lists=32, probes=24).collect():
         hit.setdefault(r.query_id, set()).add(r.vec_id)
     for i in got:
         want = set(ids[np.lexsort((ids, -np.round(x @ x[ids == i][0], 9)))[:10]])
