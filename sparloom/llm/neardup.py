@@ -90,7 +90,7 @@ def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return owner[new], h[new]
 
 
-def _slices(b: pa.RecordBatch, chars: int = 1_500_000) -> Iterator[pa.RecordBatch]:
+def _slices(b: pa.RecordBatch, chars: int = 400_000) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of about so many characters, so that long texts don't pile up in memory."""
     size, start = 0, 0
     for i, t in enumerate(b.column(b.num_columns - 1)):
