@@ -24,6 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparloom.session import spread
+
 ROWS, WIDTH = 2, 1 << 20
 #: An answer of fewer characters is a value rather than a sentence.
 SHORT = 25
@@ -322,7 +324,7 @@ def ending_counts(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 s += np.frombuffer(c.as_py(), dtype=np.uint32)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.minimum(s, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())], names=["part", "counts"])
 
-    rows = df.select("answer").where("answer is not null").mapInArrow(local, "part int, counts binary").groupBy("part").applyInArrow(total, "part int, counts binary").collect()
+    rows = spread(df.select("answer").where("answer is not null")).mapInArrow(local, "part int, counts binary").groupBy("part").applyInArrow(total, "part int, counts binary").collect()
     flat = np.zeros((parts, width), np.uint32)
     for r in rows:
         flat[r["part"]] = np.frombuffer(r["counts"], np.uint32)
@@ -341,4 +343,4 @@ def broken_pairs(qa: DataFrame) -> DataFrame:
             cols = list(zip(*out)) or [(), ()]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string())], names=["qa_id", "defect"])
 
-    return qa.where("qa_id is not null").select("qa_id", "question", "answer", "instruction").mapInArrow(run, "qa_id string, defect string").dropDuplicates(["qa_id", "defect"])
+    return spread(qa.where("qa_id is not null").select("qa_id", "question", "answer", "instruction")).mapInArrow(run, "qa_id string, defect string").dropDuplicates(["qa_id", "defect"])
