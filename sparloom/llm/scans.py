@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparloom.llm.boosting import Boosted
@@ -385,25 +385,36 @@ def title_like(text: str) -> bool:
     return bool(w) and len(w) <= 10 and big >= 0.75 * len(w) and (len(w) >= 2 or bool(re.search(r"[A-Z]{2,}-[A-Z]{2}-\d+", text)))
 
 
-NOISE = "block_id bigint, field string, kind string, word string, file bigint, page int, top boolean, bottom boolean, fold bigint, pn boolean, pure boolean, shape boolean, title boolean, line string"
+NOISE = "block_id bigint, field string, kind string, word string, file bigint, page int, top int, bottom int, fold bigint, pn boolean, pure boolean, shape boolean, title boolean, line string"
 
 
-def edge_lines(text: str) -> list[str]:
-    """The first two and last two filled lines, with a stand-in between them where there are more."""
-    if len(text) < 4000:
-        lines = [x for x in text.split("\n") if x.strip()]
-    else:
-        head = [x for x in text[:1500].split("\n")[:-1] if x.strip()]
-        tail = [x for x in text[-1500:].split("\n")[1:] if x.strip()]
-        lines = head + tail if len(head) > 1 and len(tail) > 1 else [x for x in text.split("\n") if x.strip()]
-    return lines if len(lines) <= 4 else [*lines[:2], "", *lines[-2:]]
+def edge_lines(text: str) -> list[tuple]:
+    """(line, lines above it, lines below it, rest, holds a page number, is nothing else, looks running) of the lines at the edges
+    that may be furniture. The first and last two filled lines are looked at, and further ones as long as every line outside
+    of them may be furniture; the count of lines is null for an edge from which a line is not reached."""
+    lines = [x for x in text.split("\n") if x.strip()]
+    n = len(lines)
+    seen, at = {}, ({}, {})
+    for side in (0, 1):
+        chain = True
+        for d in range(n):
+            if d >= 2 and not chain:
+                break
+            i = n - 1 - d if side else d
+            if i not in seen:
+                raw = lines[i]
+                got = edge_line(raw) if len(raw) <= 120 else ("", False, False)
+                seen[i] = (*got, len(raw) <= 120 and looks_running(got[0]))
+            at[side][i] = d
+            chain = chain and (seen[i][1] or seen[i][3])
+    return [(lines[i].strip(), at[0].get(i), at[1].get(i), *got) for i, got in sorted(seen.items()) if got[1] or got[3]]
 
 
 def scan_blocks(blocks: DataFrame, strong: dict[str, int]) -> DataFrame:
     """One pass over the texts: word breaks found (kind h), words to look up (kind u, b for broken ones), edge lines (kind e)."""
     sent = blocks.sparkSession.sparkContext.broadcast((strong, fit_joins(strong)))
     names = ["block_id", "field", "kind", "word", "file", "page", "top", "bottom", "fold", "pn", "pure", "shape", "title", "line"]
-    types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.bool_(), pa.string()]
+    types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.bool_(), pa.string()]
 
     def joined(memo, model, known, x, y):
         """Whether the line pair is one word: asked once per pair of fragments."""
@@ -437,15 +448,8 @@ def scan_blocks(blocks: DataFrame, strong: dict[str, int]) -> DataFrame:
             for w in memo[raw]:
                 if w not in known:
                     out.append((bid, field, "u", w, None, None, None, None, None, None, None, None, None, None))
-        lines = edge_lines(t)
-        n = len(lines)
-        for i in range(n):
-            raw = lines[i]
-            if len(raw) <= 120 and (i < 2 or i >= n - 2):
-                text, pn, pure = edge_line(raw)
-                shape = looks_running(text)
-                if pn or shape:
-                    out.append((bid, field, "e", None, file, page, i < 2, i >= n - 2, xxhash.xxh64_intdigest(fold(text)) - (1 << 63) if shape else None, pn, pure, shape, shape and title_like(text), raw.strip()))
+        for raw, top, bottom, text, pn, pure, shape in edge_lines(t):
+            out.append((bid, field, "e", None, file, page, top, bottom, xxhash.xxh64_intdigest(fold(text)) - (1 << 63) if shape else None, pn, pure, shape, shape and title_like(text), raw))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (known, model), memo, pairs = sent.value, Words(), {}
@@ -464,22 +468,31 @@ def scan_blocks(blocks: DataFrame, strong: dict[str, int]) -> DataFrame:
 
 
 def furniture(edges: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(block_id, field, line, running, number): the edge lines that are furniture."""
+    """(block_id, field, line, running, number, top, bottom): the edge lines that are furniture, and their lines from each edge.
+
+    The two outer lines of a page edge stand for themselves; a line further in counts where all lines outside of it are
+    furniture, and as a bare number where none of those is one."""
     page = F.coalesce(F.col("page_num").cast("bigint"), -F.col("block_id") - 1)
     texts = blocks.where("block_id is not null").select("block_id", F.xxhash64("project_id", "file_name").alias("file"), page.alias("page_key"), (F.trim(F.regexp_replace(F.coalesce("content", F.lit("")), r"[\s\p{Z}]", "")) != "").alias("has"))
     ends = texts.where("has").groupBy("file", "page_key").agg(F.min("block_id").alias("first_block"), F.max("block_id").alias("last_block"))
     e = edges.withColumn("page_key", F.coalesce(F.col("page").cast("bigint"), -F.col("block_id") - 1)).join(ends, ["file", "page_key"])
-    at_edge = (F.col("top") & (F.col("block_id") == F.col("first_block"))) | (F.col("bottom") & (F.col("block_id") == F.col("last_block")))
-    e = e.withColumn("edge", at_edge)
+    first, last = F.col("block_id") == F.col("first_block"), F.col("block_id") == F.col("last_block")
+    e = e.withColumn("shallow", F.coalesce((F.col("top") < 2), F.lit(False)) | F.coalesce((F.col("bottom") < 2), F.lit(False)))
+    e = e.withColumn("top", F.when(first, F.col("top"))).withColumn("bottom", F.when(last, F.col("bottom")))
+    e = e.withColumn("reached", F.col("top").isNotNull() | F.col("bottom").isNotNull()).withColumn("edge", F.coalesce(F.least("top", "bottom") < 2, F.lit(False)))
     own = e.where("field = 'content' and fold is not null")
+    outer = lambda c: F.when(F.col("shallow"), c)
     per_file = own.groupBy("file", "fold").agg(
-        F.count_distinct(F.when(F.col("edge"), F.col("page_key"))).alias("pages"), F.count_if(F.col("edge")).alias("n_edge"), F.count_if(~F.col("edge")).alias("n_body"), F.max((F.col("pn") | F.col("line").rlike(r"[A-Z]{2,5}-[A-Z]{2}-\d{3,}")).cast("int")).alias("dated"), F.max(F.col("title").cast("int")).alias("titled"),
-        F.min(F.size(F.split("line", r"\s+"))).alias("n_words"), F.min(F.char_length("line")).alias("chars"),
+        F.count_distinct(F.when(F.col("edge"), F.col("page_key"))).alias("pages"), F.count_if(F.col("edge")).alias("n_edge"), F.count_if(F.col("shallow") & ~F.col("edge")).alias("n_body"),
+        F.max(outer((F.col("pn") | F.col("line").rlike(r"[A-Z]{2,5}-[A-Z]{2}-\d{3,}")).cast("int"))).alias("dated"), F.max(outer(F.col("title").cast("int"))).alias("titled"),
+        F.min(outer(F.size(F.split("line", r"\s+")))).alias("n_words"), F.min(outer(F.char_length("line"))).alias("chars"),
+        F.count_distinct(F.when(F.col("reached"), F.col("page_key"))).alias("all_pages"), F.count_if(F.col("reached")).alias("all_edge"), F.count_if(~F.col("reached")).alias("all_body"),
     )
-    corpus = per_file.groupBy("fold").agg(F.sum("n_edge").alias("c_edge"), F.sum("n_body").alias("c_body"), F.count_if(F.col("pages") > 1).alias("c_files"))
+    corpus = per_file.groupBy("fold").agg(F.sum("n_edge").alias("c_edge"), F.sum("n_body").alias("c_body"), F.sum("all_edge").alias("d_edge"), F.sum("all_body").alias("d_body"), F.count_if(F.col("pages") > 1).alias("c_files"))
     stats = per_file.join(corpus, "fold")
     lone = F.col("c_body") <= 0.15 * (F.col("c_edge") + F.col("c_body"))
-    model = fit_furniture(stats.orderBy(F.xxhash64("file", "fold"), "file", "fold").limit(4 * SAMPLE).collect())
+    inner = (F.col("all_pages") >= 3) & (F.col("d_body") <= 0.15 * (F.col("d_edge") + F.col("d_body")))
+    model = fit_furniture(stats.where("n_edge + n_body > 0").orderBy(F.xxhash64("file", "fold"), "file", "fold").limit(4 * SAMPLE).collect())
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -488,13 +501,20 @@ def furniture(edges: DataFrame, blocks: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("file"), b.column("fold"), pa.array(p)], names=["file", "fold", "p"])
 
     seen = (F.col("pages") >= 2) | (F.col("c_files") >= 3)
-    sure = stats.where(lone & seen).select("file", "fold")
-    rest = stats.where(lone & ~seen & (F.col("n_edge") >= 1)).select("file", "fold", "titled", "dated", "n_words", "chars")
+    sure = stats.where(lone & (seen | inner)).select("file", "fold")
+    rest = stats.where(lone & ~seen & ~inner & (F.col("n_edge") >= 1)).select("file", "fold", "titled", "dated", "n_words", "chars")
     running = sure.unionByName(rest.mapInArrow(judge, "file bigint, fold bigint, p double").where("p >= 0.5").select("file", "fold")).withColumn("running", F.lit(True))
-    marked = e.where("edge").join(running, ["file", "fold"], "left")
+    marked = e.where("reached").join(running, ["file", "fold"], "left")
     run = F.coalesce("running", F.lit(False))
     number = F.col("pn") & (F.col("pure") | run)
-    return marked.select("block_id", "field", "line", run.alias("running"), number.alias("number")).where("running or number")
+    field = Window.partitionBy("block_id", "field")
+    found = marked.select("block_id", "field", "line", "pure", "top", "bottom", run.alias("running"), number.alias("number")).where("running or number")
+    for side in ("top", "bottom"):
+        found = found.withColumn(f"{side}_all", F.collect_set(side).over(field)).withColumn(f"{side}_pure", F.min(F.when(F.col("pure"), F.col(side))).over(field))
+    outside = lambda side: F.size(F.filter(f"{side}_all", lambda x: x < F.col(side))) == F.col(side)
+    stands = lambda side: F.when((F.col(side) < 2) | (outside(side) & (~F.col("pure") | (F.col(f"{side}_pure") == F.col(side)))), F.col(side))
+    kept = found.select("block_id", "field", "line", "running", "number", stands("top").alias("top"), stands("bottom").alias("bottom"))
+    return kept.where("top is not null or bottom is not null")
 
 
 def first_copies(blocks: DataFrame) -> DataFrame:
@@ -525,13 +545,13 @@ def noise(blocks: DataFrame) -> DataFrame:
     return misread.unionByName(hyphen).unionByName(head).unionByName(number).distinct()
 
 
-def repair_text(text: str, drop: set[str], fixes: dict[str, str], strong: dict[str, int], flow: bool) -> str:
-    """Furniture out, broken words joined, misread words replaced; in running text also the lines of a paragraph joined."""
+def repair_text(text: str, drop: set[int], fixes: dict[str, str], strong: dict[str, int], flow: bool) -> str:
+    """Furniture out (filled lines, counted from 0 at the top and from -1 at the bottom), broken words joined, misread words replaced; in running text also the lines of a paragraph joined."""
     lines = text.split("\n")
     if drop:
         filled = [i for i, x in enumerate(lines) if x.strip()]
-        edge = set(filled[:2] + filled[-2:])
-        lines = [x for i, x in enumerate(lines) if not (i in edge and x.strip() in drop)]
+        out = {filled[k] for k in drop}
+        lines = [x for i, x in enumerate(lines) if i not in out]
     t = "\n".join(lines)
     out, at = [], 0
     for a, b, x, y in breaks(t) if may_break(t) else []:
@@ -562,7 +582,7 @@ def repaired(blocks: DataFrame) -> DataFrame:
     rows = cut(scan_blocks(src, strong))
     lines = furniture(rows.where("kind = 'e'"), src)
     per_word = rows.where("field = 'content' and kind in ('u', 'b')").join(fixes, "word").groupBy("block_id").agg(F.map_from_entries(F.collect_set(F.struct("word", "right"))).alias("fixes"))
-    per_line = lines.where("field = 'content'").groupBy("block_id").agg(F.collect_set("line").alias("drop"))
+    per_line = lines.where("field = 'content'").groupBy("block_id").agg(F.collect_set(F.coalesce("top", -1 - F.col("bottom"))).alias("drop"))
     texts = src.where("block_id is not null").groupBy("block_id").agg(F.max(F.struct("content", "block_type")).alias("b")).select("block_id", "b.content", "b.block_type")
     sent = blocks.sparkSession.sparkContext.broadcast(strong)
 
