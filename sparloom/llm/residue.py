@@ -1,8 +1,9 @@
 """Template residue and error pages: text that stands in place of the content.
 
 Lines of the documents are aligned by their skeleton (slots, values and numbers taken out). A skeleton whose slots
-hold different names in different records is an induced template; a line of it is residue where every slot keeps a
-variable name, a default or a blank. Filler, error pages and script notices are whole lines of their own kind. A
+hold different names in different records, or that many documents share, is an induced template; a line of it is residue
+where every slot keeps a variable name, a default or a blank. A line of any other skeleton with such slots is residue
+where no real text stands beside it. A line that explains what a slot stands for is text. Filler, error pages and script notices are whole lines of their own kind. A
 document is a case when residue is its body: beside it there are only titles, page furniture and at most one opening
 line before it.
 
@@ -48,6 +49,10 @@ ERROR = (
 )
 SCRIPT = r"(?i)(?:java ?script|\bscripts?\b|\bscripting\b|\bcookies\b|\bskripte?n?\b|脚本)"
 CUE = rf"(?:{SLOT}|{FILLER}|{ERROR}|{SCRIPT}|{REPEAT})"
+#: Wordings that explain a slot, in three languages.
+MENTION = r"(?i)\b(?:stands? for|denotes?|notation|placeholders?|means|steht für|stehen für|bezeichnet|schreibweise|platzhalter)\b|表示|代表|占位符|写法"
+#: So many documents with a skeleton make it a template, whatever its slots hold.
+SHARED = 3
 #: A line of at most so many characters without a sentence end is a title or page furniture.
 TITLE = 60
 OPENING = 400
@@ -77,13 +82,13 @@ def suspect_lines(docs: DataFrame) -> DataFrame:
     title = line.rlike(r"^#{1,6} ") | line.rlike(r"^Ref\b") | ((F.char_length(line) <= TITLE) & ~line.rlike(r"[.!?。！？;；:：]\W*$") & ~line.rlike(r"\|"))
     skeleton = F.regexp_replace(F.regexp_replace(line, SLOT, "\u0001"), r"\p{N}+", "#")
     slots = F.array_join(F.regexp_extract_all(line, F.lit(f"({SLOT})"), 1), "\u0001")
-    return lines.select("doc_id", "pos", "line", kind.alias("sign"), title.alias("title"), F.xxhash64(skeleton).alias("skeleton"), F.xxhash64(slots).alias("fill"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    return lines.select("doc_id", "pos", "line", kind.alias("sign"), title.alias("title"), line.rlike(MENTION).alias("mention"), F.xxhash64(skeleton).alias("skeleton"), F.xxhash64(slots).alias("fill"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
 
 
 def induced_templates(lines: DataFrame) -> DataFrame:
-    """(skeleton): skeletons whose slots hold different names in different records."""
-    per = lines.where("sign = 'placeholder'").groupBy("skeleton", "fill").agg(F.count("*").alias("n"))
-    return per.groupBy("skeleton").agg(F.count("*").alias("fills")).where("fills > 1").select("skeleton")
+    """(skeleton): skeletons whose slots hold different names in different records, or that many documents share."""
+    per = lines.where("sign = 'placeholder'").groupBy("skeleton", "fill", "doc_id").agg(F.max("mention").alias("mention")).groupBy("skeleton", "fill").agg(F.count("*").alias("n"), F.max("mention").alias("mention"))
+    return per.groupBy("skeleton").agg(F.count("*").alias("fills"), F.sum("n").alias("n"), F.max("mention").alias("mention")).where(f"fills > 1 or (n >= {SHARED} and not mention)").select("skeleton")
 
 
 def residue(docs: DataFrame) -> DataFrame:
@@ -92,13 +97,17 @@ def residue(docs: DataFrame) -> DataFrame:
     known = induced_templates(lines).select("skeleton", F.lit(True).alias("induced"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     marked = lines.join(known, ["skeleton", "salt"], "left")
     sign = F.when(F.col("sign") == "placeholder", F.when(F.col("induced"), "placeholder")).otherwise(F.col("sign"))
-    flagged = marked.select("doc_id", "pos", "line", sign.alias("kind"), (sign.isNull() & ~F.col("title")).alias("real"))
+    single = (F.col("sign") == "placeholder") & F.col("induced").isNull() & ~F.col("mention")
+    flagged = marked.select("doc_id", "pos", "line", sign.alias("kind"), F.coalesce(single, F.lit(False)).alias("single"), (sign.isNull() & ~F.col("title")).alias("real"))
     n = lambda k: F.count_if(F.col("kind") == k).alias(k)
     per = flagged.groupBy("doc_id").agg(
-        n("error_page"), n("script_notice"), n("filler"), n("placeholder"), F.count_if(F.col("real")).alias("real"),
+        n("error_page"), n("script_notice"), n("filler"), n("placeholder"), F.count_if(F.col("real")).alias("real"), F.count_if("single").alias("single"), F.count_if(F.col("real") & F.col("single")).alias("real_single"),
         F.min(F.when(F.col("kind").isNotNull(), F.col("pos"))).alias("first"), F.max(F.when(F.col("real"), F.col("pos"))).alias("last_real"),
         F.coalesce(F.sum(F.when(F.col("real"), F.char_length("line"))), F.lit(0)).alias("real_chars"),
     )
+    # Without other text beside them, lines of a skeleton seen once are residue too.
+    alone = (F.col("single") > 0) & (F.col("real") == F.col("real_single"))
+    per = per.withColumn("placeholder", F.col("placeholder") + F.when(alone, F.col("single")).otherwise(0)).withColumn("real", F.when(alone, 0).otherwise(F.col("real")))
     most = F.greatest("error_page", "script_notice", "filler", "placeholder")
     kind = F.when(F.col("error_page") == most, "error_page").when(F.col("script_notice") == most, "script_notice").when(F.col("filler") == most, "filler").otherwise("placeholder")
     body = (F.col("real") == 0) | ((F.col("real") == 1) & (F.col("last_real") < F.col("first")) & (F.col("real_chars") <= OPENING))

@@ -1,6 +1,6 @@
 """What the operators once left out."""
 
-from sparloom.llm import scans
+from sparloom.llm import residue, scans
 
 BODY = ["The monitor converts the reserved voltage when the counter wraps during harbour trials.", "Every controller publishes the averaged signal before the archive is rotated again.", "The receiver restores the acknowledged segment under heavy load."]
 
@@ -25,3 +25,17 @@ def test_no_walk_past_the_body(spark):
     assert [x[:3] for x in scans.edge_lines("\n".join(["A Title", BODY[0], "Other Title", *lines]))] == [("A Title", 0, None), ("Spare Lines", None, 0)]
     long = "\n".join(["Top Title Here", "Second Title Here", "Third Title Here", "12", *BODY * 30])
     assert [x[1] for x in scans.edge_lines(long)] == [0, 1, 2, 3]
+
+
+def kinds(spark, docs):
+    return {r.doc_id: r.kind for r in residue.residue(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+
+
+def test_unfilled_template_of_one_fill(spark):
+    form, opening = "Dear {{name}}, the order {{id}} is closed.", "The pump of the eastern harbour stops when the valve is closed."
+    remark = "In the wiki the notation ${name} stands for the name of the pump."
+    assert kinds(spark, [(1, form)]) == {1: "placeholder"}
+    copies = [(i, form) for i in range(20)] + [(100 + i, f"{opening}\n\n{form}") for i in range(20)]
+    assert kinds(spark, copies) == {i: "placeholder" for i, _ in copies}
+    # Remarks about a notation and single lines beside real text are text, however often they are repeated.
+    assert kinds(spark, [(i, f"{opening}\n{remark}") for i in range(20)] + [(50, remark), (51, f"{opening}\n{form}")]) == {}
