@@ -97,6 +97,19 @@ def source_sizes(tokens: DataFrame, targets: DataFrame) -> DataFrame:
     return goal.join(per, "source", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0))).join(F.broadcast(total))
 
 
+def within_limits(w: dict[str, float], limit: dict[str, float]) -> dict[str, float]:
+    """Weights of which none is above its limit: what a source can't take goes to the others by their weights, as far as they can."""
+    full: set[str] = set()
+    while True:
+        open_ = sum(v for k, v in w.items() if k not in full)
+        left = max(0.0, 1.0 - sum(limit[k] for k in full))
+        out = {k: limit[k] if k in full else left * v / open_ if open_ else 0.0 for k, v in w.items()}
+        over = {k for k, v in out.items() if k not in full and v > limit[k]}
+        if not over:
+            return out
+        full |= over
+
+
 def plan_mix(sizes: list, target_entropy: float | None = None) -> list[dict]:
     """Budgets per source. ``sizes``: rows of source_sizes, as many as there are targets."""
     if not sizes:
@@ -106,13 +119,15 @@ def plan_mix(sizes: list, target_entropy: float | None = None) -> list[dict]:
     have = {r["source"]: float(r["tokens"]) for r in sizes}
     rep = {r["source"]: int(r["max_repeats"]) for r in sizes}
     exponent = temperature(share, have, rep, total, target_entropy)
-    goal = temper(share, exponent) if target_entropy is not None else share
+    part = within_limits(temper(share, exponent), {s: have[s] * rep[s] / total if total else 0.0 for s in share})
+    mixed = sum(part.values())
     out = []
     for r in sizes:
         s = r["source"]
-        want = goal[s] * total
-        used = min(want, have[s] * rep[s])
-        out.append({"source": s, "target_share": share[s], "weight": goal[s], "exponent": exponent, "tokens": int(have[s]), "max_repeats": rep[s], "short": have[s] * rep[s] < share[s] * total, "passes": used / have[s] if have[s] else 0.0})
+        used = min(part[s] * total, have[s] * rep[s])
+        passes = used / have[s] if have[s] else 0.0
+        passes = float(round(passes)) if abs(passes - round(passes)) < 1e-9 else passes
+        out.append({"source": s, "target_share": share[s], "weight": part[s] / mixed if mixed else 0.0, "exponent": exponent, "tokens": int(have[s]), "max_repeats": rep[s], "short": have[s] * rep[s] < share[s] * total, "passes": passes})
     return out
 
 

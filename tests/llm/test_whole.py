@@ -1,6 +1,6 @@
 """What the operators once left out."""
 
-from sparloom.llm import residue, scans
+from sparloom.llm import mixing, residue, scans
 
 BODY = ["The monitor converts the reserved voltage when the counter wraps during harbour trials.", "Every controller publishes the averaged signal before the archive is rotated again.", "The receiver restores the acknowledged segment under heavy load."]
 
@@ -39,3 +39,20 @@ def test_unfilled_template_of_one_fill(spark):
     assert kinds(spark, copies) == {i: "placeholder" for i, _ in copies}
     # Remarks about a notation and single lines beside real text are text, however often they are repeated.
     assert kinds(spark, [(i, f"{opening}\n{remark}") for i in range(20)] + [(50, remark), (51, f"{opening}\n{form}")]) == {}
+
+
+def sizes(total, **of):
+    return [{"source": k, "target_share": s, "max_repeats": r, "tokens": n, "total": total} for k, (s, r, n) in of.items()]
+
+
+def test_weights_are_shares_of_the_mix():
+    # c can't reach 0.3 within its limit: the others take the rest in proportion to their targets.
+    plan = {r["source"]: r for r in mixing.plan_mix(sizes(1000, a=(0.4, 4, 500), b=(0.3, 4, 450), c=(0.3, 2, 50)))}
+    assert [round(plan[k]["weight"], 6) for k in "abc"] == [round(0.9 * 4 / 7, 6), round(0.9 * 3 / 7, 6), 0.1] and plan["c"]["short"]
+    assert abs(sum(r["passes"] * r["tokens"] for r in plan.values()) - 1000) < 1e-6 and plan["c"]["passes"] == 2
+    # A flatter mix keeps every limit: the bisected exponent is applied.
+    plan = {r["source"]: r for r in mixing.plan_mix(sizes(1000, a=(0.8, 1, 600), b=(0.2, 2, 400)))}
+    assert plan["a"]["exponent"] < 1 and abs(plan["a"]["weight"] - 0.6) < 1e-6 and abs(plan["b"]["weight"] - 0.4) < 1e-6
+    # Too little text altogether: all are at their limits.
+    plan = mixing.plan_mix(sizes(1000, a=(0.5, 1, 100), b=(0.5, 1, 300)))
+    assert [round(r["weight"], 6) for r in plan] == [0.25, 0.75] and {r["passes"] for r in plan} == {1.0}
