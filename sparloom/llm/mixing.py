@@ -2,14 +2,17 @@
 
 Per source the tokens of all its documents are summed with a public tokenizer. The weight of a source is its target
 share raised to an exponent and normalised; the exponent is bisected until the mix meets a target entropy or, without
-one, is the largest at which a chosen number of sources still keeps its repetition limit. Budgets are realised as
-whole passes plus part of one more permutation of the source's documents, in blocks, so that nothing is ever sorted or
+one, is the largest up to 1 at which every source keeps its repetition limit. Where no exponent does, sources at their
+limit stay there and the others share the rest by their weights, so that the weights are the shares of the mix. Budgets
+are realised as whole passes plus part of one more permutation of the source's documents: token sums of cells (block and
+size of document) are taken in order as they fit, and one cell is split by documents, so that nothing is ever sorted or
 gathered by source on one executor.
 
 Defined results
     * a source is compared trimmed and in lower case; documents without a source, or with one without a target, count
       in the total and are not mixed; null text has no tokens; documents repeated in the table count as they stand.
-    * a source whose share can't be reached within its limit is used up to the limit and reported as such; a source
+    * a source whose share can't be reached within its limit is reported as such; documents are taken whole, so that a
+      source stays under its budget by less than what any document left out would add; a source
       without documents has share 0; a target share of 0 gives 0; shares are of the mix as realised.
     * empty tables give no rows; further columns, whatever their names, are ignored.
 """
@@ -20,11 +23,12 @@ import math
 from collections.abc import Iterator
 from functools import cache
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparloom.session import spread
+from sparloom.session import cut, spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The split pattern of the vocabulary file; the package that brings the file gives it, this is used where it doesn't.
@@ -134,10 +138,13 @@ def plan_mix(sizes: list, target_entropy: float | None = None) -> list[dict]:
 PLAN = "source string, target_share double, weight double, exponent double, tokens bigint, max_repeats int, short boolean, passes double"
 
 
+def _plan(tokens: DataFrame, targets: DataFrame, target_entropy: float | None = None) -> DataFrame:
+    return tokens.sparkSession.createDataFrame(plan_mix(source_sizes(tokens, targets).collect(), target_entropy), PLAN)
+
+
 def mix_plan(docs: DataFrame, targets: DataFrame, path: str = TOKENIZER, target_entropy: float | None = None) -> DataFrame:
     """One row per source with a target: its weight, how often it is used (``passes``) and whether it falls short."""
-    rows = source_sizes(with_tokens(docs, path), targets).collect()
-    return docs.sparkSession.createDataFrame(plan_mix(rows, target_entropy), PLAN)
+    return _plan(with_tokens(docs, path), targets, target_entropy)
 
 
 def short_sources(plan: DataFrame) -> DataFrame:
@@ -145,24 +152,60 @@ def short_sources(plan: DataFrame) -> DataFrame:
     return plan.where("short").select("source")
 
 
-def realise(docs: DataFrame, plan: DataFrame, seed: int = 7) -> DataFrame:
-    """(doc_id, source, repeat, block, place): each whole pass is a permutation of the source's documents in BLOCKS blocks;
-    of the last pass the blocks, and within the boundary block the documents, up to the budget are taken by hash order."""
-    src = F.nullif(F.lower(F.trim("source")), F.lit(""))
-    d = docs.select("doc_id", src.alias("source")).join(F.broadcast(plan.select("source", "passes")), "source").where("passes > 0")
+def fill(cells: list[tuple], budget: float) -> list[tuple]:
+    """(block, size, room) of the cells taken: whole ones as they fit in order (room null), then the first of the others that
+    has a document small enough, with what is left. ``cells``: (block, size, tokens, smallest document), in order."""
+    out, skipped = [], []
+    for block, size, n, least in cells:
+        if n <= budget and (n or (budget > 0 and not skipped)):
+            out.append((block, size, None))
+            budget -= n
+        elif n:
+            skipped.append((block, size, least))
+    split = next(((b, z, float(budget)) for b, z, least in skipped if least <= budget), None)
+    return [*out, split] if split else out
+
+
+def _taken(tokens: DataFrame, plan: DataFrame, seed: int = 7) -> DataFrame:
+    """(doc_id, source, tokens, repeat, block, place): whole passes, and of the last one the cells and documents in budget."""
+    d = tokens.join(F.broadcast(plan.where("passes > 0").select("source", "passes", F.col("tokens").alias("have"))), "source")
     each = d.select("*", F.explode(F.sequence(F.lit(1), F.ceil("passes").cast("int"))).alias("repeat"))
-    h = F.xxhash64("doc_id", "repeat", F.lit(seed))
-    unit = F.pmod(h, F.lit(1 << 30)) / F.lit(float(1 << 30))
-    kept = each.withColumn("place", unit).where(F.col("place") < F.col("passes") - F.col("repeat") + 1)
-    return kept.select("doc_id", "source", "repeat", F.floor(F.col("place") * BLOCKS).cast("int").alias("block"), "place")
+    place = F.pmod(F.xxhash64("doc_id", "repeat", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    each = each.withColumn("place", place).withColumn("block", F.floor(F.col("place") * BLOCKS).cast("int")).withColumn("size", F.when(F.col("tokens") > 0, F.floor(F.log2("tokens"))).otherwise(-1).cast("int"))
+    part = each.where(F.col("repeat") > F.col("passes"))
+    cells = part.groupBy("source", "block", "size").agg(F.sum("tokens").alias("n"), F.min("tokens").alias("least"), F.first((F.col("passes") - F.col("repeat") + 1) * F.col("have")).alias("budget"))
+
+    def run(pdf):
+        pdf = pdf.sort_values(["block", "size"])
+        got = fill(list(zip(pdf["block"].tolist(), pdf["size"].tolist(), pdf["n"].tolist(), pdf["least"].tolist())), round(float(pdf["budget"].iloc[0]), 3))
+        return pd.DataFrame({"source": [pdf["source"].iloc[0]] * len(got), "block": [g[0] for g in got], "size": [g[1] for g in got], "room": pd.Series([g[2] for g in got], dtype="float64")})
+
+    # At most BLOCKS times the sizes there are, for each source, whatever the number of documents.
+    chosen = part.join(cells.groupBy("source").applyInPandas(run, "source string, block int, size int, room double"), ["source", "block", "size"])
+    names = ["doc_id", "source", "tokens", "repeat", "block", "place"]
+    whole = each.where(F.col("repeat") <= F.col("passes")).select(names).unionByName(chosen.where("room is null or isnan(room)").select(names))
+    w = Window.partitionBy("source").orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    split = chosen.where("room is not null and not isnan(room)").where("tokens <= room").withColumn("run", F.sum("tokens").over(w)).where("run <= room")
+    return whole.unionByName(split.select(names))
+
+
+def realise(docs: DataFrame, plan: DataFrame, seed: int = 7, path: str = TOKENIZER) -> DataFrame:
+    """(doc_id, source, repeat, block, place): each pass is a permutation of the source's documents in BLOCKS blocks; of the
+    last pass documents are taken up to the token budget, see ``fill``."""
+    return _taken(cut(with_tokens(docs, path)), plan, seed).drop("tokens")
+
+
+def mix(docs: DataFrame, targets: DataFrame, path: str = TOKENIZER) -> DataFrame:
+    """The mix of ``realise`` by the plan of ``mix_plan``; texts are tokenized once."""
+    tokens = cut(with_tokens(docs, path))
+    return _taken(tokens, _plan(tokens, targets)).drop("tokens")
 
 
 def actual_shares(docs: DataFrame, targets: DataFrame, path: str = TOKENIZER) -> DataFrame:
     """Per source: target share, actual share of the mix as realised, tokens used and the most uses of a document."""
-    plan = mix_plan(docs, targets, path)
-    mix = realise(docs, plan).groupBy("doc_id").agg(F.max("repeat").alias("uses"))
-    tok = with_tokens(docs, path).groupBy("doc_id", "source").agg(F.sum("tokens").alias("tokens"))
-    used = mix.join(tok, "doc_id").groupBy("source").agg(F.sum(F.col("uses") * F.col("tokens")).alias("used_tokens"), F.max("uses").alias("most_uses"))
+    tokens = cut(with_tokens(docs, path))
+    plan = _plan(tokens, targets)
+    used = _taken(tokens, plan).groupBy("source").agg(F.sum("tokens").alias("used_tokens"), F.max("repeat").alias("most_uses"))
     total = used.agg(F.sum("used_tokens").alias("all_used"))
     return (
         plan.join(used, "source", "left")

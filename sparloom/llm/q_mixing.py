@@ -18,7 +18,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
     """The mix: one row per use of a document."""
-    return mixing.realise(table(spark, d, "documents"), p8_plan(spark, d))
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:

@@ -56,3 +56,17 @@ def test_weights_are_shares_of_the_mix():
     # Too little text altogether: all are at their limits.
     plan = mixing.plan_mix(sizes(1000, a=(0.5, 1, 100), b=(0.5, 1, 300)))
     assert [round(r["weight"], 6) for r in plan] == [0.25, 0.75] and {r["passes"] for r in plan} == {1.0}
+
+
+def test_token_budget_of_skewed_documents(spark):
+    docs = [(i, "word " * 10, "a") for i in range(60)] + [(100, "word " * 300, "a")] + [(1000 + i, "word " * 10, "b") for i in range(90)] + [(2000, "word " * 10, None)]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
+    t = spark.createDataFrame([("a", 0.25, 2), ("b", 0.75, 3)], "source string, target_share double, max_repeats int")
+    plan = mixing.mix_plan(d, t)
+    tok = {r.doc_id: r.tokens for r in mixing.with_tokens(d).collect()}
+    for seed in (1, 2):
+        mix = mixing.realise(d, plan, seed).collect()
+        for r in plan.collect():
+            used = sum(tok[x.doc_id] for x in mix if x.source == r.source)
+            assert 0 <= r.passes * r.tokens - used <= max(tok[0], 11)
+            assert max(x.repeat for x in mix if x.source == r.source) <= r.max_repeats
