@@ -5,25 +5,32 @@ common substrings are at least ``threshold`` of all distinct ones. That is a Ham
 (|A ^ B| <= (|A|+|B|) (1-t)/(1+t)), and the join keeps every pair within it:
 
 1. Equal texts are collapsed; only one record of each class is compared.
-2. Segments. Tokens are ordered by frequency over all records (a fixed-size counting sketch; any order is right, a
-   good one is fast). The rare ones are segments of their own; the others fall by hash into a ring of ``RING``
-   segments, each of which grants a budget of one difference. By the pigeonhole principle over segment budgets two
-   alike records share, within prefixes whose budgets reach n - overlap + 1, a rare token or two tokens of one ring
-   segment. These are the join keys, tested with the exact budgets of each pair of sizes.
-3. Pigeonring. A candidate has, on the ring of 16 parity segments, a start from which the cumulative differences of
-   every chain stay within the proportional share of its budget (each parity segment's difference is a lower bound).
-4. Full check on the true sets.
+2. Segments. Tokens are ordered by frequency over all records (a counting sketch; any order is right, a good one is
+   fast). The rare ones are segments of their own; the others fall by hash into a ring of segments, each of which
+   grants a budget of one difference. By the pigeonhole principle over segment budgets two alike records share, within
+   prefixes whose budgets reach n - overlap + COMMON, at least COMMON keys: rare tokens or two tokens of one segment.
+   Pairs that share fewer are dropped by counting, so that next to no others reach the following steps.
+   The ring grows with the record (``modes``); sizes of alike records always meet in a common mode.
+3. Pigeonring. A candidate has, on a ring of CHAIN segments, a start from which the cumulative differences of every
+   chain stay within the proportional share of its budget.
+4. Full Hamming check on the true sets.
+
+Keys travel packed: one row per batch and bucket of keys, so that a shuffle moves few large rows; buckets grow in number
+with the input, each holds about PER_BUCKET keys. Pairs of a key are made size by size in bounded pieces and counted
+before they are shuffled.
 
 Defined results
     * null parts of a record count as empty; records without a single substring of WIDTH characters are alike to none.
     * equal texts are alike; a class of at most ``expand`` equal texts comes out in all its pairs, a larger one as the
-      links of its smallest id to each member, and links between classes are then those between smallest ids.
+      links of its smallest id to each member, and links between classes are then those between smallest ids;
+      ``memberships`` gives every id its class, from which all pairs follow.
     * ids delivered twice count once; null ids are left out; an empty table gives no rows.
     * further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,16 +43,26 @@ from sparloom.session import cut
 
 WIDTH = 8
 THRESHOLD = 0.7
-#: Ring segments of the frequent tokens; records with fewer tokens than SMALL use rare-token keys only.
-RING, SMALL = 48, 160
-#: Buckets of the counting sketch and slices they travel in: 2^20 counts, 4 MB, whatever the input.
-BUCKETS, SLICES = 1 << 20, 16
-#: A token of a bucket with at most this many records is a segment of its own.
-RARE = 48
-#: 64-bit segments of the parity ring.
-PARITY = 16
+#: Keys two alike records share at least.
+COMMON = 8
+#: Records with fewer tokens may share fewer than COMMON: one key of theirs counts for all.
+TINY = 16
+#: Ring segments of the smallest mode; each further mode has four times as many and starts at five times the size.
+RING = 64
+#: Buckets of the counting sketch: one byte each (eighths of a power of two), 2^16 to 2^24 by the number of tokens.
+LOW_BITS, HIGH_BITS, PER_CELL = 16, 24, 14
+SLICE = 1 << 16
+#: A token of a sketch bucket with at most this many records is a segment of its own.
+RARE = 10
+#: Keys in a bucket, about.
+PER_BUCKET = 2_000_000
+#: Pairs held before they are counted.
+HELD = 2_000_000
+#: Segments of the pigeonring test.
+CHAIN = 16
 SALTS = 8
 U = np.uint64
+LOW56 = U((1 << 56) - 1)
 
 
 @dataclass(frozen=True)
@@ -68,29 +85,34 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(32))
 
 
-def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(record index, token hash) of the distinct substrings of each text, sorted by record and hash."""
+def shingles(texts: list[str], order=None) -> tuple[np.ndarray, np.ndarray]:
+    """(record index, token) of the distinct substrings of each text, sorted by record and token. A token is a hash of 56
+    bits; ``order`` (byte per sketch bucket) goes into the upper eight, so that tokens come out by frequency."""
+    none = np.zeros(0, np.int64), np.zeros(0, np.uint64)
     data = np.frombuffer("\0".join(texts).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
     if len(data) < WIDTH:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    lengths = np.fromiter((len(t) for t in texts), dtype=np.int64, count=len(texts))
-    n = len(data) - WIDTH + 1
-    h = np.zeros(n, dtype=np.uint64)
-    for j in range(WIDTH):
-        h = h * U(0x100000001B3) + data[j : j + n] + U(1)
-    h = mix(h)
-    ends = np.cumsum(lengths + 1) - 1
-    owner = np.searchsorted(ends, np.arange(n), side="left")
-    ok = np.arange(n) + WIDTH <= ends[np.minimum(owner, len(ends) - 1)]
-    owner, h = owner[ok], h[ok]
-    order = np.lexsort((h, owner))
-    owner, h = owner[order], h[order]
+        return none
+    one = mix(data + U(1))
+    two = one[:-1] * U(0x9E3779B97F4A7C15) + (one[1:] ^ (one[1:] >> U(17)))
+    four = two[:-2] * U(0xC2B2AE3D27D4EB4F) + (two[2:] ^ (two[2:] >> U(29)))
+    h = mix(four[:-4] * U(0x165667B19E3779F9) + (four[4:] ^ (four[4:] >> U(31)))) & LOW56
+    if order is not None:
+        h |= order[(h & U(len(order) - 1)).astype(np.int64)].astype(np.uint64) << U(56)
+    sizes = np.fromiter((max(0, len(t) - WIDTH + 1) for t in texts), dtype=np.int64, count=len(texts))
+    start = np.concatenate([[0], np.cumsum(np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts)))])
+    parts = []
+    for a, n in zip(start.tolist(), sizes.tolist()):
+        h[a : a + n].sort()
+        parts.append(h[a : a + n])
+    h, owner = np.concatenate(parts), np.repeat(np.arange(len(texts)), sizes)
+    if not len(h):
+        return none
     new = np.ones(len(h), dtype=bool)
     new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
     return owner[new], h[new]
 
 
-def _slices(b: pa.RecordBatch, chars: int = 400_000) -> Iterator[pa.RecordBatch]:
+def _slices(b: pa.RecordBatch, chars: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of about so many characters, so that long texts don't pile up in memory."""
     size, start = 0, 0
     for i, t in enumerate(b.column(b.num_columns - 1)):
@@ -102,131 +124,227 @@ def _slices(b: pa.RecordBatch, chars: int = 400_000) -> Iterator[pa.RecordBatch]
         yield b.slice(start)
 
 
-def count_sketch(reps: DataFrame) -> np.ndarray:
-    """Records per token bucket over all records. Every partition sends SLICES dense parts, summed per slice."""
-    width = BUCKETS // SLICES
+def sketch_bits(tokens: int) -> int:
+    return min(HIGH_BITS, max(LOW_BITS, math.ceil(math.log2(max(2, tokens / PER_CELL)))))
+
+
+def token_order(reps: DataFrame, tokens: int) -> np.ndarray:
+    """One byte per sketch bucket: eight times the binary logarithm of the records whose tokens fall there, over all
+    records. Every partition sends its counts in slices, summed per slice in two steps."""
+    bits = sketch_bits(tokens)
+    slices = (1 << bits) // SLICE
 
     def local(batches):
-        counts = np.zeros(BUCKETS, dtype=np.int64)
+        counts = np.zeros(1 << bits, dtype=np.uint32)
         for b in batches:
             for s in _slices(b):
                 _, h = shingles(s.column("text").to_pylist())
-                counts += np.bincount((h >> U(44)).astype(np.int64), minlength=BUCKETS)
+                counts += np.bincount((h & U((1 << bits) - 1)).astype(np.int64), minlength=1 << bits).astype(np.uint32)
         if counts.any():
-            parts = counts.astype(np.uint32).reshape(SLICES, width)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(SLICES, dtype=np.int32)), pa.array([p.tobytes() for p in parts], pa.binary())], names=["slice", "counts"])
+            kind = np.uint8 if counts.max() < 256 else np.uint32
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(slices, dtype=np.int32)), pa.array([p.astype(kind).tobytes() for p in counts.reshape(slices, SLICE)], pa.binary())], names=["slice", "counts"])
 
     def total(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = np.zeros(width, dtype=np.int64)
+        s = np.zeros(SLICE, dtype=np.uint32)
         for b in batches:
             for c in b.column("counts"):
-                s += np.frombuffer(c.as_py(), dtype=np.uint32)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.minimum(s, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())], names=["slice", "counts"])
-
-    rows = reps.select("text").mapInArrow(local, "slice int, counts binary").groupBy("slice").applyInArrow(total, "slice int, counts binary").collect()
-    out = np.zeros((SLICES, width), dtype=np.uint32)
+                raw = c.as_py()
+                s += np.frombuffer(raw, dtype=np.uint8 if len(raw) == SLICE else np.uint32)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([s.tobytes()], pa.binary())], names=["slice", "counts"])
+
+    schema = "slice int, counts binary"
+    parts = reps.select("text").mapInArrow(local, schema).withColumn("part", F.pmod(F.spark_partition_id(), F.lit(64)))
+    rows = parts.groupBy("slice", "part").applyInArrow(total, schema).groupBy("slice").applyInArrow(total, schema).collect()
+    out = np.zeros((slices, SLICE), dtype=np.uint32)
     for r in rows:
         out[r["slice"]] = np.frombuffer(r["counts"], dtype=np.uint32)
-    return out.reshape(-1)
+    return np.minimum(255, np.floor(8 * np.log2(np.maximum(1, out.reshape(-1))))).astype(np.uint8)
+
 
+def modes(threshold: float) -> Iterator[tuple[int, float, float]]:
+    """(ring segments, from size, below size) of each mode. The first has single tokens only; in every other the budgets of
+    a record's own tokens reach its prefix. Alike records, whose sizes differ by the threshold at most, share a mode."""
+    start, ring = math.ceil((RING + COMMON + 1) / threshold), RING
+    yield 0, 0, start / threshold
+    while True:
+        yield ring, start, 5 * start / threshold
+        start, ring = 5 * start, 4 * ring
 
-def _rank_in_group(*keys: np.ndarray) -> np.ndarray:
-    """Occurrence number of each element among those with equal keys, in the given order."""
-    order = np.lexsort(keys[::-1])
+
+def _rank_in_group(code: np.ndarray) -> np.ndarray:
+    """Occurrence number of each element among those with an equal code, in the given order."""
+    order = np.argsort(code, kind="stable")
+    c = code[order]
     new = np.ones(len(order), dtype=bool)
-    new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+    new[1:] = c[1:] != c[:-1]
     start = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
     rank = np.empty(len(order), dtype=np.int64)
     rank[order] = np.arange(len(order)) - start
     return rank
 
 
-def signatures(owner: np.ndarray, h: np.ndarray, freq: np.ndarray, n_of: np.ndarray, threshold: float, ring: bool):
-    """(record, key, spent budget) of the prefix keys; ``owner, h`` sorted by record, then frequency, then hash."""
-    need = n_of - np.ceil(threshold * n_of - 1e-9).astype(np.int64) + 1
-    first = np.searchsorted(owner, np.arange(len(n_of)))
-    cls = np.where(freq <= RARE, np.int64(-1), (h % U(RING)).astype(np.int64)) if ring else np.full(len(h), -1, dtype=np.int64)
-    single = cls < 0
-    occ = np.where(single, 0, _rank_in_group(owner, cls))
-    inc = (single | (occ >= 1)).astype(np.int64)
+def signatures(owner: np.ndarray, h: np.ndarray, n_of: np.ndarray, threshold: float, ring: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(record, key, spent budget) of the prefix keys; ``owner, h`` as ``shingles`` gives them with an order; records of
+    size 0 in ``n_of`` have no tokens here."""
+    need = n_of - np.ceil(threshold * n_of - 1e-9).astype(np.int64) + COMMON
+    first = np.concatenate([[0], np.cumsum(n_of)[:-1]])
+    near = np.arange(len(owner)) - first[owner] < need[owner] + ring
+    owner, h = owner[near], h[near]
+    single = (h >> U(56)).astype(np.float64) <= 8 * math.log2(RARE) if ring else np.ones(len(h), dtype=bool)
+    t = h & LOW56
+    cls = ((t >> U(20)) % U(max(1, ring))).astype(np.int64)
+    inc = np.ones(len(owner), dtype=np.int64)
+    many = np.flatnonzero(~single)
+    inc[many] = _rank_in_group(owner[many] * max(1, ring) + cls[many]) >= 1
     got = np.cumsum(inc)
-    base = np.zeros(len(n_of), dtype=np.int64)
-    has = n_of > 0
-    base[has] = got[first[has]] - inc[first[has]]
+    base = np.concatenate([[0], got])[np.searchsorted(owner, np.arange(len(n_of)))]
     got = got - base[owner]
     keep = got - inc < need[owner]
-    o, t, c, g, s = owner[keep], h[keep], cls[keep], got[keep], single[keep]
-    salt = U(0x51ED27) if ring else U(0)
+    o, t, c, g, s = owner[keep], t[keep], cls[keep], got[keep], single[keep]
+    salt = U(0x51ED27 * (ring + 1))
     docs, keys, spent = [o[s]], [mix(t[s] + salt)], [g[s]]
     o, t, c, g = o[~s], t[~s], c[~s], g[~s]
-    order = np.lexsort((np.arange(len(o)), c, o))
-    o, t, c, g = o[order], t[order], c[order], g[order]
+    code = o * max(1, ring) + c
+    order = np.argsort(code, kind="stable")
+    o, t, g, code = o[order], t[order], g[order], code[order]
     for lag in range(1, len(o)):
-        same = (o[lag:] == o[:-lag]) & (c[lag:] == c[:-lag])
-        if not same.any():
+        same = np.flatnonzero(code[lag:] == code[:-lag])
+        if not len(same):
             break
-        docs.append(o[lag:][same])
-        keys.append(mix(t[:-lag][same] * U(3) + mix(t[lag:][same]) + salt))
-        spent.append(g[lag:][same])
+        docs.append(o[same + lag])
+        keys.append(mix(t[same] * U(3) + mix(t[same + lag]) + salt))
+        spent.append(g[same + lag])
     return np.concatenate(docs), np.concatenate(keys), np.concatenate(spent)
 
 
-def postings(reps: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame:
-    """(key, doc, n, g): the prefix keys of every record with its size and the budget spent up to the key."""
-    sent = reps.sparkSession.sparkContext.broadcast(counts)
+POSTS = "bucket int, docs binary, sizes binary, counts binary, keys binary, spent binary"
+PACKED = POSTS.replace(" int", "").replace(" binary", "").split(", ")
+
+
+def postings(reps: DataFrame, order: np.ndarray, buckets: int, threshold: float) -> DataFrame:
+    """The prefix keys of every record, packed by bucket: records (id, size, number of keys), then their keys with the
+    budget spent up to each."""
+    sent = reps.sparkSession.sparkContext.broadcast(order)
 
     def run(batches):
-        df = sent.value
+        rank = sent.value
         for b in batches:
             for s in _slices(b):
-                ids = np.asarray(s.column("doc").to_numpy(zero_copy_only=False))
-                owner, h = shingles(s.column("text").to_pylist())
+                ids = s.column("doc").to_numpy(zero_copy_only=False)
+                owner, h = shingles(s.column("text").to_pylist(), rank)
                 if not len(h):
                     continue
-                freq = df[(h >> U(44)).astype(np.int64)]
-                order = np.lexsort((h, freq, owner))
-                owner, h, freq = owner[order], h[order], freq[order]
                 n_of = np.bincount(owner, minlength=len(ids))
-                for ring, part in ((True, n_of >= SMALL), (False, n_of < SMALL / threshold)):
+                parts = []
+                for ring, low, high in modes(threshold):
+                    if low > n_of.max():
+                        break
+                    part = (n_of >= low) & (n_of < high)
                     m = part[owner]
-                    if not m.any():
-                        continue
-                    o, k, g = signatures(owner[m], h[m], freq[m], np.where(part, n_of, 0), threshold, ring)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(k.view(np.int64)), pa.array(ids[o]), pa.array(n_of[o].astype(np.int32)), pa.array(g.astype(np.int32))], names=["key", "doc", "n", "g"]
-                    )
-
-    return reps.select("doc", "text").mapInArrow(run, "key bigint, doc bigint, n int, g int")
-
-
-def candidates(post: DataFrame, threshold: float) -> DataFrame:
-    """Distinct pairs of records that share a key within the prefixes their two sizes call for."""
-    a, b = post.alias("a"), post.alias("b")
-    alpha = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("a.n") + F.col("b.n")) - F.lit(1e-9))
-    cond = (
-        (F.col("a.key") == F.col("b.key"))
-        & (F.col("a.doc") < F.col("b.doc"))
-        & (F.col("a.g") <= F.col("a.n") - alpha + 1)
-        & (F.col("b.g") <= F.col("b.n") - alpha + 1)
-    )
-    return a.join(b, cond).select(F.col("a.doc").alias("d1"), F.col("b.doc").alias("d2")).distinct()
-
-
-def parity_rings(reps: DataFrame) -> DataFrame:
-    """(doc, n, ring): per record the parity bits of its tokens on PARITY segments of 64 bits, as binary."""
-
-    def run(batches):
+                    if m.any():
+                        parts.append(signatures(owner[m], h[m], np.where(part, n_of, 0), threshold, ring))
+                o, k, g = (np.concatenate(x) for x in zip(*parts))
+                where = (k % U(buckets)).astype(np.int64)
+                by = np.argsort(where * len(ids) + o, kind="stable")
+                where, o, k, g = where[by], o[by], ((k[by] >> U(24)) & U(0xFFFFFFFF)).astype(np.uint32), np.minimum(g[by], 65535).astype(np.uint16)
+                edges = np.searchsorted(where, np.arange(buckets + 1))
+                cols = [[] for _ in PACKED]
+                for i in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
+                    x, z = edges[i], edges[i + 1]
+                    who, count = np.unique(o[x:z], return_counts=True)
+                    for c, v in zip(cols, (i, ids[who].astype(np.int64).tobytes(), n_of[who].astype(np.uint32).tobytes(), count.astype(np.uint32).tobytes(), k[x:z].tobytes(), g[x:z].tobytes())):
+                        c.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32())] + [pa.array(c, pa.binary()) for c in cols[1:]], names=PACKED)
+
+    return reps.select("doc", "text").mapInArrow(run, POSTS)
+
+
+def key_pairs(key: np.ndarray, n: np.ndarray, g: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of the pairs with equal keys within the prefixes their two sizes call for; ``key`` then ``n`` ascending."""
+    at = np.arange(len(key) - 1)
+    lag = 1
+    while len(at):
+        at = at[at + lag < len(key)]
+        other = at + lag
+        ok = (key[at] == key[other]) & (n[at] >= threshold * n[other] - 1e-9)
+        at, other = at[ok], other[ok]
+        alpha = np.ceil(threshold / (1 + threshold) * (n[at] + n[other]) - 1e-9).astype(np.int64) - COMMON
+        good = (g[at] <= n[at] - alpha) & (g[other] <= n[other] - alpha)
+        yield at[good], other[good]
+        lag += 1
+
+
+PAIRS = "part int, d1 binary, d2 binary, counts binary"
+
+
+def shared_keys(post: DataFrame, parts: int, threshold: float) -> DataFrame:
+    """Pairs of records with the number of keys they share in a bucket, packed by a hash of the pair."""
+
+    def packed(docs: np.ndarray, code: list) -> pa.RecordBatch:
+        pair, count = np.unique(np.concatenate(code), return_counts=True)
+        x, y = docs[pair // len(docs)], docs[pair % len(docs)]
+        d1, d2 = np.minimum(x, y), np.maximum(x, y)
+        part = (mix(d1.view(np.uint64) + mix(d2.view(np.uint64))) % U(parts)).astype(np.int64)
+        by = np.argsort(part, kind="stable")
+        d1, d2, count, part = d1[by], d2[by], np.minimum(count[by], 255).astype(np.uint8), part[by]
+        edges = np.searchsorted(part, np.arange(parts + 1))
+        some = np.flatnonzero(edges[1:] > edges[:-1])
+        cut_at = [(edges[i], edges[i + 1]) for i in some.tolist()]
+        return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32))] + [pa.array([v[a:z].tobytes() for a, z in cut_at], pa.binary()) for v in (d1, d2, count)], names=["part", "d1", "d2", "counts"])
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (np.int64, np.uint32, np.uint32, np.uint32, np.uint16)
+        got = [[] for _ in kinds]
         for b in batches:
-            for s in _slices(b):
-                ids = np.asarray(s.column("doc").to_numpy(zero_copy_only=False))
-                owner, h = shingles(s.column("text").to_pylist())
-                n_of = np.bincount(owner, minlength=len(ids)).astype(np.int32)
-                slot = (mix(h + U(99)) % U(PARITY * 64)).astype(np.int64)
-                bits = np.bincount(owner * (PARITY * 64) + slot, minlength=len(ids) * PARITY * 64) & 1
-                packed = np.packbits(bits.astype(np.uint8).reshape(len(ids), -1), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n_of), pa.array([r.tobytes() for r in packed], pa.binary())], names=["doc", "n", "ring"])
+            for into, name, kind in zip(got, PACKED[1:], kinds):
+                into += [np.frombuffer(v.as_py(), dtype=kind) for v in b.column(name)]
+        docs, size, count, keys, spent = (np.concatenate(x) for x in got)
+        del got
+        docs, inverse = np.unique(docs, return_inverse=True)
+        doc, n = np.repeat(inverse, count), np.repeat(size, count)
+        by = np.argsort((keys.astype(np.uint64) << U(32)) | n)
+        keys, doc, n, spent = keys[by], doc[by], n[by].astype(np.int64), spent[by].astype(np.int64)
+        held, size = [], 0
+        for x, y in key_pairs(keys, n, spent, threshold):
+            if not len(x):
+                continue
+            p, q = doc[x], doc[y]
+            code = (np.minimum(p, q) * len(docs) + np.maximum(p, q))[p != q]
+            held += [code, np.repeat(code[n[x][p != q] < TINY], COMMON)]
+            size += len(x)
+            if size > HELD:
+                yield packed(docs, held)
+                held, size = [], 0
+        if held:
+            yield packed(docs, held)
+
+    return post.groupBy("bucket").applyInArrow(run, PAIRS)
+
+
+def candidates(shared: DataFrame) -> DataFrame:
+    """(d1, d2): pairs that share COMMON keys over all buckets."""
+
+    def counted(d1, d2, n):
+        order = np.argsort(mix(d1.view(np.uint64) + mix(d2.view(np.uint64))), kind="stable")
+        d1, d2, n = d1[order], d2[order], n[order]
+        new = np.ones(len(d1), dtype=bool)
+        new[1:] = (d1[1:] != d1[:-1]) | (d2[1:] != d2[:-1])
+        at = np.flatnonzero(new)
+        return d1[at], d2[at], np.add.reduceat(n, at) if len(at) else n
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            for row in zip(b.column("d1"), b.column("d2"), b.column("counts")):
+                held.append(tuple(np.frombuffer(v.as_py(), dtype=k) for v, k in zip(row, (np.int64, np.int64, np.uint8))))
+                size += len(held[-1][0])
+                if size > 4 * HELD:
+                    held = [counted(*(np.concatenate([h[i] for h in held]).astype(np.int64) for i in range(3)))]
+                    size = len(held[0][0])
+        d1, d2, n = counted(*(np.concatenate([h[i] for h in held]).astype(np.int64) for i in range(3)))
+        yield pa.RecordBatch.from_arrays([pa.array(d1[n >= COMMON]), pa.array(d2[n >= COMMON])], names=["d1", "d2"])
 
-    return reps.select("doc", "text").mapInArrow(run, "doc bigint, n int, ring binary")
+    return shared.groupBy("part").applyInArrow(run, "d1 bigint, d2 bigint").dropDuplicates(["d1", "d2"])
 
 
 def chain_ok(diff: np.ndarray, budget: np.ndarray) -> np.ndarray:
@@ -250,43 +368,46 @@ def chain_ok(diff: np.ndarray, budget: np.ndarray) -> np.ndarray:
     return out
 
 
-def ring_filter(pairs: DataFrame, rings: DataFrame, threshold: float) -> DataFrame:
-    """Candidates that pass the pigeonring test."""
-    one = rings.select(F.col("doc").alias("d1"), F.col("n").alias("n1"), F.col("ring").alias("r1"))
-    two = rings.select(F.col("doc").alias("d2"), F.col("n").alias("n2"), F.col("ring").alias("r2"))
-
-    def run(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            r = [np.frombuffer(b"".join(b.column(c).to_pylist()), dtype=np.uint64).reshape(b.num_rows, PARITY) for c in ("r1", "r2")]
-            n = b.column("n1").to_numpy().astype(np.int64) + b.column("n2").to_numpy()
-            budget = n - 2 * np.ceil(threshold / (1 + threshold) * n - 1e-9).astype(np.int64)
-            keep = pa.array(chain_ok(np.bitwise_count(r[0] ^ r[1]), budget))
-            yield pa.RecordBatch.from_arrays([b.column("d1").filter(keep), b.column("d2").filter(keep)], names=["d1", "d2"])
-
-    return pairs.join(one, "d1").join(two, "d2").select("d1", "d2", "n1", "r1", "n2", "r2").mapInArrow(run, "d1 bigint, d2 bigint")
+def pair_check(one: list[str], two: list[str], threshold: float) -> np.ndarray:
+    """Similarity of each pair of texts that passes the pigeonring and the full check, else 0."""
+    o1, h1 = shingles(one)
+    o2, h2 = shingles(two)
+    n1, n2 = np.bincount(o1, minlength=len(one)), np.bincount(o2, minlength=len(one))
+    o, h = np.concatenate([o1, o2]), np.concatenate([h1, h2])
+    order = np.lexsort((h, o))
+    o, h = o[order], h[order]
+    both = np.zeros(len(o), dtype=bool)
+    if len(o):
+        both[:-1] = (o[1:] == o[:-1]) & (h[1:] == h[:-1])
+    lone = ~both
+    lone[1:] &= ~both[:-1]
+    # Differences by segment: the tokens that only one of the two has.
+    diff = np.bincount(o[lone] * CHAIN + (mix(h[lone]) % U(CHAIN)).astype(np.int64), minlength=len(one) * CHAIN).reshape(len(one), CHAIN)
+    budget = n1 + n2 - 2 * np.ceil(threshold / (1 + threshold) * (n1 + n2) - 1e-9).astype(np.int64)
+    common = np.bincount(o[both], minlength=len(one))
+    union = n1 + n2 - common
+    alike = chain_ok(diff, budget) & (union > 0) & (common >= threshold * union - 1e-9)
+    return np.where(alike, common / np.maximum(union, 1), 0.0)
 
 
 def full_check(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
-    """(rep1, rep2, similarity) of the candidates whose true sets are alike."""
+    """(rep1, rep2, similarity) of the candidates whose true sets are alike. Sizes of what comes out of Python are unknown
+    to the planner, so both joins are shuffled whatever it thinks of them."""
     one = reps.select(F.col("doc").alias("d1"), F.col("rep").alias("rep1"), F.col("text").alias("t1"))
     two = reps.select(F.col("doc").alias("d2"), F.col("rep").alias("rep2"), F.col("text").alias("t2"))
 
     def run(batches):
         for b in batches:
-            r1, r2, t1, t2 = (b.column(c).to_pylist() for c in ("rep1", "rep2", "t1", "t2"))
-            out = []
-            for p, q, x, y in zip(r1, r2, t1, t2):
-                s = {x[i : i + WIDTH] for i in range(len(x) - WIDTH + 1)}
-                z = {y[i : i + WIDTH] for i in range(len(y) - WIDTH + 1)}
-                both, union = len(s & z), len(s | z)
-                if p != q and union and both >= threshold * union - 1e-9:
-                    out.append((min(p, q), max(p, q), both / union))
-            cols = list(zip(*out)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64())], names=["rep1", "rep2", "similarity"])
+            for i in range(0, b.num_rows, 256):
+                s = b.slice(i, 256)
+                r1, r2, t1, t2 = (s.column(c).to_pylist() for c in ("rep1", "rep2", "t1", "t2"))
+                got = pair_check(t1, t2, threshold)
+                out = [(min(p, q), max(p, q), v) for p, q, v in zip(r1, r2, got.tolist()) if v and p != q]
+                cols = list(zip(*out)) or [(), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64())], names=["rep1", "rep2", "similarity"])
 
-    return pairs.join(one, "d1").join(two, "d2").select("rep1", "rep2", "t1", "t2").mapInArrow(run, "rep1 string, rep2 string, similarity double")
+    joined = pairs.hint("merge").join(one.hint("merge"), "d1").hint("merge").join(two.hint("merge"), "d2")
+    return joined.select("rep1", "rep2", "t1", "t2").mapInArrow(run, "rep1 string, rep2 string, similarity double")
 
 
 def classes(records: DataFrame) -> DataFrame:
@@ -302,50 +423,72 @@ def records(df: DataFrame, key: str, *parts: str) -> DataFrame:
 def similar_classes(reps: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(rep1, rep2, similarity) of all pairs of different texts that are alike; ``reps`` is read several times."""
     t = settings.threshold
-    post = postings(reps, count_sketch(reps), t)
-    return full_check(ring_filter(candidates(post, t), parity_rings(reps), t), reps, t).dropDuplicates(["rep1", "rep2"])
+    tokens = reps.agg(F.coalesce(F.sum(F.char_length("text")), F.lit(0)).alias("n")).first()["n"]
+    buckets = max(8, math.ceil(tokens / 2 / PER_BUCKET))
+    post = postings(reps, token_order(reps, tokens), buckets, t)
+    return full_check(candidates(shared_keys(post, 8 * buckets, t)), reps, t).dropDuplicates(["rep1", "rep2"])
 
 
 def members(recs: DataFrame, reps: DataFrame) -> DataFrame:
     """(id, rep, copies) of the ids whose text several ids have; salted, as one text may have a third of all ids."""
     several = reps.where("copies > 1").select(F.xxhash64("text").alias("th"), F.col("text").alias("rtext"), "rep", "copies", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     side = recs.select("id", "text", F.xxhash64("text").alias("th"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
-    return side.join(several, ["th", "salt"]).where("text = rtext").select("id", "rep", "copies")
+    return side.hint("merge").join(several.hint("merge"), ["th", "salt"]).where("text = rtext").select("id", "rep", "copies")
 
 
 def alike_pairs(recs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(id1, id2) of all alike pairs of ids, smaller id first; large classes of equal texts as links to their smallest id."""
     reps = cut(classes(recs))
-    links = cut(similar_classes(reps.where(F.char_length("text") >= WIDTH), settings).select("rep1", "rep2"))
-    own = cut(members(recs, reps.where(F.char_length("text") >= WIDTH)))
+    long = reps.where(F.char_length("text") >= WIDTH)
+    links = cut(similar_classes(long, settings).select("rep1", "rep2"))
+    own = cut(members(recs, long))
     small = own.where(F.col("copies") <= settings.expand)
-    others = small.where("id <> rep")
-    first = links.join(others.select(F.col("rep").alias("rep1"), F.col("id").alias("x1")), "rep1").select(F.col("x1").alias("rep1"), "rep2", F.col("rep1").alias("o1"))
-    wide = links.select("rep1", "rep2").unionByName(first.select("rep1", "rep2"))
-    second = wide.join(others.select(F.col("rep").alias("rep2"), F.col("id").alias("x2")), "rep2").select("rep1", F.col("x2").alias("rep2"))
-    a, b = small.alias("a"), small.alias("b")
+    others = small.where("id <> rep").hint("merge")
+    first = links.hint("merge").join(others.select(F.col("rep").alias("rep1"), F.col("id").alias("x1")), "rep1").select(F.col("x1").alias("rep1"), "rep2")
+    wide = links.select("rep1", "rep2").unionByName(first)
+    second = wide.hint("merge").join(others.select(F.col("rep").alias("rep2"), F.col("id").alias("x2")), "rep2").select("rep1", F.col("x2").alias("rep2"))
+    a, b = small.alias("a").hint("merge"), small.alias("b").hint("merge")
     inside = a.join(b, (F.col("a.rep") == F.col("b.rep")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("rep1"), F.col("b.id").alias("rep2"))
     star = own.where((F.col("copies") > settings.expand) & (F.col("id") != F.col("rep"))).select(F.col("rep").alias("rep1"), F.col("id").alias("rep2"))
     every = wide.unionByName(second).unionByName(inside).unionByName(star)
     return every.select(F.least("rep1", "rep2").alias("id1"), F.greatest("rep1", "rep2").alias("id2")).dropDuplicates(["id1", "id2"])
 
 
+def memberships(recs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """(id, class_id, copies, links, group_id): every id with the smallest id of its text, how many ids have that text, to how
+    many other ids it is alike, and the smallest id of all that are linked to it by chains of likeness."""
+    reps = cut(classes(recs))
+    long = reps.where(F.char_length("text") >= WIDTH)
+    pairs = cut(similar_classes(long, settings).select("rep1", "rep2"))
+    both = pairs.unionByName(pairs.select(F.col("rep2").alias("rep1"), F.col("rep1").alias("rep2")))
+    size = long.select(F.col("rep").alias("rep2"), "copies").hint("merge")
+    near = both.hint("merge").join(size, "rep2").groupBy("rep1").agg(F.sum("copies").alias("near")).withColumnRenamed("rep1", "rep")
+    group = groups(pairs.select(F.col("rep1").alias("id1"), F.col("rep2").alias("id2"))).withColumnRenamed("id", "rep")
+    per = reps.hint("merge").join(near.hint("merge"), "rep", "left").hint("merge").join(group.hint("merge"), "rep", "left")
+    alone = F.when(F.char_length("text") >= WIDTH, F.col("copies") - 1).otherwise(0)
+    per = per.select("rep", "copies", (alone + F.coalesce("near", F.lit(0))).alias("links"), F.coalesce("group_id", "rep").alias("group_id"))
+    ids = recs.select("id").hint("merge").join(members(recs, reps).select("id", "rep").hint("merge"), "id", "left").select("id", F.coalesce("rep", "id").alias("rep"))
+    salted = per.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    out = ids.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).hint("merge").join(salted.hint("merge"), ["rep", "salt"])
+    return out.select("id", F.col("rep").alias("class_id"), "copies", "links", "group_id")
+
+
 def groups(pairs: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, group_id): connected components of the pairs by alternating large and small stars, until nothing changes."""
     edges = cut(pairs.select(F.col("id1").alias("u"), F.col("id2").alias("v")).where("u <> v").dropDuplicates())
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").dropDuplicates()
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).hint("merge")
+        large = both.hint("merge").join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").dropDuplicates()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         low2 = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(low2, "u")
+        small = down.hint("merge").join(low2.hint("merge"), "u")
         new = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low2.select("u", F.col("m").alias("v"))).dropDuplicates()
         new = cut(new)
-        same = new.join(edges, ["u", "v"], "left_anti").isEmpty() and edges.join(new, ["u", "v"], "left_anti").isEmpty()
+        same = new.hint("merge").join(edges.hint("merge"), ["u", "v"], "left_anti").isEmpty() and edges.hint("merge").join(new.hint("merge"), ["u", "v"], "left_anti").isEmpty()
         edges = new
         if same:
             break
     label = edges.groupBy("u").agg(F.min("v").alias("group_id"))
-    roots = edges.select(F.col("v").alias("u")).distinct().join(label, "u", "left_anti").select("u", F.col("u").alias("group_id"))
+    roots = edges.select(F.col("v").alias("u")).distinct().hint("merge").join(label.hint("merge"), "u", "left_anti").select("u", F.col("u").alias("group_id"))
     return label.unionByName(roots).select(F.col("u").alias("id"), "group_id")

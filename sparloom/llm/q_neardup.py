@@ -10,19 +10,17 @@ from sparloom.session import cut
 from sparloom.sources.tables import table
 
 
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    return neardup.alike_pairs(cut(neardup.records(table(spark, d, "qa_pairs"), "qa_id", "question", "answer", "instruction")))
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    return cut(neardup.records(table(spark, d, "qa_pairs"), "qa_id", "question", "answer", "instruction"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return _pairs(spark, d).select(F.col("id1").alias("qa_id_1"), F.col("id2").alias("qa_id_2"))
+    return neardup.alike_pairs(_records(spark, d)).select(F.col("id1").alias("qa_id_1"), F.col("id2").alias("qa_id_2"))
 
 
 def p4_groups(spark: SparkSession, d: str) -> DataFrame:
-    """One row per QA pair that is alike to another, with its group and its number of links."""
-    pairs = cut(_pairs(spark, d))
-    links = pairs.select(F.explode(F.array("id1", "id2")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
-    return neardup.groups(pairs).join(links, "id").select(F.col("id").alias("qa_id"), "group_id", "links")
+    """One row per QA pair: the class of its text, how many have that text, its number of links and its group."""
+    return neardup.memberships(_records(spark, d)).withColumnRenamed("id", "qa_id")
 
 
 QUERIES = {f.__name__: f for f in (p4_found, p4_groups)}

@@ -41,10 +41,53 @@ def test_equals_brute_force_on_edits(spark):
     assert got == brute(rows)
 
 
-def test_large_classes_come_out_as_a_star(spark):
-    rows = [(f"k{i:03}", "the same text in every record", 0, "") for i in range(100)] + [("z", "the same text in every record!", 0, "")]
+def pairs_of(rows, links):
+    """All alike pairs from memberships and the links between classes."""
+    of = {}
+    for r in rows:
+        of.setdefault(r.class_id, []).append(r.id)
+    out = {(a, b) for ids in of.values() for a, b in itertools.combinations(sorted(ids), 2)}
+    return out | {(min(a, b), max(a, b)) for x, y in links for a in of[x] for b in of[y]}
+
+
+def test_memberships_give_all_pairs_of_large_classes(spark):
+    rows = [(f"k{i:03}", "the same text in every record", 0, "") for i in range(70)] + [(f"z{i:03}", "the same text in every records", 0, "") for i in range(3)] + [("other", "quite another line of words", 0, ""), ("tiny", "a", 0, ""), ("tiny2", "a", 0, "")]
+    r = recs(spark, rows)
+    got = N.memberships(r).collect()
+    assert sorted(x.id for x in got) == sorted(k for k, *_ in rows)
+    links = [(x.rep1, x.rep2) for x in N.similar_classes(cut(N.classes(r)).where("char_length(text) >= 8")).collect()]
+    want = brute([(k, t) for k, t, *_ in rows])
+    assert pairs_of([x for x in got if not x.id.startswith("tiny")], links) == want
+    assert len({p for p in want if p[0][0] == p[1][0] == "k"}) == 2415
+    degree = {k: sum(k in p for p in want) for k, *_ in rows}
+    assert {x.id: x.links for x in got} == degree
+    assert {x.id: x.group_id for x in got}["z002"] == "k000" and {x.id: x.group_id for x in got}["other"] == "other"
+    star = {(x.id1, x.id2) for x in N.alike_pairs(r).collect()}
+    assert star <= want and {("k000", f"k{i:03}") for i in range(1, 70)} <= star and ("z000", "z001") in star
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_sizes_across_modes_equal_brute_force(spark, seed):
+    """Short, middle and long records with inserted, dropped and moved parts around the threshold."""
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 6))) for _ in range(60)]
+    rows = []
+    for i in range(70):
+        w = [rng.choice(words) for _ in range(rng.choice([2, 3, 5, 20, 26, 30, 40, 130, 180, 250]))]
+        rows.append((f"b{i}", " ".join(w), 0, ""))
+        for j in range(3):
+            v = list(w)
+            k = rng.randrange(len(v))
+            cutting = max(1, int(len(v) * rng.choice([0.05, 0.15, 0.25, 0.3])))
+            if j == 0:
+                v = v[:k] + v[k + cutting :]
+            elif j == 1:
+                v = v[k:] + v[:k]
+            else:
+                v[k : k + cutting // 2] = [rng.choice(words) for _ in range(cutting // 2)]
+            rows.append((f"e{i}_{j}", " ".join(v), 0, ""))
     got = {(r.id1, r.id2) for r in N.alike_pairs(recs(spark, rows)).collect()}
-    assert got == {("k000", f"k{i:03}") for i in range(1, 100)} | {("k000", "z")}
+    assert got == brute([(k, t) for k, t, *_ in rows])
 
 
 def test_empty(spark):
