@@ -1,7 +1,7 @@
 """Noise in text from scanned pages: found per block and field, and repaired into continuous paragraphs.
 
-1. Vocabulary: word counts over all blocks, pre-aggregated per partition; a word is known from ``known_from`` sightings,
-   at least total / MAX_WORDS of them, so that known words are at most MAX_WORDS and may be broadcast.
+1. Vocabulary: word counts over all blocks, pre-aggregated per partition; a word is known from KNOWN sightings, however
+   large the input. The vocabulary stays distributed: words are looked up by joins, behind a Bloom filter of bounded size.
 2. Misreads: every word shares character trigrams with known words that are much more frequent (inverted join of
    q-grams); gradient-boosted trees rank the candidates by look-alike cost, frequency and overlap, trained on known words
    corrupted with look-alike characters.
@@ -30,10 +30,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparloom.llm import bloom
 from sparloom.llm.boosting import Boosted
 from sparloom.session import cut, spread
 
-MAX_WORDS = 1 << 20
+#: Sightings that make a word known.
+KNOWN = 4
 #: A replacement must be this many times as frequent as the word it replaces.
 RATIO = 8
 #: Known words used to train the ranker, at most; each is corrupted three times.
@@ -157,11 +159,6 @@ def vocabulary(blocks: DataFrame) -> DataFrame:
     return spread(blocks.select("content", "cleaned_content")).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def known_from(total: int) -> int:
-    """Sightings that make a word known: at most MAX_WORDS words can have them."""
-    return max(4, -(-total // MAX_WORDS), min(20, total // 100_000))
-
-
 # ---- misreads ---------------------------------------------------------------------------------------------------
 
 
@@ -258,15 +255,24 @@ def fit_ranker(sample: list[tuple[str, int]], seed: int = 3) -> Boosted:
     return Boosted().fit(np.array(x), np.array(y))
 
 
-def corrections(vocab: DataFrame, floor: int) -> DataFrame:
-    """(word, right): misread words with the known word they stand for, by q-gram inverted join and boosted ranking."""
-    sample = [(r["word"], r["n"]) for r in vocab.where(F.col("n") >= floor).where(F.col("word").rlike(r"^\p{L}{3,}$")).orderBy(F.desc("n"), "word").limit(SAMPLE).collect()]
+def corrections(vocab: DataFrame) -> DataFrame:
+    """(word, right): misread words with the known word they stand for, by q-gram inverted join and boosted ranking.
+
+    A candidate shares a quarter of its grams with the word, so one of its grams but the commonest quarter is shared:
+    only those are posted, under gram and length, which keeps common grams short. Two look-alikes change the length by
+    two at most."""
+    sample = [(r["word"], r["n"]) for r in vocab.where(F.col("n") >= KNOWN).where(F.col("word").rlike(r"^\p{L}{3,}$")).orderBy(F.desc("n"), "word").limit(SAMPLE).collect()]
     model = fit_ranker(sample)
     gram = lambda c: F.expr(f"array_distinct(transform(sequence(1, char_length({c})), i -> substring(concat('^', {c}, '$'), i, 3)))")
-    weak = vocab.select("word", F.col("n").alias("n_word"), F.explode(gram("word")).alias("g"))
-    known = vocab.where((F.col("n") >= floor) & F.col("word").rlike(r"^\p{L}{2,}$")).select(F.col("word").alias("right"), F.col("n").alias("n_right"), F.explode(gram("word")).alias("g"))
-    near = (F.col("n_right") >= RATIO * F.greatest("n_word", F.lit(1))) & (F.abs(F.char_length("word") - F.char_length("right")) <= 2)
-    pairs = weak.join(known, "g").where(near).groupBy("word", "right", "n_word", "n_right").agg(F.count("*").alias("shared")).where(F.col("shared") >= F.greatest(F.lit(1), F.floor((F.char_length("right") + 2) / 4)))
+    weak = vocab.select("word", F.col("n").alias("n_word"), F.explode(gram("word")).alias("g")).withColumn("size", F.explode(F.expr("sequence(greatest(1, char_length(word) - 2), char_length(word) + 2)")))
+    known = vocab.where((F.col("n") >= KNOWN) & F.col("word").rlike(r"^\p{L}{2,}$")).select(F.col("word").alias("right"), F.col("n").alias("n_right"), gram("word").alias("grams"))
+    each = known.select("right", "n_right", F.size("grams").alias("all"), F.explode("grams").alias("g"))
+    each = each.join(each.groupBy("g").agg(F.count("*").alias("df")), "g").withColumn("at", F.row_number().over(Window.partitionBy("right").orderBy("df", "g")))
+    need = F.greatest(F.lit(1), F.floor((F.char_length("right") + 2) / 4))
+    posted = each.where(F.col("at") <= F.col("all") - need + 1).select("right", "n_right", "g", F.char_length("right").alias("size"))
+    near = F.col("n_right") >= RATIO * F.greatest("n_word", F.lit(1))
+    pairs = weak.join(posted, ["g", "size"]).where(near).select("word", "right", "n_word", "n_right").distinct()
+    pairs = pairs.withColumn("shared", F.size(F.array_intersect(gram("word"), gram("right")))).where(F.col("shared") >= need)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -295,30 +301,69 @@ def join_features(x: str, y: str, known: dict[str, int]) -> list[float]:
     return [np.log1p(known.get(a + b, 0)), np.log1p(known.get(f"{a}-{b}", 0)), np.log1p(known.get(a, 0)), np.log1p(known.get(b, 0)), min(len(a), len(b))]
 
 
-def fit_joins(known: dict[str, int], seed: int = 5) -> Boosted:
+def strong_words(vocab: DataFrame, fixes: DataFrame) -> DataFrame:
+    """(word, n): known words that are no misreads of others."""
+    return vocab.where(F.col("n") >= KNOWN).join(fixes.select("word"), "word", "left_anti").select("word", "n")
+
+
+def fit_joins(strong: DataFrame, seed: int = 5) -> Boosted:
     """Trained on at most SAMPLE known words cut anywhere (true), SAMPLE compounds at their hyphen and SAMPLE pairs of words (false)."""
     rng = np.random.default_rng(seed)
-    words = sorted(w for w in known if "-" not in w and len(w) >= 5)
-    words = [words[i] for i in rng.permutation(len(words))[:SAMPLE]]
-    compounds = sorted(w for w in known if "-" in w)
-    compounds = [compounds[i] for i in rng.permutation(len(compounds))[:SAMPLE]]
-    x, y = [], []
+    some = lambda c: [r["word"] for r in strong.where(c).select("word").orderBy(F.xxhash64("word", F.lit(seed)), "word").limit(SAMPLE).collect()]
+    words, compounds = some("word not like '%-%' and char_length(word) >= 5"), some("word like '%-%'")
+    pairs = []
     for w in words:
         k = int(rng.integers(2, len(w) - 1))
-        x.append(join_features(w[:k], w[k:], known))
-        y.append(1.0)
-        other = words[int(rng.integers(len(words)))]
-        if w + other not in known:
-            x.append(join_features(w, other, known))
-            y.append(0.0)
-    for c in compounds:
-        x.append(join_features(*c.split("-", 1), known))
-        y.append(0.0)
+        pairs.append((w[:k], w[k:], 1.0))
+        pairs.append((w, words[int(rng.integers(len(words)))], 0.0))
+    pairs += [(*c.split("-", 1), 0.0) for c in compounds]
+    asked = sorted({w for a, b, _ in pairs for w in (a + b, f"{a}-{b}", a, b)})
+    known = {r["word"]: r["n"] for r in strong.join(F.broadcast(strong.sparkSession.createDataFrame([(w,) for w in asked], "word string")), "word", "left_semi").collect()}
+    pairs = [(a, b, v) for a, b, v in pairs if v or "-" in f"{a}{b}" or a + b not in known]
+    x, y = [join_features(a, b, known) for a, b, _ in pairs], [v for *_, v in pairs]
     if len(set(y)) < 2:
         x, y = [[3.0, 0, 0, 0, 3], [0.0, 3, 3, 3, 3]] * 4, [1.0, 0.0] * 4
     return Boosted(rounds=12).fit(np.array(x), np.array(y))
 
 
+def joins(rows: DataFrame, strong: DataFrame) -> DataFrame:
+    """(word, line): the pairs of fragments that are one broken word. Each pair is asked once; what is known of it is looked
+    up by joins. Found noise and repair both use this decision."""
+    model = fit_joins(strong)
+    pairs = rows.where("kind = 'h'").select("word", "line").distinct()
+    asked = pairs.select("word", "line", F.posexplode(F.array(F.concat("word", "line"), F.concat_ws("-", "word", "line"), "word", "line")).alias("role", "w"))
+    n = asked.join(strong.select(F.col("word").alias("w"), "n"), "w").groupBy("word", "line").agg(*[F.max(F.when(F.col("role") == i, F.col("n"))).alias(f"n{i}") for i in range(4)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                a, z, *counts = (c.to_pylist() for c in b.columns)
+                x = np.array([[*(np.log1p(v or 0) for v in c), min(len(p), len(q))] for p, q, *c in zip(a, z, *counts)])
+                keep = pa.array(model.predict(x) >= 0.5)
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["word", "line"])
+
+    return n.where("n0 is not null").select("word", "line", "n0", "n1", "n2", "n3").mapInArrow(run, "word string, line string")
+
+
+class Suspects(dict):
+    """raw string -> those of its words that may be misreads by the Bloom filter, remembered per worker up to a bound."""
+
+    def __init__(self, bits: np.ndarray):
+        super().__init__()
+        self.bits, self.size = bits.tobytes(), 8 * len(bits)
+
+    def maybe(self, word: str) -> bool:
+        h = xxhash.xxh64_intdigest(word, 42)
+        a, b = h & (self.size - 1), (h >> 31) & (self.size - 1)
+        return bool(self.bits[a >> 3] >> (7 - (a & 7)) & 1 and self.bits[b >> 3] >> (7 - (b & 7)) & 1)
+
+    def __missing__(self, raw):
+        w = tuple(x for x in words_of(raw) if self.maybe(x))
+        if len(self) < 400_000:
+            self[raw] = w
+        return w
+
+
 def fit_furniture(rows: list) -> Boosted | None:
     """Whether a line is furniture by its looks alone, trained on at most 4 * SAMPLE lines whose repetition tells: on three
     pages or more and hardly ever in the body (true), mostly in the body (false). None where both kinds don't occur."""
@@ -410,56 +455,39 @@ def edge_lines(text: str) -> list[tuple]:
     return [(lines[i].strip(), at[0].get(i), at[1].get(i), *got) for i, got in sorted(seen.items()) if got[1] or got[3]]
 
 
-def scan_blocks(blocks: DataFrame, strong: dict[str, int]) -> DataFrame:
-    """One pass over the texts: word breaks found (kind h), words to look up (kind u, b for broken ones), edge lines (kind e)."""
-    sent = blocks.sparkSession.sparkContext.broadcast((strong, fit_joins(strong)))
+def scan_blocks(blocks: DataFrame, fixes: DataFrame) -> DataFrame:
+    """One pass over the texts: possible word breaks (kind h, the fragments in word and line), words that may be misreads
+    (kind u, b for broken ones), edge lines (kind e)."""
+    sent = blocks.sparkSession.sparkContext.broadcast(bloom.build(fixes.select(F.xxhash64("word"))))
     names = ["block_id", "field", "kind", "word", "file", "page", "top", "bottom", "fold", "pn", "pure", "shape", "title", "line"]
     types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.bool_(), pa.string()]
+    blank = (None,) * 9
 
-    def joined(memo, model, known, x, y):
-        """Whether the line pair is one word: asked once per pair of fragments."""
-        got = memo.get((x, y))
-        if got is None:
-            got = bool(model.predict(np.array([join_features(x, y, known)]))[0] >= 0.5)
-            if len(memo) < 200_000:
-                memo[(x, y)] = got
-        return got
-
-    def one(out, known, model, pairs, memo, bid, file, page, field, t):
+    def one(out, memo, bid, file, page, field, t):
+        body = t
         if may_break(t):
             found = breaks(t)
+            for x, y in {(x.lower(), y.lower()) for _, _, x, y in found}:
+                out.append((bid, field, "h", x, *blank, y))
+                for w in words_of(x + y):
+                    if memo.maybe(w):
+                        out.append((bid, field, "b", w, *blank, None))
             if found:
-                hit = False
-                for _, _, x, y in found:
-                    j = (x + y).lower()
-                    if j in known:
-                        hit = hit or joined(pairs, model, known, x.lower(), y.lower())
-                    else:
-                        for w in words_of(x + y):
-                            out.append((bid, field, "b", w, None, None, None, None, None, None, None, None, None, None))
-                if hit:
-                    out.append((bid, field, "h", None, None, None, None, None, None, None, None, None, None, None))
                 body = without(t, found)
-            else:
-                body = t
-        else:
-            body = t
-        for raw in set(body.split()):
-            for w in memo[raw]:
-                if w not in known:
-                    out.append((bid, field, "u", w, None, None, None, None, None, None, None, None, None, None))
+        for w in {w for raw in set(body.split()) for w in memo[raw]}:
+            out.append((bid, field, "u", w, *blank, None))
         for raw, top, bottom, text, pn, pure, shape in edge_lines(t):
             out.append((bid, field, "e", None, file, page, top, bottom, xxhash.xxh64_intdigest(fold(text)) - (1 << 63) if shape else None, pn, pure, shape, shape and title_like(text), raw))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (known, model), memo, pairs = sent.value, Words(), {}
+        memo = Suspects(sent.value)
         for b in batches:
             out = []
             for bid, file, page, content, cleaned in zip(*(c.to_pylist() for c in b.columns)):
                 if content:
-                    one(out, known, model, pairs, memo, bid, file, page, "content", content)
+                    one(out, memo, bid, file, page, "content", content)
                 if cleaned:
-                    one(out, known, model, pairs, memo, bid, file, page, "cleaned_content", cleaned)
+                    one(out, memo, bid, file, page, "cleaned_content", cleaned)
             cols = list(zip(*out)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
@@ -489,7 +517,7 @@ def furniture(edges: DataFrame, blocks: DataFrame) -> DataFrame:
         F.count_distinct(F.when(F.col("reached"), F.col("page_key"))).alias("all_pages"), F.count_if(F.col("reached")).alias("all_edge"), F.count_if(~F.col("reached")).alias("all_body"),
     )
     corpus = per_file.groupBy("fold").agg(F.sum("n_edge").alias("c_edge"), F.sum("n_body").alias("c_body"), F.sum("all_edge").alias("d_edge"), F.sum("all_body").alias("d_body"), F.count_if(F.col("pages") > 1).alias("c_files"))
-    stats = per_file.join(corpus, "fold")
+    stats = cut(per_file.join(corpus, "fold"))
     lone = F.col("c_body") <= 0.15 * (F.col("c_edge") + F.col("c_body"))
     inner = (F.col("all_pages") >= 3) & (F.col("d_body") <= 0.15 * (F.col("d_edge") + F.col("d_body")))
     model = fit_furniture(stats.where("n_edge + n_body > 0").orderBy(F.xxhash64("file", "fold"), "file", "fold").limit(4 * SAMPLE).collect())
@@ -522,31 +550,28 @@ def first_copies(blocks: DataFrame) -> DataFrame:
     return blocks.select("block_id", "project_id", "file_name", "page_num", "content", "block_type", "cleaned_content")
 
 
-def analyse(blocks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(noise rows, corrections, furniture); noise rows and corrections are cut, as several results are drawn from them."""
+def analyse(blocks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(noise rows, corrections, broken words, furniture); the first three are cut, as several results are drawn from them."""
     vocab = cut(vocabulary(blocks))
-    total = vocab.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    floor = known_from(total)
-    fixes = cut(corrections(vocab, floor))
-    strong = {r["word"]: r["n"] for r in vocab.where(F.col("n") >= floor).join(fixes, "word", "left_anti").select("word", "n").collect()}
-    rows = cut(scan_blocks(blocks, strong))
-    return rows, fixes, furniture(rows.where("kind = 'e'"), blocks)
+    fixes = cut(corrections(vocab))
+    rows = cut(scan_blocks(blocks, fixes))
+    return rows, fixes, cut(joins(rows, cut(strong_words(vocab, fixes)))), furniture(rows.where("kind = 'e'"), blocks)
 
 
 def noise(blocks: DataFrame) -> DataFrame:
     """(block_id, field, noise): every kind of noise a field holds."""
-    rows, fixes, lines = analyse(first_copies(blocks))
+    rows, fixes, broken, lines = analyse(first_copies(blocks))
     looked = rows.where("kind in ('u', 'b')").select("block_id", "field", "kind", "word").join(fixes, "word")
     misread = looked.select("block_id", "field", F.lit("misread").alias("noise"))
-    broken = looked.where("kind = 'b'").unionByName(rows.where("kind = 'h'").select("block_id", "field", "kind", "word", F.lit("").alias("right")), allowMissingColumns=True)
-    hyphen = broken.select("block_id", "field", F.lit("hyphenation").alias("noise"))
+    cut_words = rows.where("kind = 'h'").select("block_id", "field", "word", "line").join(broken, ["word", "line"], "left_semi").select("block_id", "field")
+    hyphen = looked.where("kind = 'b'").select("block_id", "field").unionByName(cut_words).withColumn("noise", F.lit("hyphenation"))
     head = lines.where("running").select("block_id", "field", F.lit("running_header").alias("noise"))
     number = lines.where("number").select("block_id", "field", F.lit("page_number").alias("noise"))
     return misread.unionByName(hyphen).unionByName(head).unionByName(number).distinct()
 
 
-def repair_text(text: str, drop: set[int], fixes: dict[str, str], strong: dict[str, int], flow: bool) -> str:
-    """Furniture out (filled lines, counted from 0 at the top and from -1 at the bottom), broken words joined, misread words replaced; in running text also the lines of a paragraph joined."""
+def repair_text(text: str, drop: set[int], fixes: dict[str, str], broken: set[tuple[str, str]], flow: bool) -> str:
+    """Furniture out (filled lines, counted from 0 at the top and from -1 at the bottom), broken words (their fragments in ``broken``) joined, misread words replaced; in running text also the lines of a paragraph joined."""
     lines = text.split("\n")
     if drop:
         filled = [i for i, x in enumerate(lines) if x.strip()]
@@ -558,7 +583,7 @@ def repair_text(text: str, drop: set[int], fixes: dict[str, str], strong: dict[s
         j = (x + y).lower()
         if a >= at:
             out.append(t[at:a])
-            out.append(x + y if j in strong or j in fixes else re.sub(rf"([{HYPHENS}])\s+", r"\1", t[a:b]))
+            out.append(x + y if (x.lower(), y.lower()) in broken or j in fixes else re.sub(rf"([{HYPHENS}])\s+", r"\1", t[a:b]))
             at = b
     t = "".join(out) + t[at:]
     if fixes:
@@ -575,21 +600,18 @@ def _cased(seen: str, right: str) -> str:
 def repaired(blocks: DataFrame) -> DataFrame:
     """(block_id, text): the content of every block as continuous, readable paragraphs."""
     src = first_copies(blocks)
-    vocab = cut(vocabulary(src))
-    floor = known_from(vocab.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"])
-    fixes = cut(corrections(vocab, floor))
-    strong = {r["word"]: r["n"] for r in vocab.where(F.col("n") >= floor).join(fixes, "word", "left_anti").select("word", "n").collect()}
-    rows = cut(scan_blocks(src, strong))
-    lines = furniture(rows.where("kind = 'e'"), src)
+    rows, fixes, broken, lines = analyse(src)
     per_word = rows.where("field = 'content' and kind in ('u', 'b')").join(fixes, "word").groupBy("block_id").agg(F.map_from_entries(F.collect_set(F.struct("word", "right"))).alias("fixes"))
+    per_break = rows.where("field = 'content' and kind = 'h'").select("block_id", "word", "line").join(broken, ["word", "line"]).groupBy("block_id").agg(F.collect_set(F.struct("word", "line")).alias("broken"))
     per_line = lines.where("field = 'content'").groupBy("block_id").agg(F.collect_set(F.coalesce("top", -1 - F.col("bottom"))).alias("drop"))
     texts = src.where("block_id is not null").groupBy("block_id").agg(F.max(F.struct("content", "block_type")).alias("b")).select("block_id", "b.content", "b.block_type")
-    sent = blocks.sparkSession.sparkContext.broadcast(strong)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, text, kind, fix, drop = (c.to_pylist() for c in b.columns)
-            new = [None if t is None else repair_text(t, set(d or ()), dict(f or ()), sent.value, k == "text") for t, k, f, d in zip(text, kind, fix, drop)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(new, pa.string())], names=["block_id", "text"])
+            new = []
+            for _, t, k, f, d, h in zip(*(c.to_pylist() for c in b.columns)):
+                new.append(None if t is None else repair_text(t, set(d or ()), dict(f or ()), {(x["word"], x["line"]) for x in h or ()}, k == "text"))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(new, pa.string())], names=["block_id", "text"])
 
-    return texts.join(per_word, "block_id", "left").join(per_line, "block_id", "left").select("block_id", "content", "block_type", "fixes", "drop").mapInArrow(run, "block_id bigint, text string")
+    joined = texts.join(per_word, "block_id", "left").join(per_line, "block_id", "left").join(per_break, "block_id", "left")
+    return joined.select("block_id", "content", "block_type", "fixes", "drop", "broken").mapInArrow(run, "block_id bigint, text string")
