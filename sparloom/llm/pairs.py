@@ -1,13 +1,15 @@
 """Broken prompt and response pairs: ordered rules, every triggered defect comes out.
 
 Rules, in order: emptiness; refusal phrases in three languages; copied question; unclosed delimiters and broken JSON;
-abrupt ending; language mismatch. An ending without a full stop is abrupt only where the corpus says so: a fixed-size
-counting sketch over all answers tells how often a sentence with the same opening and the same last words ends there
-and how often it goes on.
+abrupt ending; language mismatch. An ending without a full stop is abrupt only where the corpus says so: over all answers
+it is counted how often a sentence with the same opening and the same last words ends there and how often it goes on.
+Only what such endings ask for is counted: their keys make a Bloom filter, every answer's sentences are counted behind it,
+and the counts, exact whatever the size of the input, are joined back.
 
 Defined results
     * a null or blank answer is empty and nothing else; a null question copies nothing and has no language.
-    * refusals and copies are never also truncated; rows delivered twice come out once; rows with a null id are left out.
+    * refusals and copies that also break off are truncated too; a copy breaks off where an opened bracket, a quotation or
+      JSON tells, as its end is that of the question; rows delivered twice come out once; rows with a null id are left out.
     * whole answers are read, however long; an empty table gives no rows; further columns are ignored.
 """
 
@@ -24,9 +26,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparloom.session import spread
+from sparloom.llm import bloom
+from sparloom.session import cut, spread
 
-ROWS, WIDTH = 2, 1 << 20
 #: An answer of fewer characters is a value rather than a sentence.
 SHORT = 25
 #: An ending needs this many sightings to be judged by a key, and this share of them at a sentence end to be complete.
@@ -57,7 +59,6 @@ WORDS = {
 }
 #: Words, marks and masks that make the frame of a sentence; for Chinese the characters that bind rather than name.
 FRAME = WORDS["en"] | WORDS["de"] | frozenset("#@,，;；:：、的了在由并把被后前时会与和为是到若当则需须其每共随再先从将以及或不")
-M64 = 2**64 - 1
 OPENERS, CLOSERS = "([{（【「『《〈", ")]}）】」』》〉"
 SENTENCE_END = ".!?。！？"
 TOKEN = re.compile(r"[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+|[A-Z]{2}\d+\.\d+|\d+(?:\.\d+)*|[㐀-鿿]|[^\W\d_㐀-鿿]+(?:[-'’][^\W\d_㐀-鿿]+)*|[.!?。！？]|[,，;；:：、]")
@@ -159,80 +160,61 @@ def wrong_language(question: str | None, answer: str, instruction: str | None) -
     return not (ASKS[a].search(question or "") or ASKS[a].search(instruction or ""))
 
 
-class Endings:
-    """How often sentences with certain openings and last words end there or go on: two count-min rows of fixed size."""
+class Positions:
+    """Keys of every position of the sentences of some texts, in columns.
 
-    def __init__(self, ends=None, runs=None):
-        self.ends = np.zeros((ROWS, WIDTH), np.uint32) if ends is None else ends
-        self.runs = np.zeros((ROWS, WIDTH), np.uint32) if runs is None else runs
+    The frame of a position is what was said so far with each run of content words as one star, and the number of content
+    words since; the keys are frame and word, frame alone, the last two words, the last word.
+    """
+
+    def __init__(self):
         self.codes: dict[str, int] = {}
 
     def code(self, w: str) -> int:
+        """Hash of a token, the lowest bit set for words of the frame."""
         c = self.codes.get(w)
         if c is None:
-            c = xxhash.xxh64_intdigest(w)
+            c = xxhash.xxh64_intdigest(w) & ~1 | (w in FRAME)
             if len(self.codes) < 500_000:
                 self.codes[w] = c
         return c
 
-    def keys(self, toks: list[str]) -> np.ndarray:
-        """Hashes of the keys of every position of a sentence, most specific first: positions x 4.
-
-        The frame of a position is what was said so far with each run of content words as one star, and the number of
-        content words since; the keys are frame and word, frame alone, the last two words, the last word.
-        """
-        frame, run, frames = 17, 0, []
-        for t in toks:
-            if t in FRAME:
-                frame, run = (frame * 1000003 + (7 if run else 3)) & M64, 0
-                frame = (frame * 1000003 + self.code(t)) & M64
-            else:
-                run += 1
-            frames.append((frame * 31 + min(run, 6)) & M64)
-        f = np.array(frames, dtype=np.uint64)
-        c = np.array([self.code(t) for t in toks], dtype=np.uint64)
-        one = c * U(0x9E3779B97F4A7C15)
-        prev = np.zeros_like(c)
-        prev[1:] = c[:-1]
+    def keys(self, sents: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """(positions x 4 keys, most specific first; position of each sentence's last token)."""
+        sizes = np.array([len(x) for x in sents], dtype=np.int64)
+        last = np.cumsum(sizes) - 1
+        if not len(sents):
+            return np.zeros((0, 4), np.uint64), last
+        code = np.array([self.code(t) for x in sents for t in x], dtype=np.uint64)
+        n = len(code)
+        first = np.repeat(last + 1 - sizes, sizes)
+        at = np.arange(n)
+        frame = (code & U(1)).astype(bool)
+        # Content words since the last frame word of the sentence.
+        stop = np.maximum.accumulate(np.where(frame, at, -1))
+        run = at - np.maximum(stop, first - 1)
+        run[frame] = 0
+        star = frame.copy()
+        star[1:] &= run[:-1] > 0
+        star[0] = False
+        star &= at > first
+        # Frames as polynomial hashes over frame words and stars, by sums within the sentence.
+        place = np.cumsum(frame.astype(np.int64) + star)
+        before = np.concatenate([[0], place])[first]
+        power = np.cumprod(np.full(int((place - before).max()) + 2, 1000003, dtype=np.uint64))
+        value = np.where(frame, code * power[place - before], U(0)) + np.where(star, U(0x9E3779B9) * power[place - before - 1], U(0))
+        total = np.cumsum(value)
+        prefix = total - np.concatenate([np.zeros(1, np.uint64), total])[first]
+        f = prefix * U(31) + np.minimum(run, 6).astype(np.uint64)
+        one = code * U(0x9E3779B97F4A7C15)
+        prev = np.zeros_like(code)
+        prev[1:] = code[:-1]
+        prev[at == first] = 0
         two = one + prev * U(0xC2B2AE3D27D4EB4F)
         k = np.stack([f * U(0x165667B19E3779F9) + one, f * U(0x27D4EB2F165667C5) + U(1), two + U(3), one + U(4)], axis=1)
         k ^= k >> U(31)
         k *= U(0xBF58476D1CE4E5B9)
-        return k ^ (k >> U(29))
-
-    def known(self, word: str) -> bool:
-        """Whether the word stands anywhere else."""
-        k = self.keys([word])[-1][-1:]
-        a, b = self.slots(k)
-        return bool(np.minimum(self.ends[0][a], self.ends[1][b])[0].astype(np.int64) + np.minimum(self.runs[0][a], self.runs[1][b])[0] >= SEEN)
-
-    @staticmethod
-    def slots(k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return (k % U(WIDTH)).astype(np.int64), ((k >> U(32)) % U(WIDTH)).astype(np.int64)
-
-    def add(self, answers: list[str]) -> None:
-        end, run = [], []
-        for a in answers:
-            for sent, done in sentences(a):
-                k = self.keys(sent)
-                run.append(k[:-1])
-                if done:
-                    end.append(k[-1:])
-        for where, parts in ((self.ends, end), (self.runs, run)):
-            if parts:
-                for r, s in enumerate(self.slots(np.concatenate(parts).ravel())):
-                    where[r] += np.bincount(s, minlength=WIDTH).astype(np.uint32)
-
-    def complete(self, sent: list[str]) -> bool | None:
-        """Whether a sentence may end here; None where the corpus doesn't tell."""
-        k = self.keys(sent)[-1]
-        a, b = self.slots(k)
-        ends = np.minimum(self.ends[0][a], self.ends[1][b]).astype(np.int64)
-        runs = np.minimum(self.runs[0][a], self.runs[1][b]).astype(np.int64)
-        for e, r in zip(ends, runs):
-            if e + r >= SEEN:
-                return bool(e >= COMPLETE * (e + r))
-        return None
+        return k ^ (k >> U(29)), last
 
 
 def sentences(text: str) -> Iterator[tuple[list[str], bool]]:
@@ -249,7 +231,8 @@ def sentences(text: str) -> Iterator[tuple[list[str], bool]]:
         yield now, text.rstrip()[-1:] in ")）]】"
 
 
-def truncated(answer: str, endings: Endings) -> bool:
+def breaks_off(answer: str) -> bool | tuple[list[str], bool]:
+    """Whether an answer breaks off by what stands in it, or its last sentence (and whether it is closed) where the corpus has to tell."""
     text = body(answer)
     known = is_json(text)
     if known is not None:
@@ -264,83 +247,126 @@ def truncated(answer: str, endings: Endings) -> bool:
     if last is None:
         return False
     sent, done = last
-    if done and not re.search(r"\d\.$", text):
+    if done and not (re.search(r"\d\.$", text) and len(sent) > 4 and sent[-1] == "#"):
         return False
-    if not done and sent[-1].isascii() and sent[-1].isalpha() and not endings.known(sent[-1]):
-        return len(text) >= SHORT
-    verdict = endings.complete(sent)
-    if done:
-        return verdict is False and len(sent) > 4 and sent[-1] == "#" and endings_share(endings, sent) < 0.02
-    return len(text) >= SHORT and verdict is not True
+    return (sent, done) if done or len(text) >= SHORT else False
 
 
-def endings_share(endings: Endings, sent: list[str]) -> float:
-    a, b = endings.slots(endings.keys(sent)[-1])
-    ends = np.minimum(endings.ends[0][a], endings.ends[1][b]).astype(float)
-    runs = np.minimum(endings.runs[0][a], endings.runs[1][b]).astype(float)
-    for e, r in zip(ends, runs):
-        if e + r >= 20:
-            return e / (e + r)
-    return 1.0
+def structural(answer: str) -> bool:
+    """Breaks off inside a bracket, a quotation or JSON."""
+    text = body(answer)
+    known = is_json(text)
+    return not known if known is not None else unclosed(text)
+
+
+def abrupt(done: bool, worded: bool, ends: list[int], runs: list[int]) -> bool:
+    """Whether a sentence may not end where it does; ``ends``, ``runs``: sightings of its four keys at an end and before one,
+    ``worded``: its last token is a word of letters."""
+    seen = [(e, e + r) for e, r in zip(ends, runs)]
+    if not done and worded and seen[-1][1] < SEEN:
+        return True
+    complete = next((e >= COMPLETE * n for e, n in seen if n >= SEEN), None)
+    if done:
+        return complete is False and next((e / n for e, n in seen if n >= 20), 1.0) < 0.02
+    return complete is not True
 
 
-def defects(question: str | None, answer: str | None, instruction: str | None, endings: Endings) -> list[str]:
-    """Every defect of a pair, in the order of the rules."""
+def defects(question: str | None, answer: str | None, instruction: str | None) -> tuple[list[str], tuple[list[str], bool] | None]:
+    """The defects of a pair, in the order of the rules, and its last sentence where the corpus has to tell of one more."""
     if is_empty(answer):
-        return ["empty_answer"]
-    out = []
+        return ["empty_answer"], None
+    out, ask = [], None
     prose = is_json(body(answer)) is None
     if prose and REFUSAL.search(unicodedata.normalize("NFC", answer)):
         out.append("refusal")
-    if is_copy(question, answer):
+    copy = is_copy(question, answer)
+    if copy:
         out.append("copies_question")
-    if not out and truncated(answer, endings):
+    ends = structural(answer) if copy else breaks_off(answer)
+    if ends is True:
         out.append("truncated")
+    elif ends:
+        ask = ends
     if prose and wrong_language(question, answer, instruction):
         out.append("wrong_language")
-    return out
+    return out, ask
 
 
-def ending_counts(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The sketch over all answers: dense parts per partition, summed per part; 16 MB in all, whatever the input."""
-    parts = 16
-    width = 2 * ROWS * WIDTH // parts
+FOUND = "qa_id string, defect string, done boolean, worded boolean, keys array<bigint>"
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, some = Endings(), False
-        for b in batches:
-            texts = [t for t in b.column(0).to_pylist() if t and is_json(body(t)) is None]
-            for i in range(0, len(texts), 512):
-                e.add(texts[i : i + 512])
-                some = True
-        if some:
-            flat = np.concatenate([e.ends.ravel(), e.runs.ravel()]).reshape(parts, width)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(parts, dtype=np.int32)), pa.array([p.tobytes() for p in flat], pa.binary())], names=["part", "counts"])
-
-    def total(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = np.zeros(width, dtype=np.int64)
+
+def first_look(qa: DataFrame) -> DataFrame:
+    """(qa_id, defect, ...): defects that the pair itself shows; rows without a defect ask for an ending by its keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        positions = Positions()
         for b in batches:
-            for c in b.column("counts"):
-                s += np.frombuffer(c.as_py(), dtype=np.uint32)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.minimum(s, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())], names=["part", "counts"])
+            out, asks = [], []
+            for i, q, a, s in zip(*(c.to_pylist() for c in b.columns)):
+                found, ask = defects(q, a, s)
+                out += [(i, d, None, None, None) for d in found]
+                if ask:
+                    asks.append((i, *ask))
+            k, last = positions.keys([x for _, x, _ in asks])
+            for (i, sent, done), row in zip(asks, k[last].view(np.int64).tolist()):
+                out.append((i, None, done, sent[-1].isascii() and sent[-1].isalpha(), row))
+            cols = list(zip(*out)) or [()] * 5
+            types = (pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["qa_id", "defect", "done", "worded", "keys"])
+
+    return spread(qa.where("qa_id is not null").select("qa_id", "question", "answer", "instruction")).mapInArrow(run, FOUND)
+
+
+def ending_counts(qa: DataFrame, keys: DataFrame, held: int = 1_000_000) -> DataFrame:
+    """(key, ends, runs): sightings of the asked ``keys`` over all answers, summed per partition before they are shuffled."""
+    sent = qa.sparkSession.sparkContext.broadcast(bloom.build(keys))
 
-    rows = spread(df.select("answer").where("answer is not null")).mapInArrow(local, "part int, counts binary").groupBy("part").applyInArrow(total, "part int, counts binary").collect()
-    flat = np.zeros((parts, width), np.uint32)
-    for r in rows:
-        flat[r["part"]] = np.frombuffer(r["counts"], np.uint32)
-    both = flat.reshape(2, ROWS, WIDTH)
-    return both[0], both[1]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        positions, bits = Positions(), sent.value
+        kept: list[list[np.ndarray]] = [[], []]
+
+        def summed() -> pa.RecordBatch:
+            end, go = (np.concatenate([*k, np.zeros(0, np.uint64)]) for k in kept)
+            key, at = np.unique(np.concatenate([end, go]), return_inverse=True)
+            for k in kept:
+                k.clear()
+            n = [np.bincount(x, minlength=len(key)) for x in (at[: len(end)], at[len(end) :])]
+            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n[0]), pa.array(n[1])], names=["key", "ends", "runs"])
+
+        size = 0
+        for b in batches:
+            texts = b.column(0).to_pylist()
+            for i in range(0, len(texts), 256):
+                both = [x for t in texts[i : i + 256] if is_json(body(t)) is None for x in sentences(t)]
+                k, last = positions.keys([x for x, _ in both])
+                go = np.ones(len(k), dtype=bool)
+                go[last] = False
+                for into, part in zip(kept, (k[last[np.array([d for _, d in both], dtype=bool)]], k[go])):
+                    part = part.ravel()
+                    into.append(part[bloom.maybe(bits, part)])
+                    size += len(into[-1])
+                if size > held:
+                    yield summed()
+                    size = 0
+        yield summed()
+
+    rows = spread(qa.select("answer").where("answer is not null")).mapInArrow(run, "key bigint, ends bigint, runs bigint")
+    return rows.groupBy("key").agg(F.sum("ends").alias("ends"), F.sum("runs").alias("runs"))
 
 
 def broken_pairs(qa: DataFrame) -> DataFrame:
     """(qa_id, defect): every defect of every pair."""
-    sent = qa.sparkSession.sparkContext.broadcast(ending_counts(qa))
+    look = cut(first_look(qa))
+    asked = look.where("defect is null").select("qa_id", "done", "worded", "keys").distinct()
+    each = asked.select("*", F.posexplode("keys").alias("role", "key"))
+    counts = ending_counts(qa, asked.select(F.explode("keys").alias("key")).distinct())
+    n = lambda c: F.array(*[F.coalesce(F.max(F.when(F.col("role") == i, F.col(c))), F.lit(0)) for i in range(4)])
+    told = each.join(counts, "key", "left").groupBy("qa_id", "done", "worded", "keys").agg(n("ends").alias("ends"), n("runs").alias("runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = Endings(*sent.value)
         for b in batches:
-            out = [(i, d) for i, q, a, s in zip(*(c.to_pylist() for c in b.columns)) for d in defects(q, a, s, e)]
-            cols = list(zip(*out)) or [(), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string())], names=["qa_id", "defect"])
+            keep = pa.array([abrupt(*row) for row in zip(*(b.column(c).to_pylist() for c in ("done", "worded", "ends", "runs")))], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("qa_id").filter(keep)], names=["qa_id"])
 
-    return spread(qa.where("qa_id is not null").select("qa_id", "question", "answer", "instruction")).mapInArrow(run, "qa_id string, defect string").dropDuplicates(["qa_id", "defect"])
+    late = told.select("qa_id", "done", "worded", "ends", "runs").mapInArrow(run, "qa_id string").withColumn("defect", F.lit("truncated"))
+    return look.where("defect is not null").select("qa_id", "defect").unionByName(late).dropDuplicates(["qa_id", "defect"])
