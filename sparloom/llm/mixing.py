@@ -23,14 +23,12 @@ import math
 from collections.abc import Iterator
 from functools import cache
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparloom.session import cut, spread
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The split pattern of the vocabulary file; the package that brings the file gives it, this is used where it doesn't.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BLOCKS = 1024
@@ -48,7 +46,7 @@ def encoding(path: str):
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def with_tokens(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
+def with_tokens(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, source, tokens): token counts of whole texts; source trimmed, lower case, empty as null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +140,7 @@ def _plan(tokens: DataFrame, targets: DataFrame, target_entropy: float | None =
     return tokens.sparkSession.createDataFrame(plan_mix(source_sizes(tokens, targets).collect(), target_entropy), PLAN)
 
 
-def mix_plan(docs: DataFrame, targets: DataFrame, path: str = TOKENIZER, target_entropy: float | None = None) -> DataFrame:
+def mix_plan(docs: DataFrame, targets: DataFrame, path: str, target_entropy: float | None = None) -> DataFrame:
     """One row per source with a target: its weight, how often it is used (``passes``) and whether it falls short."""
     return _plan(with_tokens(docs, path), targets, target_entropy)
 
@@ -175,13 +173,15 @@ def _taken(tokens: DataFrame, plan: DataFrame, seed: int = 7) -> DataFrame:
     part = each.where(F.col("repeat") > F.col("passes"))
     cells = part.groupBy("source", "block", "size").agg(F.sum("tokens").alias("n"), F.min("tokens").alias("least"), F.first((F.col("passes") - F.col("repeat") + 1) * F.col("have")).alias("budget"))
 
-    def run(pdf):
-        pdf = pdf.sort_values(["block", "size"])
-        got = fill(list(zip(pdf["block"].tolist(), pdf["size"].tolist(), pdf["n"].tolist(), pdf["least"].tolist())), round(float(pdf["budget"].iloc[0]), 3))
-        return pd.DataFrame({"source": [pdf["source"].iloc[0]] * len(got), "block": [g[0] for g in got], "size": [g[1] for g in got], "room": pd.Series([g[2] for g in got], dtype="float64")})
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("block", "size", "n", "least", "budget"))))
+        got = fill([r[:4] for r in rows], round(float(rows[0][4]), 3)) if rows else []
+        cols = list(zip(*got)) or [(), (), ()]
+        types = (pa.int32(), pa.int32(), pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()] * len(got), pa.string()), *(pa.array(c, t) for c, t in zip(cols, types))], names=["source", "block", "size", "room"])
 
     # At most BLOCKS times the sizes there are, for each source, whatever the number of documents.
-    chosen = part.join(cells.groupBy("source").applyInPandas(run, "source string, block int, size int, room double"), ["source", "block", "size"])
+    chosen = part.join(cells.groupBy("source").applyInArrow(run, "source string, block int, size int, room double"), ["source", "block", "size"])
     names = ["doc_id", "source", "tokens", "repeat", "block", "place"]
     whole = each.where(F.col("repeat") <= F.col("passes")).select(names).unionByName(chosen.where("room is null or isnan(room)").select(names))
     w = Window.partitionBy("source").orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
@@ -189,19 +189,19 @@ def _taken(tokens: DataFrame, plan: DataFrame, seed: int = 7) -> DataFrame:
     return whole.unionByName(split.select(names))
 
 
-def realise(docs: DataFrame, plan: DataFrame, seed: int = 7, path: str = TOKENIZER) -> DataFrame:
+def realise(docs: DataFrame, plan: DataFrame, path: str, seed: int = 7) -> DataFrame:
     """(doc_id, source, repeat, block, place): each pass is a permutation of the source's documents in BLOCKS blocks; of the
     last pass documents are taken up to the token budget, see ``fill``."""
     return _taken(cut(with_tokens(docs, path)), plan, seed).drop("tokens")
 
 
-def mix(docs: DataFrame, targets: DataFrame, path: str = TOKENIZER) -> DataFrame:
+def mix(docs: DataFrame, targets: DataFrame, path: str) -> DataFrame:
     """The mix of ``realise`` by the plan of ``mix_plan``; texts are tokenized once."""
     tokens = cut(with_tokens(docs, path))
     return _taken(tokens, _plan(tokens, targets)).drop("tokens")
 
 
-def actual_shares(docs: DataFrame, targets: DataFrame, path: str = TOKENIZER) -> DataFrame:
+def actual_shares(docs: DataFrame, targets: DataFrame, path: str) -> DataFrame:
     """Per source: target share, actual share of the mix as realised, tokens used and the most uses of a document."""
     tokens = cut(with_tokens(docs, path))
     plan = _plan(tokens, targets)

@@ -8,8 +8,16 @@ from sparloom.llm import mixing
 from sparloom.sources.tables import table
 
 
+#: The vocabulary file, unless the session names another.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def _path(spark: SparkSession) -> str:
+    return spark.conf.get("spark.sparloom.tokenizer", TOKENIZER)
+
+
 def p8_plan(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix_plan(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return mixing.mix_plan(table(spark, d, "documents"), table(spark, d, "mix_targets"), _path(spark))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -18,11 +26,11 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
     """The mix: one row per use of a document."""
-    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), _path(spark))
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.actual_shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return mixing.actual_shares(table(spark, d, "documents"), table(spark, d, "mix_targets"), _path(spark))
 
 
 QUERIES = {f.__name__: f for f in (p8_found, p8_plan, p8_mix, p8_shares)}

@@ -36,15 +36,25 @@ def test_leaks(spark):
 
 
 def test_reparameterised(spark):
-    item = "To obtain ABC_1, multiply the outer level by 30 and add 7 counts when the main valve closes; then compare the level with 12 and report ABC_1 to the gateway"
-    other = item.replace("ABC_1", "XY_9").replace("30", "41").replace("12", "99")
-    mixed = other.replace("report XY_9", "report QQ_2")
-    d, i = found(spark, [(1, other, 0, 0), (2, item, 0, 0), (3, mixed, 0, 0)], [(10, item, "s")])
-    assert {r.doc_id for r in leakage.reparameterised(d, i).collect()} == {1, 3} or {r.doc_id for r in leakage.reparameterised(d, i).collect()} == {1}
+    def text(a, b, c, word="then"):
+        return f"To obtain the level of the pump set the outer valve to {a} and wait until the tank shows {b} on the main panel {word} compare the level once more with {c} and report it to the gateway of the plant before the pump is stopped by hand again"
+
+    item = text(5, 5, 8)
+    docs = [(1, text(7, 7, 9)), (2, item), (3, text(7, 9, 9)), (4, text(7, 9, 6)), (5, text(7, 7, 9, "later")), (6, "so it is " + text(31, 31, 40) + " and so on"), (7, None), (8, "")]
+    d, i = found(spark, [(k, t, 0, 0) for k, t in docs], [(10, item, "s"), (11, None, "s")])
+    got = {r.doc_id: r.words for r in leakage.reparameterised(d, i).collect()}
+    n = len(leakage.words(item))
+    assert got[1] == got[6] == n and set(got) == {1, 5, 6}
+    # One changed word: the longer half counts.
+    at = leakage.words(item).index("then")
+    assert got[5] == max(at, n - at - 1)
+    assert leakage.reparameterised(d.limit(0), i).count() == 0 and leakage.reparameterised(d, i.limit(0)).count() == 0
 
 
 # ---- mixing
 
+BPE = q_mixing.TOKENIZER
+
 
 def test_temperature():
     s = {"a": 0.7, "b": 0.2, "c": 0.1}
@@ -58,14 +68,14 @@ def test_mix(spark):
     docs = [(i, "word " * 10, " Big ", 1) for i in range(300)] + [(1000 + i, "word " * 10, "small", 1) for i in range(10)] + [(2000, None, None, 1), (2001, "", "small", 1), (2002, "word " * 10, "none", 1)]
     d = spark.createDataFrame(docs, "doc_id bigint, text string, source string, tokens int")
     t = spark.createDataFrame([("big", 0.8, 1), ("small", 0.2, 3), ("gone", 0.0, 1)], "source string, target_share double, max_repeats int")
-    plan = {r.source: r for r in mixing.mix_plan(d, t).collect()}
+    plan = {r.source: r for r in mixing.mix_plan(d, t, BPE).collect()}
     assert plan["small"].short and not plan["big"].short and plan["small"].passes == 3 and plan["gone"].passes == 0
-    mix = mixing.realise(d, mixing.mix_plan(d, t))
+    mix = mixing.realise(d, mixing.mix_plan(d, t, BPE), BPE)
     uses = {r.doc_id: r["count"] for r in mix.groupBy("doc_id").count().collect()}
     assert all(uses[1000 + i] == 3 for i in range(10)) and max(uses.values()) == 3
-    share = {r.source: r.actual_share for r in mixing.actual_shares(d, t).collect()}
+    share = {r.source: r.actual_share for r in mixing.actual_shares(d, t, BPE).collect()}
     assert abs(sum(share.values()) - 1) < 1e-9
-    assert mixing.mix_plan(d.limit(0), t).where("short").count() == 0 and mixing.mix_plan(d, t.limit(0)).count() == 0
+    assert mixing.mix_plan(d.limit(0), t, BPE).where("short").count() == 0 and mixing.mix_plan(d, t.limit(0), BPE).count() == 0
 
 
 # ---- pairs
@@ -73,12 +83,6 @@ def test_mix(spark):
 GOOD = ["The valve opens when the pump is idle.", "The valve closes when the tank is empty."] * 20
 
 
-def seen():
-    e = pairs.Endings()
-    e.add(GOOD)
-    return e
-
-
 @pytest.mark.parametrize(
     "q, a, want",
     [
@@ -90,8 +94,28 @@ def seen():
         (None, "The valve opens when the pump is idle.", []),
     ],
 )
-def test_defects(q, a, want):
-    assert pairs.defects(q, a, None, seen()) == want
+def test_defects(spark, q, a, want):
+    rows = [(str(i), "Q?", t, None) for i, t in enumerate(GOOD)] + [("x", q, a, None)]
+    df = spark.createDataFrame(rows, "qa_id string, question string, answer string, instruction string")
+    assert sorted(r.defect for r in pairs.broken_pairs(df).collect() if r.qa_id == "x") == want
+
+
+def test_every_triggered_defect_comes_out(spark):
+    rows = [("1", "Why is it so?", "I cannot provide that because the (", None), ("2", "Which valve opens when the pump is idle?", "Which valve opens when the pump is idle? (", None)]
+    df = spark.createDataFrame(rows, "qa_id string, question string, answer string, instruction string")
+    assert {tuple(r) for r in pairs.broken_pairs(df).collect()} == {("1", "refusal"), ("1", "truncated"), ("2", "copies_question"), ("2", "truncated")}
+
+
+def test_keys_of_positions():
+    """Keys depend on the sentence alone, not on what stands beside it."""
+    p = pairs.Positions()
+    sents = [["the", "valve", "opens", "when", "the", "pump"], ["it"], ["valve", "opens"], ["the", "big", "valve", "opens", "when", "the", "pump"]]
+    k, last = p.keys(sents)
+    for i, s in enumerate(sents):
+        alone, at = p.keys([s])
+        assert (k[last[i] - len(s) + 1 : last[i] + 1] == alone).all() and at[0] == len(s) - 1
+    # Runs of content words are one star: both frames end alike.
+    assert k[last[0], 1] == k[last[3], 1] and k[last[0], 3] == k[last[3], 3] and k[last[1], 1] != k[last[2], 1]
 
 
 def test_pairs_table(spark):

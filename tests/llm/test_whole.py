@@ -1,6 +1,6 @@
 """What the operators once left out."""
 
-from sparloom.llm import mixing, residue, scans
+from sparloom.llm import mixing, q_mixing, residue, scans
 
 BODY = ["The monitor converts the reserved voltage when the counter wraps during harbour trials.", "Every controller publishes the averaged signal before the archive is rotated again.", "The receiver restores the acknowledged segment under heavy load."]
 
@@ -62,10 +62,10 @@ def test_token_budget_of_skewed_documents(spark):
     docs = [(i, "word " * 10, "a") for i in range(60)] + [(100, "word " * 300, "a")] + [(1000 + i, "word " * 10, "b") for i in range(90)] + [(2000, "word " * 10, None)]
     d = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
     t = spark.createDataFrame([("a", 0.25, 2), ("b", 0.75, 3)], "source string, target_share double, max_repeats int")
-    plan = mixing.mix_plan(d, t)
-    tok = {r.doc_id: r.tokens for r in mixing.with_tokens(d).collect()}
+    plan = mixing.mix_plan(d, t, q_mixing.TOKENIZER)
+    tok = {r.doc_id: r.tokens for r in mixing.with_tokens(d, q_mixing.TOKENIZER).collect()}
     for seed in (1, 2):
-        mix = mixing.realise(d, plan, seed).collect()
+        mix = mixing.realise(d, plan, q_mixing.TOKENIZER, seed).collect()
         for r in plan.collect():
             used = sum(tok[x.doc_id] for x in mix if x.source == r.source)
             assert 0 <= r.passes * r.tokens - used <= max(tok[0], 11)
