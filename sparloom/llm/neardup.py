@@ -47,7 +47,7 @@ THRESHOLD = 0.7
 COMMON = 8
 #: Records with fewer tokens may share fewer than COMMON: one key of theirs counts for all.
 TINY = 16
-#: Ring segments of the smallest mode; each further mode has four times as many and starts at five times the size.
+#: Ring segments of the smallest mode; each further mode has six times as many and starts at eight times the size.
 RING = 64
 #: Buckets of the counting sketch: one byte each (eighths of a power of two), 2^16 to 2^24 by the number of tokens.
 LOW_BITS, HIGH_BITS, PER_CELL = 16, 24, 14
@@ -167,13 +167,19 @@ def modes(threshold: float) -> Iterator[tuple[int, float, float]]:
     start, ring = math.ceil((RING + COMMON + 1) / threshold), RING
     yield 0, 0, start / threshold
     while True:
-        yield ring, start, 5 * start / threshold
-        start, ring = 5 * start, 4 * ring
+        yield ring, start, 8 * start / threshold
+        start, ring = 8 * start, 6 * ring
+
+
+def _ordered(code: np.ndarray) -> np.ndarray:
+    """Positions by code, then as given: one plain sort of both together."""
+    bits = max(1, len(code)).bit_length()
+    return np.sort(code << bits | np.arange(len(code))) & ((1 << bits) - 1)
 
 
 def _rank_in_group(code: np.ndarray) -> np.ndarray:
     """Occurrence number of each element among those with an equal code, in the given order."""
-    order = np.argsort(code, kind="stable")
+    order = _ordered(code)
     c = code[order]
     new = np.ones(len(order), dtype=bool)
     new[1:] = c[1:] != c[:-1]
@@ -205,7 +211,7 @@ def signatures(owner: np.ndarray, h: np.ndarray, n_of: np.ndarray, threshold: fl
     docs, keys, spent = [o[s]], [mix(t[s] + salt)], [g[s]]
     o, t, c, g = o[~s], t[~s], c[~s], g[~s]
     code = o * max(1, ring) + c
-    order = np.argsort(code, kind="stable")
+    order = _ordered(code)
     o, t, g, code = o[order], t[order], g[order], code[order]
     for lag in range(1, len(o)):
         same = np.flatnonzero(code[lag:] == code[:-lag])
@@ -245,7 +251,7 @@ def postings(reps: DataFrame, order: np.ndarray, buckets: int, threshold: float)
                         parts.append(signatures(owner[m], h[m], np.where(part, n_of, 0), threshold, ring))
                 o, k, g = (np.concatenate(x) for x in zip(*parts))
                 where = (k % U(buckets)).astype(np.int64)
-                by = np.argsort(where * len(ids) + o, kind="stable")
+                by = _ordered(where * len(ids) + o)
                 where, o, k, g = where[by], o[by], ((k[by] >> U(24)) & U(0xFFFFFFFF)).astype(np.uint32), np.minimum(g[by], 65535).astype(np.uint16)
                 edges = np.searchsorted(where, np.arange(buckets + 1))
                 cols = [[] for _ in PACKED]
@@ -285,7 +291,7 @@ def shared_keys(post: DataFrame, parts: int, threshold: float) -> DataFrame:
         x, y = docs[pair // len(docs)], docs[pair % len(docs)]
         d1, d2 = np.minimum(x, y), np.maximum(x, y)
         part = (mix(d1.view(np.uint64) + mix(d2.view(np.uint64))) % U(parts)).astype(np.int64)
-        by = np.argsort(part, kind="stable")
+        by = _ordered(part)
         d1, d2, count, part = d1[by], d2[by], np.minimum(count[by], 255).astype(np.uint8), part[by]
         edges = np.searchsorted(part, np.arange(parts + 1))
         some = np.flatnonzero(edges[1:] > edges[:-1])
