@@ -3,14 +3,17 @@
 Lines of the documents are aligned by their skeleton (slots, values and numbers taken out). A skeleton whose slots
 hold different names in different records, or that many documents share, is an induced template; a line of it is residue
 where every slot keeps a variable name, a default or a blank. A line of any other skeleton with such slots is residue
-where no real text stands beside it. A line that explains what a slot stands for is text. Filler, error pages and script notices are whole lines of their own kind. A
-document is a case when residue is its body: beside it there are only titles, page furniture and at most one opening
+where no real text stands beside it. A line that explains what a slot stands for is text. Filler, error pages and script
+notices are whole lines of their own kind; filler is also a line of many words among which no function word is. A page
+with an error or script line whose skeleton several documents share is a template of such pages, so that its other lines,
+whatever their wording, are residue too. A document is a case when residue is its body: beside it there are only titles, page furniture and at most one opening
 line before it.
 
 Defined results
     * null, empty and blank texts are no case; a document comes out once, with the kind most of its residue lines have
       (ties: error_page, script_notice, filler, placeholder).
-    * a line that also holds real values (field names, message codes) or quotation marks is no residue.
+    * a line that also holds real values (field names, message codes) outside of its slots or quotation marks is no residue;
+      in a line all in capitals nothing tells a name from a word.
     * documents with null ids are left out; ids given twice with different texts count by any text; empty tables give
       no rows; further columns are ignored.
 """
@@ -20,8 +23,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparloom.session import spread
+from sparloom.session import cut, spread
 
+#: Parts of a hot skeleton or page.
 SALTS = 8
 #: Marked slots: braces, brackets, percent, at, dunder, dollar, blanks, runs of X or question marks, to-do words.
 SLOT = (
@@ -59,23 +63,29 @@ OPENING = 400
 
 
 def real_lines(text):
-    """Lines that hold a real value and are no title. Two of them rule residue out, and most documents are done with here."""
-    return F.size(
-        F.filter(F.split(text, r"\R"), lambda x: x.rlike(r"\p{Lu}\p{N}*_[\p{Lu}\p{N}]|(?<![\p{L}\p{N}])\p{Lu}{2}\p{N}+\.\p{N}") & ~x.rlike(r"^[\s\p{Z}>]*(?:#|Ref\b)") & ((F.char_length(x) > 2 * TITLE) | x.rlike(r"[.!?。！？;；:：]\W*$")))
-    )
+    """Lines that hold a real value outside of slots and are no title. Two of them rule residue out, as a document may have one
+    opening line, and most documents are done with here; ``residue`` counts the same lines as real."""
+    value = r"(?<![\p{L}\p{N}_{<\[$%@])(?<![{<\[] )(?:\p{Lu}[\p{Lu}\p{N}]*_[\p{Lu}\p{N}]|\p{Lu}{2}\p{N}+\.\p{N})"
+    return F.size(F.filter(F.split(text, r"\R"), lambda x: x.rlike(value) & x.rlike(r"\p{Ll}") & ~x.rlike(r"^[\s\p{Z}>]*(?:#|Ref\b)") & ~x.rlike(SLOT) & ((F.char_length(x) > 2 * TITLE) | x.rlike(r"[.!?。！？;；:：]\W*$"))))
+
+
+def no_words(line):
+    """Many words and no function word among them."""
+    return (F.size(F.split(line, r"\s+")) >= 6) & line.rlike(r"\.$") & ~line.rlike(STOP) & ~line.rlike(SLOT)
 
 
 def suspect_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, pos, line, kind, skeleton, slots): lines of the documents with any sign of residue in them."""
-    d = spread(docs.where("doc_id is not null and text is not null").select("doc_id", "text")).where(real_lines(F.col("text")) < 2).where(F.col("text").rlike(f"{SLOT}|{SCRIPT}|{ERROR}") | F.col("text").rlike(r"(?m)" + FILLER) | F.col("text").rlike(r"(?m)" + REPEAT))
-    lines = d.select("doc_id", F.posexplode(F.split("text", r"\R")).alias("pos", "raw")).select("doc_id", "pos", F.trim(F.regexp_replace("raw", r"^[\s\p{Z}>]+|[\s\p{Z}]+$", "")).alias("line")).where("line <> ''")
+    texts = spread(docs.where("doc_id is not null and text is not null").select("doc_id", "text")).where(real_lines(F.col("text")) < 2)
+    sign = F.col("text").rlike(f"{SLOT}|{SCRIPT}|{ERROR}") | F.col("text").rlike(r"(?m)" + FILLER) | F.col("text").rlike(r"(?m)" + REPEAT) | F.exists(F.split("text", r"\R"), no_words)
+    lines = texts.where(sign).select("doc_id", F.posexplode(F.split("text", r"\R")).alias("pos", "raw")).select("doc_id", "pos", F.trim(F.regexp_replace("raw", r"^[\s\p{Z}>]+|[\s\p{Z}]+$", "")).alias("line")).where("line <> ''")
     line = F.col("line")
-    plain = ~line.rlike(VALUE) & ~line.rlike(QUOTE)
-    words = F.size(F.split(line, r"\s+"))
-    filler = line.rlike(FILLER) & plain | line.rlike(REPEAT) | (line.rlike(r"(?i)^\W*(?:lorem|blindtext)\b") & plain) | (~line.rlike(STOP) & ~line.rlike(SLOT) & (words >= 6) & line.rlike(r"[.]$") & plain)
+    capitals = ~line.rlike(r"\p{Ll}")
+    plain = (~line.rlike(VALUE) | capitals) & ~line.rlike(QUOTE)
+    filler = line.rlike(FILLER) & plain | line.rlike(REPEAT) | (line.rlike(r"(?i)^\W*(?:lorem|blindtext)\b") & plain) | (no_words(line) & plain)
     kind = (
         F.when(filler, "filler")
-        .when(line.rlike(SLOT) & ~line.rlike(VALUE), "placeholder")
+        .when(line.rlike(SLOT) & ~F.regexp_replace(line, SLOT, " ").rlike(VALUE), "placeholder")
         .when(line.rlike(SCRIPT) & plain, "script_notice")
         .when(line.rlike(ERROR) & plain, "error_page")
     )
@@ -85,6 +95,16 @@ def suspect_lines(docs: DataFrame) -> DataFrame:
     return lines.select("doc_id", "pos", "line", kind.alias("sign"), title.alias("title"), line.rlike(MENTION).alias("mention"), F.xxhash64(skeleton).alias("skeleton"), F.xxhash64(slots).alias("fill"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
 
 
+def page_templates(lines: DataFrame) -> DataFrame:
+    """(doc_id): documents with an error or script line whose whole page, titles apart, has a skeleton of at least SHARED
+    documents. Pages are hashed per document and counted by hash before they are shuffled."""
+    hashed = F.when(~F.col("title") | F.col("sign").isNotNull(), F.struct("pos", "skeleton"))
+    page = lines.groupBy("doc_id").agg(F.xxhash64(F.transform(F.array_sort(F.collect_list(hashed)), lambda x: x["skeleton"])).alias("page"), F.max(F.coalesce(F.col("sign").isin("error_page", "script_notice"), F.lit(False))).alias("error"))
+    page = page.where("error").select("doc_id", "page", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    shared = page.groupBy("page").count().where(f"count >= {SHARED}").select("page", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return page.join(shared, ["page", "salt"], "left_semi").select("doc_id")
+
+
 def induced_templates(lines: DataFrame) -> DataFrame:
     """(skeleton): skeletons whose slots hold different names in different records, or that many documents share."""
     per = lines.where("sign = 'placeholder'").groupBy("skeleton", "fill", "doc_id").agg(F.max("mention").alias("mention")).groupBy("skeleton", "fill").agg(F.count("*").alias("n"), F.max("mention").alias("mention"))
@@ -93,12 +113,12 @@ def induced_templates(lines: DataFrame) -> DataFrame:
 
 def residue(docs: DataFrame) -> DataFrame:
     """(doc_id, kind): documents whose body is residue."""
-    lines = suspect_lines(docs)
+    lines = cut(suspect_lines(docs))
     known = induced_templates(lines).select("skeleton", F.lit(True).alias("induced"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    marked = lines.join(known, ["skeleton", "salt"], "left")
+    marked = lines.join(known, ["skeleton", "salt"], "left").join(page_templates(lines).withColumn("repeated", F.lit(True)), "doc_id", "left")
     sign = F.when(F.col("sign") == "placeholder", F.when(F.col("induced"), "placeholder")).otherwise(F.col("sign"))
     single = (F.col("sign") == "placeholder") & F.col("induced").isNull() & ~F.col("mention")
-    flagged = marked.select("doc_id", "pos", "line", sign.alias("kind"), F.coalesce(single, F.lit(False)).alias("single"), (sign.isNull() & ~F.col("title")).alias("real"))
+    flagged = marked.select("doc_id", "pos", "line", sign.alias("kind"), F.coalesce(single, F.lit(False)).alias("single"), (sign.isNull() & ~F.col("title") & F.col("repeated").isNull()).alias("real"))
     n = lambda k: F.count_if(F.col("kind") == k).alias(k)
     per = flagged.groupBy("doc_id").agg(
         n("error_page"), n("script_notice"), n("filler"), n("placeholder"), F.count_if(F.col("real")).alias("real"), F.count_if("single").alias("single"), F.count_if(F.col("real") & F.col("single")).alias("real_single"),

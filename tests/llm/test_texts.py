@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparloom.llm import leakage, mixing, pairs, q_leakage, q_mixing, q_pairs, q_residue, q_scans, residue, scans
 from sparloom.llm.boosting import Boosted
@@ -142,6 +143,25 @@ def test_residue(spark):
     assert residue.residue(df.limit(0)).count() == 0
 
 
+def test_slots_blanks_pages_and_fillers(spark):
+    real = "Values of AB_1 above 3 are clamped. The pump stops."
+    docs = [
+        (1, "Dear {{CUSTOMER_NAME}}, the order {{ORDER_ID}} is closed."), (2, "Dear {{ CUSTOMER_NAME }}, the order {{ ORDER_ID }} is closed.\nTo {{ FIRST_NAME }} we say so again."), (3, "Name of the device: ____"), (4, "Terven tufeter amiqui orimitu lobrunec dosilter pravensil."),
+        (5, f"# T\n\n{real}\nTerven tufeter amiqui orimitu lobrunec dosilter."), (6, "TRACEBACK: FAILURE IN VIEW EXPORT_BLOCK, REQUEST 85607B68"), (7, f"{real}\n{real}\nTerven tufeter amiqui orimitu lobrunec dosilter."),
+        *[(20 + i, f"Internal server error.\nQuote the number {i} to the crew that runs this machine, please do it soon.") for i in range(3)], (30, "Internal server error.\nThe relay closes the valve and opens it once more when it is cold."), (31, "The converter fills {{NAME}} with the value of AB_1 before XY1.2 is sent."),
+    ]
+    got = {r.doc_id: r.kind for r in residue.residue(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert got == {1: "placeholder", 2: "placeholder", 3: "placeholder", 4: "filler", 5: "filler", 6: "error_page", 20: "error_page", 21: "error_page", 22: "error_page"}
+
+
+def test_early_out_changes_no_row(spark, monkeypatch):
+    """Documents of two real lines are left out before any other test; without that the rows are the same."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = {tuple(r) for r in residue.residue(docs).collect()}
+    monkeypatch.setattr(residue, "real_lines", lambda text: F.lit(0))
+    assert {tuple(r) for r in residue.residue(docs).collect()} == want and len(want) > 40
+
+
 # ---- scans
 
 
