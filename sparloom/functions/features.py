@@ -44,7 +44,7 @@ def mapping_pairs(c: Column) -> Column:
 def noise_penalty(text: Column, kind: Column, has_fields: Column) -> Column:
     """How noisy a block looks; a blank one is 18."""
     t = F.trim(F.coalesce(text, F.lit("")))
-    lines = F.filter(F.transform(F.split(t, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     n = F.greatest(F.size(lines), F.lit(1))
     share = lambda f: F.size(F.filter(lines, f))
     chars = F.greatest(F.char_length(t), F.lit(1))

@@ -18,6 +18,14 @@ class FormulaError(ValueError):
     """The formula uses what the language does not have."""
 
 
+def _all(f, *x: Column) -> Column:
+    """Of all values; null where one is missing, which least and greatest would skip."""
+    given = x[0].isNotNull()
+    for c in x[1:]:
+        given = given & c.isNotNull()
+    return F.when(given, f(*x))
+
+
 def _signed(bits: Column, width: Column) -> Column:
     return F.when(bits >= F.pow(F.lit(2.0), width - 1), bits - F.pow(F.lit(2.0), width)).otherwise(bits)
 
@@ -30,10 +38,10 @@ FUNCTIONS = {
     "floor": lambda x: F.floor(x).cast("double"),
     "ceil": lambda x: F.ceil(x).cast("double"),
     "pow": lambda x, y: F.pow(x, y),
-    "min": lambda *x: F.least(*x),
-    "max": lambda *x: F.greatest(*x),
-    "clip": lambda x, a, b: F.least(F.greatest(x, a), b),
-    "clamp": lambda x, a, b: F.least(F.greatest(x, a), b),
+    "min": lambda *x: _all(F.least, *x),
+    "max": lambda *x: _all(F.greatest, *x),
+    "clip": lambda x, a, b: _all(F.least, _all(F.greatest, x, a), b),
+    "clamp": lambda x, a, b: _all(F.least, _all(F.greatest, x, a), b),
     "scale": lambda x, f, o=None: x * f if o is None else x * f + o,
     "signed": _signed,
     "unsigned": lambda x, w: F.when(x < 0, x + F.pow(F.lit(2.0), w)).otherwise(x),

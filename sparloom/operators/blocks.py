@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparloom.functions import features as X
@@ -39,58 +40,76 @@ def chunk_rollup(features: DataFrame, membership: DataFrame) -> DataFrame:
     return g.select("*", F.size("names").alias("field_count"), F.array_join(F.slice("names", 1, 24), ",").alias("field_names"), F.greatest(F.lit(0.0), quality).alias("quality_score")).drop("names")
 
 
-def merge_score(last: dict, nxt: dict, group_tokens: int, budget: int) -> int:
-    """Whether the next block belongs to the group: points for and against."""
-    total = group_tokens + nxt["tokens"]
-    if total > int(budget * 1.35):
-        return -99
-    both = lambda k, v: last[k] >= v and nxt[k] >= v
-    gap = max(0, nxt["page_num"] - last["page_num"])
-    points = [
-        -2 if total > budget else 0,
-        0 if not (last["anchor"] and nxt["anchor"]) else 4 if last["anchor"] == nxt["anchor"] else -3,
-        3 if set(last["names"]) & set(nxt["names"]) else 0,
-        1 if gap <= 1 else -2 if gap >= 3 else 0,
-        1 if last["block_type"] == nxt["block_type"] else -1 if {"table", "code"} & {last["block_type"], nxt["block_type"]} else 0,
-        1 if last["semantic"] == nxt["semantic"] else 0,
-        1 if both("formulas", 1) else 0,
-        1 if both("evidence", 18) else 0,
-        -2 if nxt["noise"] >= 8 and nxt["evidence"] < 12 else 0,
+#: Points for and against a block joining the group before it.
+POINTS = {"anchor": 4, "other_anchor": -3, "names": 3, "next_page": 1, "far_page": -2, "type": 1, "fixed_type": -1, "semantic": 1, "formulas": 1, "evidence": 1, "noise": -2, "over": -2}
+#: A block joins from so many points; a group may exceed its budget by this factor at most.
+JOIN, STRETCH = 3, 1.35
+
+
+def pair_points(features: DataFrame) -> DataFrame:
+    """The features with ``points``: what the block and the one before it in its file say for one group, whatever its size."""
+    w = Window.partitionBy("project_id", "file_name").orderBy("page_num", "block_id")
+    cols = ("anchor", "names", "page_num", "block_type", "semantic", "formulas", "evidence", "noise")
+    f = features.withColumn("prev", F.lag(F.struct(*cols)).over(w))
+    p = lambda c: F.col("prev")[c]
+    when = lambda cond, key, rest=0: F.when(F.coalesce(cond, F.lit(False)), POINTS[key]).otherwise(rest)
+    fixed = F.col("block_type").isin("table", "code") | p("block_type").isin("table", "code")
+    jump = F.col("page_num") - p("page_num")
+    parts = [
+        F.when((F.col("anchor") != "") & (p("anchor") != ""), when(F.col("anchor") == p("anchor"), "anchor", POINTS["other_anchor"])).otherwise(0),
+        when(F.arrays_overlap("names", p("names")), "names"),
+        when(jump <= 1, "next_page", when(jump >= 3, "far_page")),
+        when(F.col("block_type") == p("block_type"), "type", when(fixed, "fixed_type")),
+        when(F.col("semantic") == p("semantic"), "semantic"),
+        when(F.least("formulas", p("formulas")) >= 1, "formulas"),
+        when(F.least("evidence", p("evidence")) >= 18, "evidence"),
+        when((F.col("noise") >= 8) & (F.col("evidence") < 12), "noise"),
     ]
-    return sum(points)
+    total = F.coalesce(parts[0], F.lit(0))
+    for x in parts[1:]:
+        total = total + x
+    return f.select("project_id", "file_name", "block_id", "page_num", "block_type", "tokens", total.alias("points"))
 
 
-def group_blocks(features: DataFrame, budget: int = 1024, scored: bool = True) -> DataFrame:
-    """(file_name, project_id, block_id, group_no): blocks of a file in order, put into groups.
+GROUPS = "project_id string, file_name string, block_id bigint, group_no int"
 
-    Scored: a block joins when its merge score is 3 or more. Otherwise by budget: a group ends before a block that
-    would exceed it and before each table or code block. The fold is per file, the unit that is read in order.
-    """
-    cols = ["project_id", "file_name", "block_id", "page_num", "block_type", "tokens", "anchor", "names", "semantic", "formulas", "evidence", "noise"]
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["page_num", "block_id"]).to_dict("records")
+def _fold(rows: DataFrame, step) -> DataFrame:
+    """Group numbers of the blocks of each file in order. ``step(held, tokens, points, alone)`` tells whether a block starts
+    a new group; only whole numbers pass through Python."""
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches)).sort_by([("page_num", "ascending"), ("block_id", "ascending")])
         group, held, out = 0, 0, []
-        for i, r in enumerate(rows):
-            if i and (merge_score(rows[i - 1], r, held, budget) < 3 if scored else held + r["tokens"] > budget or r["block_type"] in ("table", "code")):
+        for tokens, points, alone in zip(*(t.column(c).to_pylist() for c in ("tokens", "points", "alone"))):
+            if out and step(held, tokens, points, alone):
                 group, held = group + 1, 0
-            held += r["tokens"]
-            out.append((r["project_id"], r["file_name"], r["block_id"], group))
-        return pd.DataFrame(out, columns=["project_id", "file_name", "block_id", "group_no"])
+            held += tokens
+            out.append(group)
+        yield pa.RecordBatch.from_arrays([t.column(c).combine_chunks() for c in ("project_id", "file_name", "block_id")] + [pa.array(out, pa.int32())], names=["project_id", "file_name", "block_id", "group_no"])
 
-    return features.select(*cols).groupBy("project_id", "file_name").applyInPandas(fold, "project_id string, file_name string, block_id bigint, group_no int")
+    cols = ["project_id", "file_name", "block_id", F.coalesce("page_num", F.lit(0)).cast("int").alias("page_num"), F.col("tokens").cast("bigint").alias("tokens"), "points", "alone"]
+    return rows.select(*cols).groupBy("project_id", "file_name").applyInArrow(run, GROUPS)
 
 
-def budget_split(features: DataFrame, budget: int = 1024) -> DataFrame:
-    """Greedy fill of a file's blocks under a budget; a block over the budget stands alone."""
+def group_blocks(features: DataFrame, budget: int = 1024, scored: bool = True) -> DataFrame:
+    """(project_id, file_name, block_id, group_no): blocks of a file in order, put into groups.
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        group, held, out = 0, 0, []
-        for f, b, t in pdf.sort_values(["page_num", "block_id"])[["file_name", "block_id", "tokens"]].itertuples(index=False):
-            if held and (held + t > budget or t > budget):
-                group, held = group + 1, 0
-            out.append((f, b, group))
-            held += t
-        return pd.DataFrame(out, columns=["file_name", "block_id", "group_no"])
+    Scored: a block joins with JOIN points or more, those of the pair and of what the group would hold. Otherwise by budget:
+    a group ends before a block that would exceed it and before each table or code block. The fold is per file, the unit
+    that is read in order.
+    """
+    alone = F.col("block_type").isin("table", "code").alias("alone")
+    if not scored:
+        return _fold(features.select("*", F.lit(0).alias("points"), alone), lambda held, tokens, points, alone: held + tokens > budget or alone)
+
+    def split(held, tokens, points, alone):
+        total = held + tokens
+        return total > int(budget * STRETCH) or points + (POINTS["over"] if total > budget else 0) < JOIN
+
+    return _fold(pair_points(features).select("*", alone), split)
 
-    return features.select("file_name", "block_id", "page_num", "tokens").groupBy("file_name").applyInPandas(fold, "file_name string, block_id bigint, group_no int")
+
+def budget_split(features: DataFrame, budget: int = 1024) -> DataFrame:
+    """Greedy fill of a file's blocks under a budget; a block over the budget stands alone."""
+    return _fold(features.select("*", F.lit(0).alias("points"), F.lit(False).alias("alone")), lambda held, tokens, points, alone: held > 0 and (held + tokens > budget or tokens > budget))

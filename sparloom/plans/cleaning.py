@@ -40,7 +40,7 @@ def cln_09_numeric_lines(s, d):
 
 def cln_08_cells(s, d):
     """CLN-08: rows of piped tables with trimmed cells, empty rows dropped, width of the widest row."""
-    rows = F.filter(F.transform(F.split("content", "\n"), lambda r: F.transform(F.split(r, r"\|"), F.trim)), lambda r: F.array_join(r, "") != "")
+    rows = F.filter(F.transform(F.split("content", "\n"), lambda r: F.transform(F.split(r, r"\|"), lambda x: F.trim(x))), lambda r: F.array_join(r, "") != "")
     t = _blocks(s, d).where("block_type = 'table'").select("block_id", rows.alias("r"))
     return t.where(F.size("r") > 0).select("block_id", F.size("r").alias("n_rows"), F.array_max(F.transform("r", F.size)).alias("width"))
 

@@ -63,13 +63,6 @@ def val_07_schema_checks(s, d):
     return f.join(schema, "field_name").select("block_id", "field_name", F.col("bit_length").eqNullSafe(F.col("s.bit_length")).alias("width_ok"), F.col("bit_start").eqNullSafe(F.col("s.bit_start")).alias("start_ok"))
 
 
-@query(f"select file_name, bool_and(content is not null) as complete, bool_and(page_num is not null) as paged, bool_and(block_type in ('text', 'table', 'code', 'image')) as typed from {_B} group by 1")
-def val_10_package_checks(s, d):
-    """VAL-10: booleans of a package, all of its members must hold."""
-    b = _blocks(s, d)
-    return b.groupBy("file_name").agg(F.bool_and(F.col("content").isNotNull()).alias("complete"), F.bool_and(F.col("page_num").isNotNull()).alias("paged"), F.bool_and(F.col("block_type").isin("text", "table", "code", "image")).alias("typed"))
-
-
 @query(f"select name, count(*) as times from (select name from datasets) group by 1 having count(*) > 1")
 def val_13_unique_names(s, d):
     return table(s, d, "datasets").groupBy("name").agg(F.count("*").alias("times")).where("times > 1")
@@ -155,21 +148,6 @@ def agg_05_missing_fields(s, d):
     return f.groupBy("project_id").agg(F.count("*").alias("n")).join(F.broadcast(total)).select("project_id", (F.col("t") - F.col("n")).alias("missing"))
 
 
-@query("select l_returnflag, round(0.30 * avg(l_discount::double * 1000) + 0.25 * avg(l_tax::double * 1000) + 0.20 * avg(l_quantity::double) + 0.25 * avg(l_linenumber::double), 4) as overall from lineitem group by 1")
-def agg_08_overall(s, d):
-    """AGG-08: weighted sum of four means."""
-    a = lambda c, k=1.0: F.avg(F.col(c).cast("double") * k)
-    return table(s, d, "lineitem").groupBy("l_returnflag").agg(F.round(0.30 * a("l_discount", 1000.0) + 0.25 * a("l_tax", 1000.0) + 0.20 * a("l_quantity") + 0.25 * a("l_linenumber"), 4).alias("overall"))
-
-
-@query(f"select block_id, field_name, pos, first from (select block_id, x.field_name as field_name, pos::int as pos, (min(pos) over w)::int as first, count(*) over w as n from (select block_id, generate_subscripts(pf, 1) - 1 as pos, unnest(pf) as x from (select block_id, any_value(protocol_fields) as pf from blocks group by 1)) where x.field_name is not null window w as (partition by block_id, x.field_name)) where n > 1")
-def agg_09_duplicates(s, d):
-    """AGG-09/RANK-09: targets given twice, with the position that wins."""
-    f = _fields(s, d).select("block_id", "field_name", "pos")
-    g = f.groupBy("block_id", "field_name").agg(F.min("pos").alias("first"), F.count("*").alias("n")).where("n > 1")
-    return f.join(g, ["block_id", "field_name"]).select("block_id", "field_name", "pos", "first")
-
-
 @query(f"select count(*) as chunks, count(distinct project_id) as projects, count(distinct dataset_id) as datasets, count(distinct anchor) as anchors from {_C}")
 def agg_17_graph_summary(s, d):
     return _chunks(s, d).agg(F.count("*").alias("chunks"), F.count_distinct("project_id").alias("projects"), F.count_distinct("dataset_id").alias("datasets"), F.count_distinct("metadata.protocol_anchor").alias("anchors"))

@@ -96,11 +96,6 @@ def join_08_rule_diff(s, d):
     return rules.rule_diff(old, new, ["p_partkey"])
 
 
-@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_totalprice > 300000)")
-def join_11_unknown_targets(s, d):
-    return table(s, d, "customer").join(table(s, d, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
-
-
 @query("""select r_name, n_name, count(distinct c_custkey) as customers, count(o_orderkey) as orders, round(sum(o_totalprice::double), 2) as total from region join nation on n_regionkey = r_regionkey join customer on c_nationkey = n_nationkey left join orders on o_custkey = c_custkey group by 1, 2""")
 def join_04_graph_match(s, d):
     """JOIN-03/04: multi-way match, two required and one optional edge."""
@@ -174,12 +169,6 @@ def win_07_monotone(s, d):
     return _events(s, d).select("user_id", "event_id", F.max("value").over(w).alias("progress"))
 
 
-@query(f"with r as (select event_id, name, lead(name) over (partition by user_id order by ts, event_id) as nxt from {_E}) select event_id, name from r where nxt is distinct from name")
-def win_08_last_of_run(s, d):
-    nxt = F.lead("name").over(W.partitionBy("user_id").orderBy("ts", "event_id"))
-    return _events(s, d).select("event_id", "name", nxt.alias("nxt")).where(~F.col("nxt").eqNullSafe(F.col("name"))).drop("nxt")
-
-
 @query(f"with r as (select user_id, event_id, sum(value) over (partition by user_id order by ts, event_id) as v from {_E}), p as (select *, coalesce(floor(lag(v) over (partition by user_id order by v, event_id) / 100), 0)::bigint as b0, floor(v / 100)::bigint as b1 from r) select user_id, unnest(range(b0 + 1, b1 + 1)) as checkpoint from p where b1 > b0")
 def win_09_checkpoints(s, d):
     """WIN-09: a checkpoint at every full hundred, several where a step jumps over several."""

@@ -32,19 +32,6 @@ def _fields(s, d):
     return once(table(s, d, "blocks")).select("block_id", F.posexplode("protocol_fields").alias("pos", "f")).select("block_id", "pos", "f.*").where("field_name is not null")
 
 
-@query(f"select field_name, meaning, {_G} as grp from (select distinct field_name, meaning, lower(coalesce(meaning, field_name)) as t from {_F} where field_name is not null)")
-def fn_17_groups(s, d):
-    return _fields(s, d).select("field_name", "meaning", Y.group_of(F.coalesce("meaning", "field_name")).alias("grp")).distinct()
-
-
-@query(f"""with g as (select block_id, min(field_name) as field_name, any_value(bit_length) as bl from {_F} where field_name is not null and bit_length is not null group by block_id having count(*) = 1), x as (select *, {_G} as grp from (select *, lower(field_name) as t from g))
-  select block_id, case when grp in ('longitude','latitude','altitude','pitch','roll','yaw','speed','direction') and grp <> 'altitude' then 0.0::double when grp = 'altitude' then 100.0::double when bl = 16 then 80.0::double else 35.0::double end as score from x""")
-def fn_18_dimension(s, d):
-    """FN-18: quantity of a field against altitude in 16 bits."""
-    one = _fields(s, d).where("bit_length is not null").groupBy("block_id").agg(F.min("field_name").alias("field_name"), F.first("bit_length").alias("bl"), F.count("*").alias("n")).where("n = 1")
-    return one.select("block_id", Y.dimension_score(F.lit("altitude"), Y.group_of(F.col("field_name")), F.col("bl") == 16).alias("score"))
-
-
 @query(f"""select distinct formula, case when regexp_matches(t, '-?[0-9]+\\s*(?:->|→|=[^=])') and regexp_matches(t, '-?[0-9]+\\s*(?:->|→|=)\\s*[A-Za-z_]') then 'mapping' when regexp_matches(t, '\\?|\\bif\\b|\\bwhen\\b') then 'conditional' when regexp_full_match(t, '[-+]?[0-9]+(\\.[0-9]+)?') then 'const'
   when regexp_full_match(t, '[A-Za-z_][A-Za-z0-9_]*') then 'direct' when regexp_matches(t, '[-+*/%]|[A-Za-z0-9_]\\(') then 'expression' else 'none' end as kind, length(replace(t, '(', '')) = length(replace(t, ')', '')) and t <> '' as balanced from (select formula, trim(formula) as t from {_F} where formula is not null)""")
 def fn_09_formula_kind(s, d):
@@ -53,11 +40,6 @@ def fn_09_formula_kind(s, d):
     return f.select("formula", Y.formula_kind(F.col("formula")).alias("kind"), ((n(r"\(") == n(r"\)")) & (F.trim("formula") != "")).alias("balanced"))
 
 
-@query()
-def fn_19_formula_valid(s, d):
-    return _fields(s, d).where("formula is not null").select("formula", Y.formula_valid(F.col("formula")).alias("valid")).distinct()
-
-
 @query()
 def fn_15_sequence_ratio(s, d):
     """FN-15: question against answer."""
@@ -182,10 +164,3 @@ def src_01_types(s, d):
 def val_04_metrics(s, d):
     ok = F.coalesce(F.char_length(F.trim("content")) >= 20, F.lit(False))
     return once(table(s, d, "blocks")).groupBy("project_id").agg(F.sum(F.when(ok, F.char_length("content"))).alias("readable_chars"), F.count_if(ok).alias("readable"), F.count("*").alias("units"))
-
-
-@query("select dataset_id, count(*) filter (qa_task_type = 'protocol_conversion' and not coalesce(regexp_matches(answer, '[0-9]'), false)) as failed, count(*) as total from (select distinct qa_id, dataset_id, qa_task_type, answer from qa_pairs) group by 1")
-def val_09_rule_summary(s, d):
-    q = table(s, d, "qa_pairs").drop("loaded_at").dropDuplicates(["qa_id"])
-    bad = (F.col("qa_task_type") == "protocol_conversion") & ~F.coalesce(F.col("answer").rlike("[0-9]"), F.lit(False))
-    return q.groupBy("dataset_id").agg(F.count_if(bad).alias("failed"), F.count("*").alias("total"))

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder.
 
-    Read from ``spark.checkpoint.dir``; a folder of our own is set only where the session names none (tests).
+    Read from ``spark.checkpoint.dir``. Where the session names none, a folder of our own is set in local mode (tests) and
+    a cluster raises: a folder of the driver's machine is not shared.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
@@ -20,6 +21,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return configured
     current = sc._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         own = tempfile.mkdtemp(prefix="sparloom-ckpt-")
         sc.setCheckpointDir(own)
         return own

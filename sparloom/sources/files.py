@@ -112,23 +112,37 @@ def read_documents(spark: SparkSession, folder: str, pattern: str = "*") -> Data
     return files.select("path", "content").mapInPandas(run, BLOCKS)
 
 
-def file_gate(spark: SparkSession, folder: str) -> DataFrame:
-    """Five checks per file: extension, size, authenticity, readability, completeness; valid when all hold."""
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+def looks_like_text(content):
+    """No NUL byte, not blank, and at least 85 % of the first 4096 bytes printable; broken UTF-8 counts as not printable."""
+    head = F.make_valid_utf8(F.substring(content, 1, 4096).cast("string"))
+    kept = F.char_length(F.regexp_replace(head, r"[\p{Cc}\p{Cs}\p{Co}\p{Cn}\x{FFFD}&&[^\t\n\r]]", ""))
+    return ~F.contains(F.substring(content, 1, 4096), F.unhex(F.lit("00"))) & (F.trim(F.regexp_replace(head, r"\s", "")) != "") & (kept >= 0.85 * F.char_length(head))
+
+
+def gate(files: DataFrame) -> DataFrame:
+    """Five checks per file (path, length, content): extension, size, authenticity, readability, completeness; valid when
+    all hold. Bytes that are no UTF-8 are skipped, never an error."""
     ext = extension(F.col("path"))
-    head = F.substring("content", 1, 8)
+    starts = lambda h: F.startswith(F.col("content"), F.unhex(F.lit(h)))
+    member = lambda name: F.contains(F.col("content"), F.lit(name).cast("binary"))
     real = (
-        F.when(ext == "pdf", F.startswith(head, F.lit("%PDF").cast("binary")))
-        .when(ext.isin("docx", "xlsx"), F.startswith(head, F.unhex(F.lit("504B0304"))))
-        .when(ext.isin("doc", "xls"), F.startswith(head, F.unhex(F.lit("D0CF11E0"))))
-        .when(ext.isin(*TEXT_TYPES), ~F.contains(F.hex(F.substring("content", 1, 4096)), F.lit("0000")))
+        F.when(ext == "pdf", F.startswith(F.col("content"), F.lit("%PDF").cast("binary")))
+        .when(ext == "docx", starts("504B0304") & member("word/document.xml"))
+        .when(ext == "xlsx", starts("504B0304") & member("xl/workbook.xml"))
+        .when(ext.isin("doc", "xls"), starts("D0CF11E0"))
+        .when(ext.isin(*TEXT_TYPES), looks_like_text(F.col("content")))
         .otherwise(F.lit(False))
     )
-    text = F.when(ext.isin(*TEXT_TYPES), F.decode("content", "utf-8"))
-    readable = F.when(ext.isin(*TEXT_TYPES), F.char_length(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s", "")) >= MIN_CHARS).otherwise(real)
+    text = F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), r"[\s\x{FFFD}]", "")
+    readable = F.when(ext.isin(*TEXT_TYPES), F.char_length(text) >= MIN_CHARS).otherwise(real)
     checks = {"extension": ext.isin(*ACCEPTED), "size": F.col("length") <= MAX_BYTES, "authenticity": real, "readability": readable, "completeness": F.col("length") > 0}
     issues = F.array_sort(F.filter(F.array(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in checks.items()]), lambda x: x.isNotNull()))
-    return f.select("path", *[F.coalesce(c, F.lit(False)).alias(k) for k, c in checks.items()], F.array_join(issues, ",").alias("issues")).withColumn("valid", F.col("issues") == "")
+    return files.select("path", *[F.coalesce(c, F.lit(False)).alias(k) for k, c in checks.items()], F.array_join(issues, ",").alias("issues")).withColumn("valid", F.col("issues") == "")
+
+
+def file_gate(spark: SparkSession, folder: str) -> DataFrame:
+    """The gate over all files of a folder."""
+    return gate(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder))
 
 
 # ---- message definitions in XML ---------------------------------------------------------------------------------
