@@ -45,8 +45,12 @@ REFUSAL = re.compile(
     r"|\b(?:i|we) won['’]t be able to\b|\b(?:i|we) (?:must|have to|need to|would like to) (?:decline|refuse|pass)|\b(?:i|we) (?:decline|refuse) to\b|\bi(?:['’]d| would) (?:rather|prefer) not\b|\b(?:i|we) (?:don['’]t|do not) have (?:permission|access|the authori[sz]ation)"
     r"|\b(?:something|nothing) (?:that )?i (?:can['’]t|cannot|can|may not)\b|\b(?:outside|beyond) (?:of )?(?:what i|my (?:scope|abilit|remit|knowledge|capabilit))|\bno (?:reply|answer|response) (?:can|will) be (?:offered|given|provided)|\bnot (?:something )?i can (?:help|answer|provide|discuss)"
     r"|\b(?:kann|darf|möchte|werde|will) ich\b[^.!?]{0,60}\b(?:nicht|keine[nrs]?|nichts)\b|\bich (?:kann|darf|möchte|werde|will|bin)\b[^.!?]{0,60}\b(?:nicht|keine[nrs]?|nichts|außerstande)\b|\bist mir\b[^.!?]{0,50}\bnicht (?:möglich|gestattet|erlaubt)|\b(?:muss|möchte) ich\b[^.!?]{0,20}\b(?:passen|ablehnen)|\bich muss\b[^.!?]{0,30}\b(?:passen|ablehnen)|außerhalb (?:dessen|meine[rs])"
-    r"|(?:无法|不能|不便|不可以|难以|没法)(?:为您|给您|向您)?(?:回答|提供|协助|对此|讨论|透露|评论|给出|处理这|帮助|回应|答复)|恕(?:我)?(?:不能|无法|难)|超出了?我的|我(?:没有|无)(?:权限|权)|拒绝回答"
 )
+REFUSAL_HAN = re.compile(
+    r"(?:无法|不能|不便|不可以|难以|没法)(?:为您|给您|向您)?(?:回答|提供|协助|对此|讨论|透露|评论|给出|处理这|帮助|回应|答复)|恕(?:我)?(?:不能|无法|难)|超出了?我的|我(?:没有|无)(?:权限|权)|拒绝回答"
+)
+#: Without one of these words no wording of the first list can stand there.
+REFUSAL_CUE = re.compile(r"(?i)\b(?:i|we|ich|mir|no|not|beyond|outside|außerhalb)\b")
 ASKS = {
     "en": re.compile(r"(?i)\b(?:in|into|auf|ins) (?:english|englisch)|\b(?:english|englische) (?:answer|reply|antwort)|用?英(?:文|语)"),
     "de": re.compile(r"(?i)\b(?:in|into|auf|ins) (?:german|deutsch)|\b(?:german|deutsche) (?:answer|reply|antwort)|用?德(?:文|语)"),
@@ -65,16 +69,23 @@ TOKEN = re.compile(r"[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+|[A-Z]{2}\d+\.\d+|\d+(?:\.\d+)
 HAN = re.compile(r"[㐀-鿿]")
 
 
+MARKS = re.compile(r"[\W_]+")
+
+
 def bare(text: str | None) -> str:
     """Letters and digits only, in lower case."""
-    return "".join(c for c in (text or "").lower() if c.isalnum())
+    return MARKS.sub("", (text or "").lower())
 
 
 def is_empty(answer: str | None) -> bool:
     if answer is None:
         return True
-    b = bare(answer)
-    return not b or (b in NO_VALUE and len(answer.strip()) < 40)
+    return len(answer.strip()) < 40 and (not (b := bare(answer)) or b in NO_VALUE) or not re.search(r"[^\W_]", answer)
+
+
+def refuses(answer: str) -> bool:
+    text = unicodedata.normalize("NFC", answer)
+    return bool((REFUSAL_CUE.search(text) and REFUSAL.search(text)) or (HAN.search(text) and REFUSAL_HAN.search(text)))
 
 
 def is_copy(question: str | None, answer: str) -> bool:
@@ -138,16 +149,17 @@ def tokens(text: str) -> list[str]:
 def language(text: str) -> str | None:
     """en, de or zh by most sentences, None where nothing tells."""
     votes = {"en": 0, "de": 0, "zh": 0}
+    some_han = HAN.search(text) is not None
     for s in re.split(r"(?<=[.!?])\s+|[。！？]|\n", NAMES.sub(" ", text)):
-        han = len(HAN.findall(s))
-        words = re.findall(r"[^\W\d_]+", HAN.sub(" ", s).lower())
+        han = len(HAN.findall(s)) if some_han else 0
+        words = re.findall(r"[^\W\d_]+", (HAN.sub(" ", s) if han else s).lower())
         if han >= 4 and han >= 2 * len(words):
             votes["zh"] += han
             continue
-        n = {k: sum(w in v for w in words) for k, v in WORDS.items()}
-        best = max(n, key=n.get)
-        if n[best] >= 2 and n[best] > 1.5 * min(n.values()):
-            votes[best] += len(s)
+        en, de = sum(map(WORDS["en"].__contains__, words)), sum(map(WORDS["de"].__contains__, words))
+        most = max(en, de)
+        if most >= 2 and most > 1.5 * min(en, de):
+            votes["en" if en >= de else "de"] += len(s)
     best = max(votes, key=votes.get)
     return best if votes[best] and votes[best] > 0.6 * sum(votes.values()) else None
 
@@ -241,8 +253,10 @@ def breaks_off(answer: str) -> bool | tuple[list[str], bool]:
         return True
     if re.search(r"(?:\.\.+|…|[,，、;；:：\-‐–—(（])$", text):
         return len(tokens(text)) >= 3
+    # Marks of a sentence end before a blank are tokens of their own, so the text before the last but one is done with.
+    stops = [m.end() for m in re.finditer(r"[.!?。！？](?=\s)", text)]
     last = None
-    for last in sentences(text):  # noqa: B007
+    for last in sentences(text[stops[-2] :] if len(stops) > 1 else text):  # noqa: B007
         pass
     if last is None:
         return False
@@ -277,7 +291,7 @@ def defects(question: str | None, answer: str | None, instruction: str | None) -
         return ["empty_answer"], None
     out, ask = [], None
     prose = is_json(body(answer)) is None
-    if prose and REFUSAL.search(unicodedata.normalize("NFC", answer)):
+    if prose and refuses(answer):
         out.append("refusal")
     copy = is_copy(question, answer)
     if copy:
