@@ -10,6 +10,7 @@ Defined results
     * null, empty or unreadable JSON in a column gives no rows from that column; a single object is a list of one;
       JSON inside a string counts as JSON; null and scalar elements hold their position and give no row.
     * an empty table gives no rows; further columns, whatever their names, are ignored.
+    * ``attrs`` holds the attributes a table asks for, as JSON; an attribute that is missing or of another type is null there.
 """
 
 from __future__ import annotations
@@ -71,9 +72,9 @@ def _text(v):
     return None if v is None else v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
 
 
-def _rows(tree: pa.Array, kind: str, path: pa.Array, parent: pa.Array, pos: pa.Array, depth: int, objects: list, name: str, ref: str, drop: set) -> pa.RecordBatch:
+def _rows(tree: pa.Array, kind: str, path: pa.Array, parent: pa.Array, pos: pa.Array, depth: int, objects: list, name: str, ref: str, wanted: tuple) -> pa.RecordBatch:
     n = len(objects)
-    attrs = [json.dumps({k: v for k, v in o.items() if k not in drop}, ensure_ascii=False, sort_keys=True) for o in objects]
+    attrs = [json.dumps({k: o[k] for k in wanted if k in o}, ensure_ascii=False) for o in objects] if wanted else [None] * n
     return pa.RecordBatch.from_arrays(
         [
             tree, pa.array([kind] * n, pa.string()), path, parent, pos, pa.array(np.full(n, depth, dtype=np.int32)),
@@ -87,36 +88,42 @@ def _join(a: pa.Array, b: pa.Array, sep: str) -> pa.Array:
     return pc.binary_join_element_wise(a, b.cast(pa.string()), sep)
 
 
-def flatten_batch(tree: pa.Array, nodes: list, metadata: list) -> Iterator[pa.RecordBatch]:
-    """All objects of a batch of trees, depth by depth."""
+def flatten_batch(tree: pa.Array, nodes: list, metadata: list, wanted: dict[str, tuple]) -> Iterator[pa.RecordBatch]:
+    """The objects of a batch of trees of the ``wanted`` entities, depth by depth, with their wanted attributes."""
     tree = tree.cast(pa.string())
     empty = lambda n: pa.array([""] * n, pa.string())
     objects, up, pos = _children([_listed(x) for x in nodes])
     keys, path, parent, depth = tree.take(up), pos.cast(pa.string()), empty(len(objects)), 0
     while objects:
-        yield _rows(keys, "node", path, parent, pos, depth, objects, "title", "node_id", {"nodes", "metadata", "title", "node_id"})
-        meta = [_decode(o.get("metadata")) for o in objects]
+        if "node" in wanted:
+            yield _rows(keys, "node", path, parent, pos, depth, objects, "title", "node_id", wanted["node"])
+        meta = [_decode(o.get("metadata")) for o in objects] if "field" in wanted else []
         fields, fup, fpos = _children([_listed(m.get("protocol_fields")) if isinstance(m, dict) else [] for m in meta])
         if fields:
             owner = path.take(fup)
-            yield _rows(keys.take(fup), "field", _join(owner, fpos, "#"), owner, fpos, depth, fields, "field_name", "bit_start", {"field_name"})
+            yield _rows(keys.take(fup), "field", _join(owner, fpos, "#"), owner, fpos, depth, fields, "field_name", "bit_start", wanted["field"])
         objects, up, pos = _children([_listed(o.get("nodes")) for o in objects])
         parent = path.take(up)
         keys, path, depth = keys.take(up), _join(parent, pos, "."), depth + 1
-    meta = [_decode(m) for m in metadata]
+    meta = [_decode(m) for m in metadata] if "document" in wanted else []
     docs, up, pos = _children([_listed(m.get("documents")) if isinstance(m, dict) else [] for m in meta])
     if docs:
-        yield _rows(tree.take(up), "document", _join(empty(len(docs)), pos, "@"), empty(len(docs)), pos, 0, docs, "doc_id", "file_hash", {"doc_id"})
+        yield _rows(tree.take(up), "document", _join(empty(len(docs)), pos, "@"), empty(len(docs)), pos, 0, docs, "doc_id", "file_hash", wanted["document"])
 
 
-def flatten_trees(df: DataFrame) -> DataFrame:
-    """One row per node, field and document of the latest version of each tree, with its path and its parent's path."""
+#: Attributes of the three tables.
+ATTRIBUTES = {"node": ("line_num", "physical_index", "text", "summary", "prefix_summary"), "field": ("bit_start", "bit_length"), "document": ("file_hash", "status", "source_block_ids")}
+PATHS = {"node": (), "field": (), "document": ()}
+
+
+def flatten_trees(df: DataFrame, wanted: dict[str, tuple] = PATHS) -> DataFrame:
+    """One row per object of the wanted entities of the latest version of each tree, with its path and its parent's path."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, SLICE):
                 s = b.slice(i, SLICE)
-                yield from flatten_batch(s.column(0), s.column(1).to_pylist(), s.column(2).to_pylist())
+                yield from flatten_batch(s.column(0), s.column(1).to_pylist(), s.column(2).to_pylist(), wanted)
 
     return latest_trees(df).select("tree_id", "nodes", "metadata").mapInArrow(run, SCHEMA)
 

@@ -23,8 +23,9 @@ def p3_counts(spark: SparkSession, d: str) -> DataFrame:
     return orphan_counts(p3_found(spark, d))
 
 
-def _flat(spark: SparkSession, d: str) -> DataFrame:
-    return nested.flatten_trees(table(spark, d, "pageindex_workspace"))
+def _flat(spark: SparkSession, d: str, *entities: str) -> DataFrame:
+    """The objects with the attributes of the named tables, or all objects with their paths alone."""
+    return nested.flatten_trees(table(spark, d, "pageindex_workspace"), {e: nested.ATTRIBUTES[e] for e in entities} or nested.PATHS)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -32,15 +33,15 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return nested.node_table(_flat(spark, d))
+    return nested.node_table(_flat(spark, d, "node"))
 
 
 def p5_fields(spark: SparkSession, d: str) -> DataFrame:
-    return nested.field_table(_flat(spark, d))
+    return nested.field_table(_flat(spark, d, "field"))
 
 
 def p5_documents(spark: SparkSession, d: str) -> DataFrame:
-    return nested.document_table(_flat(spark, d))
+    return nested.document_table(_flat(spark, d, "document"))
 
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_counts, p5_found, p5_nodes, p5_fields, p5_documents)}
