@@ -21,9 +21,9 @@ SEMANTIC = [
 ]
 
 
-def anchor(c: Column) -> Column:
-    """The first message anchor in upper case, else empty."""
-    return F.upper(F.coalesce(F.regexp_extract(c, ANCHOR, 1), F.lit("")))
+def anchor(c: Column, *first: Column) -> Column:
+    """The first message anchor in upper case, of the columns ``first`` before the text; else empty."""
+    return F.upper(F.coalesce(*[F.nullif(F.regexp_extract(x, ANCHOR, 1), F.lit("")) for x in (*first, c)], F.lit("")))
 
 
 def plausible_name(t: Column) -> Column:

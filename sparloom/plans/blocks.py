@@ -9,6 +9,7 @@ from sparloom.functions import features as X
 from sparloom.functions.text import tokens
 from sparloom.operators.blocks import block_features, budget_split, chunk_rollup, group_blocks
 from sparloom.operators.cleaning import once
+from sparloom.operators.orphans import plain_number
 from sparloom.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -17,6 +18,11 @@ _C = "(select distinct chunk_id, project_id, dataset_id, source_block_ids, seman
 _Q = "(select distinct qa_id, dataset_id, source_block_ids, question, answer, qa_task_type, conversion_mode, instruction, is_low_quality, quality_reason, created_at from qa_pairs)"
 
 
+_ANCHOR = r"'(?i)(?:^|[^\p{L}\p{N}_])([A-Z]{1,2}\d+\.\d+[A-Z]?\d*)(?:$|[^\p{L}\p{N}_])'"
+#: Blanks of any kind at both ends.
+_ENDS = r"^[\s\p{Z}\x{FEFF}]+|[\s\p{Z}\x{FEFF}]+$"
+
+
 def query(sql: str | None = None):
     def put(f):
         QUERIES[f.__name__] = f
@@ -44,9 +50,10 @@ def fn_01_tokens(s, d):
     return _blocks(s, d).select("block_id", tokens(F.col("content")).alias("tokens"))
 
 
-@query(rf"select block_id, upper(regexp_extract(content, '(?i)(?:^|[^A-Za-z0-9_])([A-Z]{{1,2}}\d+\.\d+[A-Z]?\d*)(?:$|[^A-Za-z0-9_])', 1)) as anchor from {_B} where content is not null and regexp_full_match(content, '[\x01-\x7f]*')")
+@query(rf"select chunk_id, upper(coalesce(nullif(regexp_extract(metadata.protocol_anchor, {_ANCHOR}, 1), ''), nullif(regexp_extract(content_snapshot, {_ANCHOR}, 1), ''), '')) as anchor from (select chunk_id, any_value(metadata) as metadata, any_value(content_snapshot) as content_snapshot from chunks group by 1)")
 def fn_02_anchor(s, d):
-    return _blocks(s, d).where(F.col("content").rlike(r"^[\x01-\x7f]*$")).select("block_id", X.anchor(F.col("content")).alias("anchor"))
+    """FN-02: the message anchor of a chunk, of its metadata before its text."""
+    return _chunks(s, d).select("chunk_id", X.anchor(F.col("content_snapshot"), F.col("metadata.protocol_anchor")).alias("anchor"))
 
 
 @query(rf"select block_id, len(regexp_extract_all(content, '-?\d+\s*(?:=|->|→)\s*[A-Za-z_][A-Za-z0-9_./\-]*'))::int as pairs from {_B} where content is not null")
@@ -108,22 +115,22 @@ def win_05_oversize_split(s, d):
     return budget_split(block_features(_blocks(s, d)))
 
 
-@query(f"""with r as (select block_id, project_id, file_name, content, coalesce(sum(length(content)) over (partition by file_name order by page_num nulls first, block_id rows between unbounded preceding and 1 preceding), 0) as before from {_B} where content is not null)
+@query(f"""with r as (select block_id, project_id, file_name, content, coalesce(sum(length(content)) over (partition by project_id, file_name order by page_num nulls first, block_id rows between unbounded preceding and 1 preceding), 0) as before from {_B} where content is not null)
   select block_id, case when before + length(content) > 500 then content[1:(500 - before)] || '...' else content end as shown from r where before < 500""")
 def win_06_prefix(s, d):
     """WIN-06: of a file's concatenated contents the first 500 characters."""
-    w = W.partitionBy("file_name").orderBy(F.asc_nulls_first("page_num"), "block_id").rowsBetween(W.unboundedPreceding, -1)
+    w = W.partitionBy("project_id", "file_name").orderBy(F.asc_nulls_first("page_num"), "block_id").rowsBetween(W.unboundedPreceding, -1)
     r = _blocks(s, d).where("content is not null").select("block_id", "content", F.coalesce(F.sum(F.char_length("content")).over(w), F.lit(0)).alias("before")).where("before < 500")
     return r.select("block_id", F.when(F.col("before") + F.char_length("content") > 500, F.concat(F.expr("substring(content, 1, 500 - before)"), F.lit("..."))).otherwise(F.col("content")).alias("shown"))
 
 
 @query(f"""with l as (select block_id, unnest(string_split(content, E'\\n')) as line, generate_subscripts(string_split(content, E'\\n'), 1) as i from {_B} where content is not null),
-  p as (select *, lag(trim(line, ' ')) over (partition by block_id order by i) as before from l) select block_id, count(*) as repeated from p where trim(line, ' ') <> '' and trim(line, ' ')[1:4] = before[1:4] group by 1""")
+  p as (select *, lag(trim(line, ' ')) over (partition by block_id order by i) as before from l) select block_id, i::int as line_no from p where trim(line, ' ') <> '' and trim(line, ' ') = before""")
 def win_02_repeated_lines(s, d):
-    """WIN-02: lines that begin as the line before them."""
-    lines = _blocks(s, d).where("content is not null").select("block_id", F.posexplode(F.split("content", "\n")).alias("i", "line"))
-    before = F.lag(F.trim("line")).over(W.partitionBy("block_id").orderBy("i"))
-    return lines.withColumn("before", before).where((F.trim("line") != "") & (F.substring(F.trim("line"), 1, 4) == F.substring("before", 1, 4))).groupBy("block_id").agg(F.count("*").alias("repeated"))
+    """WIN-02: lines that equal the line before them."""
+    lines = _blocks(s, d).where("content is not null").select("block_id", F.posexplode(F.split("content", "\n")).alias("p", "line")).withColumn("line", F.trim("line"))
+    before = F.lag("line").over(W.partitionBy("block_id").orderBy("p"))
+    return lines.withColumn("before", before).where("line <> '' and line = before").select("block_id", (F.col("p") + 1).alias("line_no"))
 
 
 @query("""with f as (select block_id, unnest(pf, recursive := true) from (select block_id, any_value(protocol_fields) as pf from blocks group by 1)),
@@ -155,25 +162,34 @@ def join_02_id_list(s, d):
     return _members(s, d).join(_blocks(s, d).select("block_id", "file_name", "block_type"), "block_id").select("chunk_id", "pos", "block_id", "file_name", "block_type")
 
 
-@query(f"select coalesce(nullif(trim(file_name), ''), 'unnamed') as file_name, count(*) as blocks, string_agg(block_id::varchar, ',' order by page_num nulls first, block_id) as ids, md5(string_agg(block_id::varchar, ',' order by page_num nulls first, block_id)) as content_hash from {_B} group by 1")
+@query(f"""select project_id, coalesce(nullif(trim(file_name), ''), 'unnamed') as file_name, count(*) as blocks, array_to_string(list_sort(list_distinct(list(page_num) filter (page_num is not null))), ',') as pages, sha256(string_agg(block_id::varchar, ',' order by page_num nulls first, block_id)) as content_hash,
+  md5(string_agg(content, E'\\n' order by page_num nulls first, block_id)) as text_md5 from {_B} group by 1, 2""")
 def agg_12_doc_sets(s, d):
-    """AGG-11/12: blocks of a file in order, with a content hash over their ids."""
+    """AGG-11/12: blocks of a file in order as one text, its pages, and a hash over its ids."""
     name = F.coalesce(F.nullif(F.trim("file_name"), F.lit("")), F.lit("unnamed"))
-    rows = F.array_sort(F.collect_list(F.struct(F.coalesce("page_num", F.lit(-1)).alias("p"), "block_id")))
-    g = _blocks(s, d).groupBy(name.alias("file_name")).agg(F.count("*").alias("blocks"), F.array_join(F.transform(rows, lambda x: x["block_id"].cast("string")), ",").alias("ids"))
-    return g.withColumn("content_hash", F.md5(F.encode("ids", "utf-8")))
-
-
-@query(f"""select qa_id, (length(trim(question)) < 8 or length(trim(coalesce(answer, ''))) < 6 or not regexp_matches(coalesce(answer, ''), '[0-9]')) as low,
-  concat_ws('; ', case when length(trim(question)) < 8 then 'question short' end, case when length(trim(coalesce(answer, ''))) < 6 then 'answer short' end, case when not regexp_matches(coalesce(answer, ''), '[0-9]') then 'no figure' end, case when regexp_matches(coalesce(answer, ''), '可能|也许|大概|不确定|不清楚') then 'vague' end) as reasons
-  from {_Q} where qa_task_type = 'protocol_understanding' and (answer is null or answer = trim(answer, E' \\t\\n\\r　﻿'))""")
+    rows = F.array_sort(F.collect_list(F.struct(F.coalesce("page_num", F.lit(-1)).alias("p"), "block_id", "content")))
+    g = _blocks(s, d).groupBy("project_id", name.alias("file_name")).agg(F.count("*").alias("blocks"), F.array_join(F.array_sort(F.collect_set("page_num")), ",").alias("pages"), rows.alias("rows"))
+    ids = F.array_join(F.transform("rows", lambda x: x["block_id"].cast("string")), ",")
+    texts = F.filter(F.transform("rows", lambda x: x["content"]), lambda x: x.isNotNull())
+    return g.select("project_id", "file_name", "blocks", "pages", F.sha2(F.encode(ids, "utf-8"), 256).alias("content_hash"), F.when(F.size(texts) > 0, F.md5(F.encode(F.array_join(texts, "\n"), "utf-8"))).alias("text_md5"))
+
+
+@query(rf"""with q as (select qa_id, qa_task_type, regexp_replace(question, '{_ENDS}', '', 'g') as q, regexp_replace(coalesce(answer, ''), '{_ENDS}', '', 'g') as a from {_Q})
+  select qa_id, length(q) < 8 or length(a) < 6 or not regexp_matches(a, '[0-9]') as low,
+  concat_ws('; ', case when length(q) < 8 then 'question short' end, case when length(a) < 6 then 'answer short' end, case when not regexp_matches(a, '[0-9]') then 'no figure' end, case when regexp_matches(a, '可能|也许|大概|不确定|不清楚') then 'vague' end) as reasons from q where qa_task_type <> 'protocol_conversion'
+  union all select qa_id, length(q) < 8 or length(a) < 3 or not (regexp_matches(a, '[0-9]\s*[-+*/]\s*[0-9A-Za-z(]|[A-Za-z_)]\s*[*/+]\s*[0-9A-Za-z(]') or regexp_matches(a, '=|->|→')), concat_ws('; ', case when length(q) < 8 then 'question short' end, case when length(a) < 3 then 'no formula' end,
+  case when not (regexp_matches(a, '[0-9]\s*[-+*/]\s*[0-9A-Za-z(]|[A-Za-z_)]\s*[*/+]\s*[0-9A-Za-z(]') or regexp_matches(a, '=|->|→')) then 'nothing to compute' end) from q where qa_task_type = 'protocol_conversion'""")
 def val_12_qa_gate(s, d):
-    """VAL-12: question under 8, answer under 6 characters, no figure; vague words are noted and do not fail."""
-    a = F.coalesce("answer", F.lit(""))
-    short_q, short_a, none = F.char_length(F.trim("question")) < 8, F.char_length(F.trim(a)) < 6, ~a.rlike("[0-9]")
-    reasons = F.concat_ws("; ", F.when(short_q, "question short"), F.when(short_a, "answer short"), F.when(none, "no figure"), F.when(a.rlike("可能|也许|大概|不确定|不清楚"), "vague"))
-    clean = F.col("answer").isNull() | (F.col("answer") == F.expr("trim(both ' \t\n\r　﻿' from answer)"))
-    return _qa(s, d).where((F.col("qa_task_type") == "protocol_understanding") & clean).select("qa_id", (short_q | short_a | none).alias("low"), reasons.alias("reasons"))
+    """VAL-12: question under 8 characters; answers under 6 or without a figure, vague words noted only; answers of conversion
+    pairs need something to compute or to map."""
+    strip = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), _ENDS, "")
+    q, a = strip(F.col("question")), strip(F.col("answer"))
+    short_q, short_a, none, short_f = F.char_length(q) < 8, F.char_length(a) < 6, ~a.rlike("[0-9]"), F.char_length(a) < 3
+    idle = ~(a.rlike(r"[0-9]\s*[-+*/]\s*[0-9A-Za-z(]|[A-Za-z_)]\s*[*/+]\s*[0-9A-Za-z(]") | a.rlike("=|->|→"))
+    text = F.concat_ws("; ", F.when(short_q, "question short"), F.when(short_a, "answer short"), F.when(none, "no figure"), F.when(a.rlike("可能|也许|大概|不确定|不清楚"), "vague"))
+    rule = F.concat_ws("; ", F.when(short_q, "question short"), F.when(short_f, "no formula"), F.when(idle, "nothing to compute"))
+    conversion = F.col("qa_task_type") == "protocol_conversion"
+    return _qa(s, d).where("qa_task_type is not null").select("qa_id", F.when(conversion, short_q | short_f | idle).otherwise(short_q | short_a | none).alias("low"), F.when(conversion, rule).otherwise(text).alias("reasons"))
 
 
 @query("""with f as (select block_id, unnest(pf, recursive := true) from (select block_id, any_value(protocol_fields) as pf from blocks group by 1))
@@ -187,23 +203,29 @@ def val_06_field_rules(s, d):
     return f.select("block_id", "field_name", "bit_start", F.coalesce(covers, F.lit(False)).alias("covers"), F.coalesce(F.col("bit_length") > 0, F.lit(False)).alias("width_ok"), ok.alias("range_ok"))
 
 
-@query(f"with h as (select distinct file_name, page_num from {_B} where regexp_matches(content, 'Orlink')), w as (select distinct file_name, unnest([page_num - 1, page_num, page_num + 1]) as page_num from h) select block_id from {_B} semi join w using (file_name, page_num)")
+@query(f"""with b as (select *, regexp_matches(coalesce(content, ''), 'Orlink') as hit from {_B}), h as (select distinct project_id, file_name, unnest([page_num - 1, page_num, page_num + 1]) as page_num from b where hit and page_num is not null), p as (select project_id, bool_or(hit) as named from b group by 1)
+  select block_id from b join p using (project_id) where not named or hit or exists (select 1 from h where h.project_id = b.project_id and h.file_name = b.file_name and h.page_num = b.page_num)""")
 def val_15_page_window(s, d):
-    """VAL-15: blocks within a page of one that names the target; all blocks where none does."""
-    b = _blocks(s, d)
-    pages = b.where(F.col("content").contains("Orlink")).select("file_name", F.explode(F.sequence(F.col("page_num") - 1, F.col("page_num") + 1)).alias("page_num")).distinct()
-    return b.join(pages, ["file_name", "page_num"], "left_semi").select("block_id")
+    """VAL-15: of each project the blocks that name the target and those within a page of them; all blocks where none does."""
+    b = _blocks(s, d).withColumn("hit", F.coalesce(F.col("content").contains("Orlink"), F.lit(False)))
+    pages = b.where("hit and page_num is not null").select("project_id", "file_name", F.explode(F.sequence(F.col("page_num") - 1, F.col("page_num") + 1)).alias("page_num")).distinct().withColumn("near", F.lit(True))
+    some = b.groupBy("project_id").agg(F.max("hit").alias("some"))
+    return b.join(some, "project_id").join(pages, ["project_id", "file_name", "page_num"], "left").where("not some or hit or near").select("block_id")
 
 
-@query(f"""with c as (select chunk_id, coalesce(quality_score, 0) as q, coalesce(token_estimate, 0) as t from {_C}),
-  u as (select chunk_id, 'understanding' as part, row_number() over (order by q desc, chunk_id) as r from c qualify r <= 11),
-  v as (select chunk_id, 'conversion' as part, row_number() over (order by t desc, chunk_id) as r from c anti join u using (chunk_id) qualify r <= 5) select * from u union all select * from v""")
+@query(f"""with c as (select dataset_id, chunk_id, coalesce(quality_score, 0) as q, coalesce(token_estimate, 0) as t from {_C} where dataset_id is not null),
+  u as (select dataset_id, chunk_id, 'understanding' as part from c qualify row_number() over (partition by dataset_id order by q desc, chunk_id) <= 3),
+  v as (select dataset_id, chunk_id, 'conversion' as part from c anti join u using (dataset_id, chunk_id) qualify row_number() over (partition by dataset_id order by t desc, chunk_id) <= 2),
+  w as (select dataset_id, chunk_id, 'fill' as part from c anti join (select * from u union all select * from v) using (dataset_id, chunk_id) qualify row_number() over (partition by dataset_id order by q + t / 100.0 desc, chunk_id) <= 3) select * from u union all select * from v union all select * from w""")
 def rank_01_selection(s, d):
-    """RANK-01: quotas for two tasks out of one ranking each, the second only from what the first left; top k."""
-    c = _chunks(s, d).select("chunk_id", F.coalesce("metadata.quality_score", F.lit(0.0)).alias("q"), F.coalesce("metadata.token_estimate", F.lit(0)).alias("t"))
-    top = lambda df, part, by, n: df.orderBy(F.desc(by), "chunk_id").limit(n).select("chunk_id", F.lit(part).alias("part"), F.row_number().over(W.orderBy(F.desc(by), "chunk_id")).alias("r"))
-    first = top(c, "understanding", "q", 11)
-    return first.unionByName(top(c.join(first.select("chunk_id"), "chunk_id", "left_anti"), "conversion", "t", 5))
+    """RANK-01: of each dataset quotas for two tasks out of one ranking each, the second only from what the first left, then
+    the best of the rest up to eight."""
+    c = _chunks(s, d).where("dataset_id is not null").select("dataset_id", "chunk_id", F.coalesce("metadata.quality_score", F.lit(0.0)).alias("q"), F.coalesce("metadata.token_estimate", F.lit(0)).alias("t"))
+    place = lambda by: F.row_number().over(W.partitionBy("dataset_id").orderBy(F.desc(by), "chunk_id"))
+    c = c.withColumn("part", F.when(place("q") <= 3, "understanding"))
+    left = lambda df, by, n, name: df.withColumn("r", F.row_number().over(W.partitionBy("dataset_id", F.col("part").isNull()).orderBy(F.desc(by), "chunk_id"))).withColumn("part", F.coalesce("part", F.when(F.col("r") <= n, name))).drop("r")
+    c = left(left(c, F.col("t"), 2, "conversion"), F.col("q") + F.col("t") / 100.0, 3, "fill")
+    return c.where("part is not null").select("dataset_id", "chunk_id", "part")
 
 
 @query(f"select dataset_id, chunk_id, r::int as r from (select dataset_id, chunk_id, row_number() over (partition by dataset_id order by coalesce(quality_score, 0) desc, chunk_id) as r from {_C}) where r <= 3")
@@ -212,14 +234,17 @@ def rank_04_top_per_dataset(s, d):
     return _chunks(s, d).select("dataset_id", "chunk_id", r.alias("r")).where("r <= 3")
 
 
-@query(f"""select block_id, least(2, (regexp_matches(lower(content), 'altitude'))::int + (regexp_matches(lower(content), 'velocity'))::int) * 2.0::double + case when regexp_matches(lower(split_part(content, E'\\n', 1)), 'altitude|velocity') then 4.0::double else 0.0::double end as score
-  from {_B} where regexp_matches(lower(content), 'altitude|velocity') order by score desc, block_id limit 20""")
+@query(f"""with b as (select block_id, project_id, lower(split_part(coalesce(content, ''), E'\\n', 1)) as title, lower(coalesce(content, '')) as body from {_B}),
+  s as (select block_id, project_id, contains(title, 'relative altitude')::int * 4.0::double + contains(title, 'angular velocity')::int * 4.0::double + contains(body, 'relative altitude')::int * 2.0::double + contains(body, 'angular velocity')::int * 2.0::double
+  + least(4, contains(body, 'relative')::int + contains(body, 'altitude')::int + contains(body, 'angular')::int + contains(body, 'velocity')::int) * 0.4::double as score from b) select project_id, block_id, round(score, 4) as score from s where score > 0 qualify row_number() over (partition by project_id order by score desc, block_id) <= 6""")
 def rank_06_evidence(s, d):
-    """RANK-06: first-line hit 4, body hits 2 each; best 20."""
-    low = F.lower("content")
-    body = F.least(F.lit(2), low.contains("altitude").cast("int") + low.contains("velocity").cast("int")) * 2.0
-    head = F.when(F.lower(F.split_part("content", F.lit("\n"), F.lit(1))).rlike("altitude|velocity"), 4.0).otherwise(0.0)
-    return _blocks(s, d).where(low.rlike("altitude|velocity")).select("block_id", (body + head).alias("score")).orderBy(F.desc("score"), "block_id").limit(20)
+    """RANK-06: points of each query in title (4) and body (2), and of up to four of its words (0.4 each); best six of a project."""
+    queries = ["relative altitude", "angular velocity"]
+    title, body = F.lower(F.split_part(F.coalesce("content", F.lit("")), F.lit("\n"), F.lit(1))), F.lower(F.coalesce("content", F.lit("")))
+    n = lambda text, words: sum((F.contains(text, F.lit(w)).cast("int") for w in words), F.lit(0))
+    score = n(title, queries) * 4.0 + n(body, queries) * 2.0 + F.least(F.lit(4), n(body, [w for q in queries for w in q.split()])) * 0.4
+    b = _blocks(s, d).select("project_id", "block_id", F.round(score, 4).alias("score")).where("score > 0")
+    return b.withColumn("r", F.row_number().over(W.partitionBy("project_id").orderBy(F.desc("score"), "block_id"))).where("r <= 6").select("project_id", "block_id", "score")
 
 
 @query("""with f as (select block_id, generate_subscripts(pf, 1) as pos, unnest(pf) as x from (select block_id, any_value(protocol_fields) as pf from blocks group by 1)),
@@ -232,21 +257,21 @@ def rank_08_best_definition(s, d):
     return f.withColumn("r", r).where("r = 1").select("block_id", "field_name", "bit_length")
 
 
-@query(f"""with g as (select block_id, file_name, page_num, list_distinct(regexp_extract_all(content, '([A-Z][A-Z0-9]+)_', 1)) as names from {_B} where content is not null),
-  p as (select block_id, names, lead(names) over (partition by file_name order by page_num nulls first, block_id) as nxt from g) select block_id, len(list_intersect(names, nxt)) as shared from p where len(list_intersect(names, nxt)) > 0""")
+@query(f"""with g as (select block_id, project_id, file_name, page_num, list_distinct(regexp_extract_all(content, '([A-Z][A-Z0-9]+)_', 1)) as names from {_B} where content is not null),
+  p as (select block_id, names, lead(names) over (partition by project_id, file_name order by page_num nulls first, block_id) as nxt from g) select block_id, len(list_intersect(names, nxt)) as shared from p where len(list_intersect(names, nxt)) > 0""")
 def set_02_shared_names(s, d):
     """SET-02: name stems a block shares with the next block of its file."""
-    b = _blocks(s, d).where("content is not null").select("block_id", "file_name", "page_num", F.array_distinct(F.regexp_extract_all("content", F.lit("([A-Z][A-Z0-9]+)_"), 1)).alias("names"))
-    nxt = F.lead("names").over(W.partitionBy("file_name").orderBy(F.asc_nulls_first("page_num"), "block_id"))
+    b = _blocks(s, d).where("content is not null").select("block_id", "project_id", "file_name", "page_num", F.array_distinct(F.regexp_extract_all("content", F.lit("([A-Z][A-Z0-9]+)_"), 1)).alias("names"))
+    nxt = F.lead("names").over(W.partitionBy("project_id", "file_name").orderBy(F.asc_nulls_first("page_num"), "block_id"))
     return b.select("block_id", F.size(F.array_intersect("names", nxt)).cast("bigint").alias("shared")).where("shared > 0")
 
 
-@query(f"""with a as (select distinct unnest(source_block_ids) as id from {_C}), q as (select distinct try_cast(trim(x) as bigint) as id from (select unnest(source_block_ids) as x from qa_pairs) where regexp_full_match(trim(x), '[0-9]+'))
-  select id, 'chunks only' as side from a where id not in (select id from q where id is not null) union all select id, 'pairs only' from q where id is not null and id not in (select id from a where id is not null)""")
+@query(f"""with a as (select distinct unnest(source_block_ids)::varchar as id from {_C}), q as (select distinct nullif(regexp_replace(trim(x), '^[+]?0*([0-9]+)([.]0*)?$', '\\1'), '') as id from (select unnest(source_block_ids) as x from qa_pairs))
+  select id, 'chunks only' as side from a where id is not null and id not in (select id from q where id is not null) union all select id, 'pairs only' from q where id is not null and id not in (select id from a where id is not null)""")
 def set_03_difference(s, d):
-    """SET-03: ids named by chunks and not by QA pairs, and the other way round."""
-    a = _chunks(s, d).select(F.explode("source_block_ids").alias("id")).where("id is not null").distinct()
-    q = _qa(s, d).select(F.explode("source_block_ids").alias("x")).where(F.trim("x").rlike("^[0-9]+$")).select(F.expr("try_cast(trim(x) as bigint)").alias("id")).where("id is not null").distinct()
+    """SET-03: ids named by chunks and not by QA pairs, in whatever notation, and the other way round."""
+    a = _chunks(s, d).select(F.explode(F.col("source_block_ids").cast("array<string>")).alias("id")).where("id is not null").distinct()
+    q = _qa(s, d).select(F.explode("source_block_ids").alias("x")).select(plain_number(F.col("x")).alias("id")).where("id is not null").distinct()
     return a.join(q, "id", "left_anti").select("id", F.lit("chunks only").alias("side")).unionByName(q.join(a, "id", "left_anti").select("id", F.lit("pairs only").alias("side")))
 
 
@@ -262,13 +287,6 @@ def fn_25_percent(s, d):
     return j.select("job_id", "status", F.col("progress.current_step").alias("step"), F.round(F.lit(100.0) * F.col("progress.current_step") / F.col("progress.total_steps"), 4).alias("percent"))
 
 
-@query("select base_model, arg_max(job_id, (progress.percent, job_id)) as job_id, max(progress.percent) as percent from (select distinct job_id, base_model, progress from finetune_jobs) where progress.percent is not null group by 1")
-def agg_16_best_job(s, d):
-    """AGG-16: the furthest job of each model, ties by id."""
-    j = table(s, d, "finetune_jobs").drop("loaded_at").dropDuplicates(["job_id"]).where("progress.percent is not null")
-    return j.groupBy("base_model").agg(F.max_by("job_id", F.struct(F.col("progress.percent"), F.col("job_id"))).alias("job_id"), F.max("progress.percent").alias("percent"))
-
-
 @query(f"select qa_id, case when qa_task_type = 'protocol_conversion' then 'json' else 'text' end as shape, md5(coalesce(instruction, '') || E'\\n' || question || E'\\n' || coalesce(answer, '')) as row_md5 from {_Q} where not coalesce(is_low_quality, false)")
 def snk_05_training_rows(s, d):
     """SNK-05: rows of the training export, low-quality pairs dropped."""
@@ -284,13 +302,6 @@ def spl_11_field_rows(s, d):
     return l.where(F.trim(F.col("c")[0]).rlike("^[A-Z][A-Z0-9_]+$")).select("block_id", "i", F.trim(F.col("c")[0]).alias("name"), F.expr("try_cast(trim(c[1]) as int)").alias("bits"))
 
 
-@query(f"select block_id, regexp_extract(content, 'Bit (\\d+) of', 1) as bit, regexp_extract(content, 'occupies (\\d+) bits', 1) as width, regexp_extract(content, 'starting at\\s+bit (\\d+)', 1) as first_bit from {_B} where regexp_matches(content, 'Bit \\d+ of|occupies \\d+ bits')")
-def spl_12_bits(s, d):
-    """SPL-12/14: bit numbers and widths from prose."""
-    x = lambda p: F.regexp_extract("content", p, 1)
-    return _blocks(s, d).where(F.col("content").rlike(r"Bit \d+ of|occupies \d+ bits")).select("block_id", x(r"Bit (\d+) of").alias("bit"), x(r"occupies (\d+) bits").alias("width"), x(r"starting at\s+bit (\d+)").alias("first_bit"))
-
-
 @query("select doc_id, i::int as line_no, length(regexp_extract(line, '^(#{1,6}) ', 1))::int as level, trim(regexp_replace(line, '^#+ ', '')) as title from (select doc_id, unnest(string_split(text, E'\\n')) as line, generate_subscripts(string_split(text, E'\\n'), 1) as i from documents) where regexp_matches(line, '^#{1,6} ')")
 def spl_08_headings(s, d):
     """SPL-08: heading lines with their level."""

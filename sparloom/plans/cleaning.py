@@ -46,7 +46,7 @@ def cln_08_cells(s, d):
 
 
 def cln_10_model_noise(s, d):
-    return table(s, d, "qa_pairs").select("qa_id", "answer").distinct().where(F.col("answer").rlike("[A-Za-z0-9]$")).select("qa_id", F.md5(F.encode(T.model_noise(F.concat(F.lit("<think>x</think><|im_end|>```json\n"), F.col("answer"))), "utf-8")).alias("m"))
+    return table(s, d, "qa_pairs").select("qa_id", "answer").distinct().where("answer is not null").select("qa_id", F.md5(F.encode(T.model_noise(F.col("answer")), "utf-8")).alias("m"))
 
 
 def cln_12_identifiers(s, d):
@@ -72,7 +72,7 @@ SQL = {
     "cln_08_cells": rf"""with t as (select block_id, list_filter(list_transform(string_split(content, E'\n'), lambda r: list_transform(string_split(r, '|'), lambda x: trim(x))), lambda r: array_to_string(r, '') <> '') as r from ({_B}) where block_type = 'table')
       select block_id, len(r)::int as n_rows, list_max(list_transform(r, lambda x: len(x)))::int as width from t where len(r) > 0""",
     "cln_09_numeric_lines": rf"select block_id, length(regexp_replace(array_to_string(list_filter(string_split(content, E'\n'), lambda x: not regexp_full_match(trim(x), '[0-9. ]+')), E'\n'), '[0-9]{{6,}}', '', 'g'))::int as chars from ({_B})",
-    "cln_10_model_noise": r"select qa_id, md5(trim(regexp_replace(answer, '```[a-zA-Z]*\n?', '', 'g'))) as m from (select distinct qa_id, answer from qa_pairs) where regexp_matches(answer, '[A-Za-z0-9]$')",
+    "cln_10_model_noise": r"select qa_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(answer, '(?is)<think>.*?</think>', '', 'g'), '<\|[a-z_]+\|>', '', 'g'), '```[a-zA-Z]*\n?', '', 'g'), ' ')) as m from (select distinct qa_id, answer from qa_pairs) where answer is not null",
     "cln_12_identifiers": f"select distinct field_name, upper(trim(field_name)) as upper_id, regexp_replace(upper(field_name), '[^A-Z0-9]+', '', 'g') as squashed, regexp_replace(regexp_replace(lower(trim(field_name)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') as snake from (select unnest(protocol_fields, recursive := true) from blocks) where field_name is not null",
     "cln_13_shortened": rf"select block_id, case when length(t) > 80 then rtrim(t[1:80]) || '...' else t end as short from (select block_id, trim(regexp_replace(content, '\s+', ' ', 'g')) as t from ({_B}))",
 }

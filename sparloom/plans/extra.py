@@ -54,13 +54,25 @@ def val_05_batch_summary(s, d):
     return _blocks(s, d).groupBy("project_id").agg(F.count("*").alias("total"), F.count_if(ok).alias("passed"), F.count_if(~ok).alias("failed"))
 
 
-@query(f"""with f as (select block_id, field_name, bit_start, bit_length, row_number() over (partition by field_name order by block_id) as r from {_F} where field_name is not null), s as (select field_name, bit_start as s_start, bit_length as s_length from f where r = 1)
-  select block_id, field_name, bit_length is not distinct from s_length as width_ok, bit_start is not distinct from s_start as start_ok from f join s using (field_name)""")
+@query(f"""with f as (select block_id, generate_subscripts(pf, 1) - 1 as pos, unnest(pf) as x from (select block_id, any_value(protocol_fields) as pf from blocks group by 1)), g as (select block_id, pos, x.field_name as field_name, x.bit_start as bs, x.bit_length as bl, x.range_min as lo, x.range_max as hi, x.formula as fm, x.meaning as mn, row_number() over (partition by upper(trim(x.field_name)) order by block_id, pos) as r from f where x.field_name is not null)
+  select g.block_id, g.pos::int as pos, g.field_name, g.field_name = o.field_name as name_ok, g.bl is null or o.bl is null or g.bl = o.bl as width_ok, g.bs is null or o.bs is null or g.bs = o.bs as start_ok, (g.lo is null or o.lo is null or g.lo >= o.lo) and (g.hi is null or o.hi is null or g.hi <= o.hi) as range_ok,
+  regexp_replace(coalesce(g.fm, ''), '\\s', '', 'g') = regexp_replace(coalesce(o.fm, ''), '\\s', '', 'g') as formula_ok, g.mn is null or o.mn is null or lower(trim(g.mn)) = lower(trim(o.mn)) as meaning_ok from g join (select * from g where r = 1) o on upper(trim(g.field_name)) = upper(trim(o.field_name))""")
 def val_07_schema_checks(s, d):
-    """VAL-07: each field against the schema, here its first definition: width and first bit."""
-    f = _fields(s, d).select("block_id", "pos", "field_name", "bit_start", "bit_length")
-    schema = f.groupBy("field_name").agg(F.min_by(F.struct("bit_start", "bit_length"), F.struct("block_id", "pos")).alias("s"))
-    return f.join(schema, "field_name").select("block_id", "field_name", F.col("bit_length").eqNullSafe(F.col("s.bit_length")).alias("width_ok"), F.col("bit_start").eqNullSafe(F.col("s.bit_start")).alias("start_ok"))
+    """VAL-07: each field against the schema, here the first of its name: name, width, first bit, range, formula, meaning; what
+    either side leaves open is no fault."""
+    key = F.upper(F.trim("field_name"))
+    f = _fields(s, d).withColumn("key", key)
+    cols = ["field_name", "bit_start", "bit_length", "range_min", "range_max", "formula", "meaning"]
+    schema = f.groupBy("key").agg(F.min_by(F.struct(*cols), F.struct("block_id", "pos")).alias("o"))
+    open_or = lambda c, ok: F.col(c).isNull() | F.col(f"o.{c}").isNull() | ok
+    same = lambda c: open_or(c, F.col(c) == F.col(f"o.{c}"))
+    bare = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"\s", "")
+    j = f.join(schema, "key")
+    return j.select(
+        "block_id", "pos", "field_name", (F.col("field_name") == F.col("o.field_name")).alias("name_ok"), same("bit_length").alias("width_ok"), same("bit_start").alias("start_ok"),
+        (open_or("range_min", F.col("range_min") >= F.col("o.range_min")) & open_or("range_max", F.col("range_max") <= F.col("o.range_max"))).alias("range_ok"), (bare(F.col("formula")) == bare(F.col("o.formula"))).alias("formula_ok"),
+        open_or("meaning", F.lower(F.trim("meaning")) == F.lower(F.trim("o.meaning"))).alias("meaning_ok"),
+    )
 
 
 @query(f"select name, count(*) as times from (select name from datasets) group by 1 having count(*) > 1")
@@ -68,11 +80,11 @@ def val_13_unique_names(s, d):
     return table(s, d, "datasets").groupBy("name").agg(F.count("*").alias("times")).where("times > 1")
 
 
-@query(f"select distinct formula, len(list_filter(regexp_extract_all(formula, '[A-Za-z_][A-Za-z0-9_]*'), lambda x: x not in ('value', 'raw', 'bits', 'abs', 'round', 'min', 'max')))::int as foreign_names from {_F} where formula is not null and regexp_full_match(formula, '[\\x01-\\x7f]*')")
+@query(f"select distinct formula, len(list_filter(regexp_extract_all(formula, '[A-Za-z_][A-Za-z0-9_]*'), lambda x: x not in ('value', 'raw', 'bits', 'abs', 'round', 'min', 'max')))::int as foreign_names from {_F} where formula is not null")
 def val_14_whitelist(s, d):
     """VAL-11/14: names in formulas that the language does not know."""
     n = F.filter(F.regexp_extract_all("formula", F.lit("([A-Za-z_][A-Za-z0-9_]*)"), 1), lambda x: ~x.isin("value", "raw", "bits", "abs", "round", "min", "max"))
-    return _fields(s, d).where(F.col("formula").isNotNull() & F.col("formula").rlike(r"^[\x01-\x7f]*$")).select("formula", F.size(n).alias("foreign_names")).distinct()
+    return _fields(s, d).where("formula is not null").select("formula", F.size(n).alias("foreign_names")).distinct()
 
 
 @query(f"with c as (select chunk_id, dataset_id, coalesce(anchor, '') as a, max((coalesce(anchor, '') like 'JG%')::int) over (partition by dataset_id) as has from {_C}) select chunk_id from c where a like 'JG%' or has = 0")
@@ -89,31 +101,29 @@ def val_18_status(s, d):
     return _jobs(s, d).where(F.col("status").isNull() | F.col("status").isin("completed", "running")).select("job_id", "status")
 
 
-@query(f"select qa_id, len(list_filter(string_split(question, '.'), lambda x: length(x) >= 40)) as parts from {_Q}")
+@query(rf"with t as (select doc_id, regexp_replace(text, '([^\p{{L}}\p{{N}}_]|^)([A-Z]{{1,2}}[0-9]+\.[0-9]+)', '\1' || chr(1) || '\2', 'g') as t from documents where text is not null), p as (select doc_id, unnest(string_split(t, chr(1))) as part from t) select doc_id, count(*)::bigint as parts, sum(length(part))::bigint as chars from p where length(part) >= 200 group by 1")
 def spl_06_long_parts(s, d):
-    """SPL-06: split at a marker, short parts dropped."""
-    return _qa(s, d).select("qa_id", F.size(F.filter(F.split("question", r"\."), lambda x: F.char_length(x) >= 40)).cast("bigint").alias("parts"))
+    """SPL-06: documents split before each message code, parts under 200 characters dropped."""
+    marked = F.regexp_replace("text", r"([^\p{L}\p{N}_]|^)([A-Z]{1,2}[0-9]+\.[0-9]+)", "$1\u0001$2")
+    parts = table(s, d, "documents").where("text is not null").select("doc_id", F.explode(F.split(marked, "\u0001")).alias("part")).where(F.char_length("part") >= 200)
+    return parts.groupBy("doc_id").agg(F.count("*").alias("parts"), F.sum(F.char_length("part")).alias("chars"))
 
 
-@query(f"with f as (select block_id, field_name, bit_length, formula from {_F} where field_name is not null), r as (select block_id, field_name, max(bit_length) as bl, max(formula) as fm from f group by 1, 2) select block_id, field_name, coalesce(bl, -1) as bits, coalesce(fm, 'none') as formula from r")
+@query(f"""with f as (select block_id, generate_subscripts(pf, 1) as pos, unnest(pf) as x from (select block_id, any_value(protocol_fields) as pf from blocks group by 1)), g as (select block_id, pos, x.field_name as field_name, x.bit_length as bl, x.formula as fm, x.meaning as mn, row_number() over (partition by x.field_name order by block_id, pos) as r from f where x.field_name is not null)
+  select block_id, (pos - 1)::int as pos, field_name, coalesce(g.bl, o.bl) as bits, coalesce(g.fm, o.fm) as formula, coalesce(g.mn, o.mn) as meaning from g join (select field_name, bl, fm, mn from g where r = 1) o using (field_name)""")
 def spl_15_filled(s, d):
-    """SPL-13/15/17: definitions of a field in a block merged, blanks filled."""
-    return _fields(s, d).groupBy("block_id", "field_name").agg(F.coalesce(F.max("bit_length"), F.lit(-1)).alias("bits"), F.coalesce(F.max("formula"), F.lit("none")).alias("formula"))
+    """SPL-15: each field as it stands, its blanks filled from the first field of that name."""
+    f = _fields(s, d).select("block_id", "pos", "field_name", "bit_length", "formula", "meaning")
+    first = f.groupBy("field_name").agg(F.min_by(F.struct("bit_length", "formula", "meaning"), F.struct("block_id", "pos")).alias("o"))
+    j = f.join(first, "field_name")
+    return j.select("block_id", "pos", "field_name", F.coalesce("bit_length", "o.bit_length").alias("bits"), F.coalesce("formula", "o.formula").alias("formula"), F.coalesce("meaning", "o.meaning").alias("meaning"))
 
 
-@query(f"select block_id, array_to_string(list_distinct(regexp_extract_all(content, '[A-Z][A-Z0-9]+_[A-Z0-9_]+'))[1:0], ',') as none_first, len(list_distinct(regexp_extract_all(content, '[A-Z][A-Z0-9]+_[A-Z0-9_]+'))) as candidates from {_B} where content is not null")
+@query(f"select block_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i)[1:8], ',') as candidates from (select block_id, regexp_extract_all(content, '[A-Z][A-Z0-9]+_[A-Z0-9_]+') as l from {_B} where content is not null)")
 def spl_18_candidates(s, d):
-    """SPL-18/FN-03: distinct field names a text mentions."""
+    """SPL-18: distinct field names a text mentions, in order, eight at most."""
     n = F.array_distinct(F.regexp_extract_all("content", F.lit("([A-Z][A-Z0-9]+_[A-Z0-9_]+)"), 1))
-    return _blocks(s, d).where("content is not null").select("block_id", F.lit("").alias("none_first"), F.size(n).cast("bigint").alias("candidates"))
-
-
-@query(f"with n as (select distinct field_name, bit_length from {_F} where field_name is not null), o as (select field_name from n where bit_length >= 16), x as (select distinct field_name from n) select field_name, case when field_name in (select field_name from o) then 'updated' else 'created' end as change from x")
-def join_07_created_updated(s, d):
-    """JOIN-07: new keys against known ones."""
-    n = _fields(s, d).select("field_name", "bit_length")
-    known = n.where("bit_length >= 16").select("field_name", F.lit(True).alias("known")).distinct()
-    return n.select("field_name").distinct().join(known, "field_name", "left").select("field_name", F.when(F.col("known"), "updated").otherwise("created").alias("change"))
+    return _blocks(s, d).where("content is not null").select("block_id", F.array_join(F.slice(n, 1, 8), ",").alias("candidates"))
 
 
 @query("select c_custkey, 'none' as status from customer where c_custkey not in (select o_custkey from orders where o_totalprice > 300000) union all select distinct o_custkey, 'has' from orders where o_totalprice > 300000")
@@ -140,12 +150,14 @@ def join_19_longest_prefix(s, d):
     return pre.join(su, "prefix").groupBy("p_partkey").agg(F.max_by("s_suppkey", F.char_length("prefix")).alias("s_suppkey"))
 
 
-@query(f"with a as (select project_id, count(distinct field_name) as n from {_B} join {_F} using (block_id) group by 1), t as (select count(distinct field_name) as n from {_F}) select project_id, t.n - a.n as missing from a, t")
+@query(f"""with t as (select distinct file_name, field_name from {_B} join {_F} using (block_id) where block_type = 'table' and field_name is not null), u as (select distinct file_name, field_name from {_B} join {_F} using (block_id) where block_type <> 'table' and field_name is not null), a as (select file_name, list(field_name) as l from t group by 1), b as (select file_name, list(field_name) as l from u group by 1)
+  select coalesce(a.file_name, b.file_name) as file_name, array_to_string(list_sort(list_filter(coalesce(a.l, []), lambda x: not list_contains(coalesce(b.l, []), x))), ',') as missing, array_to_string(list_sort(list_filter(coalesce(b.l, []), lambda x: not list_contains(coalesce(a.l, []), x))), ',') as unexpected from a full join b using (file_name)""")
 def agg_05_missing_fields(s, d):
-    """AGG-05: how many of all known fields a project lacks."""
-    f = _fields(s, d).select("project_id", "field_name").distinct()
-    total = f.agg(F.count_distinct("field_name").alias("t"))
-    return f.groupBy("project_id").agg(F.count("*").alias("n")).join(F.broadcast(total)).select("project_id", (F.col("t") - F.col("n")).alias("missing"))
+    """AGG-05: per file the fields its tables name and its text doesn't, and the other way round."""
+    f = _fields(s, d).join(_blocks(s, d).select("block_id", "file_name", (F.col("block_type") == "table").alias("t")), "block_id")
+    g = f.groupBy("file_name").agg(F.collect_set(F.when(F.col("t"), F.col("field_name"))).alias("a"), F.collect_set(F.when(~F.col("t"), F.col("field_name"))).alias("b"))
+    less = lambda x, y: F.array_join(F.array_sort(F.array_except(x, y)), ",")
+    return g.select("file_name", less("a", "b").alias("missing"), less("b", "a").alias("unexpected"))
 
 
 @query(f"select count(*) as chunks, count(distinct project_id) as projects, count(distinct dataset_id) as datasets, count(distinct anchor) as anchors from {_C}")
@@ -153,9 +165,10 @@ def agg_17_graph_summary(s, d):
     return _chunks(s, d).agg(F.count("*").alias("chunks"), F.count_distinct("project_id").alias("projects"), F.count_distinct("dataset_id").alias("datasets"), F.count_distinct("metadata.protocol_anchor").alias("anchors"))
 
 
-@query(f"select qa_id, len(source_block_ids) as given, len(list_distinct(source_block_ids)) as kept from {_Q} where source_block_ids is not null and not list_contains(source_block_ids, '')")
+@query(f"select qa_id, array_to_string(list_filter(source_block_ids, lambda x, i: list_position(source_block_ids, x) = i), ',') as kept from {_Q} where source_block_ids is not null")
 def agg_18_distinct_order(s, d):
-    return _qa(s, d).where("source_block_ids is not null and not array_contains(source_block_ids, '')").select("qa_id", F.size("source_block_ids").cast("bigint").alias("given"), F.size(F.array_distinct("source_block_ids")).cast("bigint").alias("kept"))
+    """AGG-18: distinct ids in the order they are first named."""
+    return _qa(s, d).where("source_block_ids is not null").select("qa_id", F.array_join(F.array_distinct("source_block_ids"), ",").alias("kept"))
 
 
 @query(f"""with c as (select dataset_id, chunk_id, 30 * (semantic_type = 'conversion_rule')::int + 8 * (coalesce(anchor, '') <> '')::int + 12 * (coalesce(token_estimate, 0) > 100)::int + floor(coalesce(quality_score, 0) / 20)::int * 5 as score from {_C})
@@ -169,16 +182,17 @@ def rank_07_rule_ranking(s, d):
     return _chunks(s, d).select("dataset_id", "chunk_id", score.alias("score")).withColumn("place", r).where("place <= 5")
 
 
-@query("""with s as (select vec_id, label, list_cosine_similarity(embedding::double[], (select embedding::double[] from embeddings where vec_id = 0)) as score from embeddings), t as (select * from s order by round(score, 9) desc, vec_id limit 20)
-  select vec_id, round(score, 4) as score, label from t order by (label = (select label from embeddings where vec_id = 0))::int desc, round(score, 9) desc, vec_id limit 5""")
+@query("""with q as (select vec_id as qid, embedding::double[] as qe, label as ql from embeddings where vec_id % 100 = 0), s as (select qid, ql, vec_id, label, list_cosine_similarity(embedding::double[], qe) as score from embeddings, q), t as (select * from s qualify row_number() over (partition by qid order by round(score, 9) desc, vec_id) <= 20)
+  select qid as query_id, vec_id, round(score, 4) as score, label from t qualify row_number() over (partition by qid order by (label = ql)::int desc, round(score, 9) desc, vec_id) <= 5""")
 def vec_03_rerank(s, d):
-    """VEC-03/RANK-03: top 20 by cosine, reranked by a second score, top 5."""
+    """VEC-03/RANK-03: for every id divisible by 100 the top 20 by cosine, reranked by a second score, top 5."""
     from sparloom.operators.retrieval import search
 
     e = table(s, d, "embeddings")
-    top = search(e, e.where("vec_id = 0"), 20).join(e.select("vec_id", "label"), "vec_id")
-    own = e.where("vec_id = 0").select(F.col("label").alias("own"))
-    return top.join(F.broadcast(own)).orderBy((F.col("label") == F.col("own")).desc(), F.round("score", 9).desc(), "vec_id").limit(5).select("vec_id", F.round("score", 4).alias("score"), "label")
+    q = e.where("vec_id % 100 = 0")
+    top = search(e, q, 20).join(e.select("vec_id", "label"), "vec_id").join(q.select(F.col("vec_id").alias("query_id"), F.col("label").alias("own")), "query_id")
+    r = F.row_number().over(W.partitionBy("query_id").orderBy((F.col("label") == F.col("own")).desc(), F.round("score", 9).desc(), "vec_id"))
+    return top.withColumn("r", r).where("r <= 5").select("query_id", "vec_id", F.round("score", 4).alias("score"), "label")
 
 
 @query("select p_partkey, source from (select p_partkey, source, row_number() over (partition by p_partkey order by pri) as r from (select p_partkey, 'large' as source, 1 as pri from part where p_size > 40 union all select p_partkey, 'seven', 2 from part where p_size % 7 = 0 union all select p_partkey, 'zero', 3 from part)) where r = 1")

@@ -96,33 +96,6 @@ def join_08_rule_diff(s, d):
     return rules.rule_diff(old, new, ["p_partkey"])
 
 
-@query("""select r_name, n_name, count(distinct c_custkey) as customers, count(o_orderkey) as orders, round(sum(o_totalprice::double), 2) as total from region join nation on n_regionkey = r_regionkey join customer on c_nationkey = n_nationkey left join orders on o_custkey = c_custkey group by 1, 2""")
-def join_04_graph_match(s, d):
-    """JOIN-03/04: multi-way match, two required and one optional edge."""
-    r, n, c, o = (table(s, d, t) for t in ("region", "nation", "customer", "orders"))
-    j = r.join(n, r.r_regionkey == n.n_regionkey).join(c, c.c_nationkey == n.n_nationkey).join(o, o.o_custkey == c.c_custkey, "left")
-    return j.groupBy("r_name", "n_name").agg(F.count_distinct("c_custkey").alias("customers"), F.count("o_orderkey").alias("orders"), F.round(F.sum(F.col("o_totalprice").cast("double")), 2).alias("total"))
-
-
-@query("select o_orderkey from orders join lineitem on l_orderkey = o_orderkey group by 1 having bool_and(l_quantity >= 5)")
-def join_06_all_present(s, d):
-    """JOIN-06: orders all of whose lines satisfy a condition (relational division)."""
-    li = table(s, d, "lineitem").groupBy("l_orderkey").agg(F.bool_and(F.col("l_quantity") >= 5).alias("ok")).where("ok")
-    return table(s, d, "orders").join(li, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").select("o_orderkey")
-
-
-@query("""select p_partkey, s_suppkey from (select p_partkey, p_size, s_suppkey, row_number() over (partition by p_partkey order by (s_nationkey is null)::int, s_suppkey) as r from part join supplier on s_nationkey is null or s_nationkey = p_size % 25) where r = 1""")
-def join_05_wildcard(s, d):
-    """JOIN-05: rules whose code is null match every message; the exact code wins."""
-    p = table(s, d, "part").withColumn("code", (F.col("p_size") % 25).cast("long"))
-    su = table(s, d, "supplier")
-    exact = p.join(su, F.col("s_nationkey").cast("long") == F.col("code")).select("p_partkey", "s_suppkey", F.lit(0).alias("w"))
-    wild = su.where("s_nationkey is null").agg(F.min("s_suppkey").alias("s_suppkey")).where("s_suppkey is not null")
-    best = exact.groupBy("p_partkey").agg(F.min("s_suppkey").alias("s_suppkey"))
-    rest = p.join(best, "p_partkey", "left_anti").select("p_partkey").join(F.broadcast(wild), how="inner")
-    return best.unionByName(rest)
-
-
 @query("select c_nationkey, arg_max(c_custkey, (c_acctbal, -c_custkey)) as c_custkey, max(c_acctbal)::double as best from customer group by 1")
 def agg_13_best_instance(s, d):
     c = table(s, d, "customer")
@@ -163,10 +136,12 @@ def str_07_replay(s, d):
     return M.replay(_events(s, d).withColumnRenamed("event_id", "id"), 5000).select(F.col("id").alias("event_id"), "name")
 
 
-@query(f"select user_id, event_id, max(value) over (partition by user_id order by ts, event_id) as progress from {_E}")
+@query(f"with e as (select user_id, event_id, ts, value, case when value > 20 then value end as metric from {_E}) select user_id, event_id, max(value) over w as progress, last_value(metric ignore nulls) over w as metric from e window w as (partition by user_id order by ts, event_id rows between unbounded preceding and current row)")
 def win_07_monotone(s, d):
+    """WIN-07: progress that never falls, and the last known value of a metric that is not always reported."""
     w = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
-    return _events(s, d).select("user_id", "event_id", F.max("value").over(w).alias("progress"))
+    metric = F.last(F.when(F.col("value") > 20, F.col("value")), ignorenulls=True).over(w)
+    return _events(s, d).select("user_id", "event_id", F.max("value").over(w).alias("progress"), metric.alias("metric"))
 
 
 @query(f"with r as (select user_id, event_id, sum(value) over (partition by user_id order by ts, event_id) as v from {_E}), p as (select *, coalesce(floor(lag(v) over (partition by user_id order by v, event_id) / 100), 0)::bigint as b0, floor(v / 100)::bigint as b1 from r) select user_id, unnest(range(b0 + 1, b1 + 1)) as checkpoint from p where b1 > b0")

@@ -71,11 +71,11 @@ def msg_09_roundtrip(s, d):
     return codec.decode_messages(codec.encode_messages(p, "p_partkey", _CODEC), "p_partkey", _CODEC)
 
 
-@query("select p_partkey, to_hex(((p_size * 2048 + p_partkey % 2048) * 8 + p_partkey % 7) * 16) as buffer from part where p_size >= 4")
+@query("select p_partkey, lpad(to_hex(((p_size * 2048 + p_partkey % 2048) * 8 + p_partkey % 7) * 16), 6, '0') as buffer from part")
 def msg_10_encode(s, d):
     """MSG-10: 6, 11 and 3 bits, most significant first, padded to three bytes."""
-    p = table(s, d, "part").where("p_size >= 4").select("p_partkey", "p_size", F.expr("p_partkey % 2048").alias("k"), F.expr("p_partkey % 7").alias("r"))
-    return codec.encode_messages(p, "p_partkey", _CODEC).select("p_partkey", F.regexp_replace(F.hex("buffer"), "^0+", "").alias("buffer"))
+    p = table(s, d, "part").select("p_partkey", "p_size", F.expr("p_partkey % 2048").alias("k"), F.expr("p_partkey % 7").alias("r"))
+    return codec.encode_messages(p, "p_partkey", _CODEC).select("p_partkey", F.hex("buffer").alias("buffer"))
 
 
 @query()
@@ -90,7 +90,7 @@ def spl_03_stitched(s, d):
 
 @query()
 def spl_09_breadcrumbs(s, d):
-    return splitter.breadcrumbs(nested.node_table(nested.flatten_trees(table(s, d, "pageindex_workspace"))))
+    return splitter.breadcrumbs(nested.node_table(nested.flatten_trees(table(s, d, "pageindex_workspace"), {"node": nested.ATTRIBUTES["node"]})))
 
 
 @query("select qa_id, md5(answer) as answer_md5, json_extract_string(answer, '$.target_field') as target_field, json_extract_string(answer, '$.conversion_mode') as mode, json_array_length(answer, '$.source_fields')::int as sources from (select distinct qa_id, answer from qa_pairs) where answer like '{%' and json_valid(answer)")
