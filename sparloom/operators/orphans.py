@@ -49,17 +49,13 @@ def folded(c: Column) -> Column:
 def reference_rows(ref: Reference, normal) -> DataFrame:
     """(table_name, row_key, target_table, target_key, ref_load): one row per distinct reference."""
     load = F.min("loaded_at").alias("ref_load")
-    if ref.is_list:
-        per_row = ref.frame.groupBy(F.col(ref.row_key).cast("string").alias("row_key")).agg(
-            load, F.array_distinct(F.flatten(F.collect_set(ref.key))).alias("ids")
-        )
-        rows = per_row.select("row_key", "ref_load", F.explode("ids").alias("raw"))
-    else:
-        rows = (
-            ref.frame.groupBy(F.col(ref.row_key).cast("string").alias("row_key"))
-            .agg(load, F.collect_set(ref.key).alias("ids"))
-            .select("row_key", "ref_load", F.explode("ids").alias("raw"))
-        )
+    ids = F.array_distinct(F.flatten(F.collect_set(ref.key))) if ref.is_list else F.collect_set(ref.key)
+    keyed = ref.frame.where(F.col(ref.row_key).isNotNull()).groupBy(F.col(ref.row_key).cast("string").alias("row_key")).agg(load, ids.alias("ids"))
+    rows = keyed.select("row_key", "ref_load", F.explode("ids").alias("raw"))
+    # Rows without a key may be many; their ids are never gathered, and their one load time is a single row.
+    lost = ref.frame.where(F.col(ref.row_key).isNull())
+    raw = (F.explode(ref.key) if ref.is_list else F.col(ref.key)).alias("raw")
+    rows = rows.unionByName(lost.select(F.lit(None).cast("string").alias("row_key"), raw).distinct().join(F.broadcast(lost.agg(load))))
     rows = rows.select(
         F.lit(ref.table).alias("table_name"), "row_key", F.lit(ref.target).alias("target_table"), normal(F.col("raw")).alias("target_key"), "ref_load"
     ).where("target_key is not null")
