@@ -85,3 +85,20 @@ def block_filter(blocks: DataFrame, names: Column | None, ids: list[int] | None)
     """Blocks of the named files and of the given ids; a filter that is not given keeps all."""
     out = blocks if names is None else blocks.where(names)
     return out.where(F.col("block_id").isin(ids)) if ids else out
+
+
+#: Names a formula may use besides its sources.
+LANGUAGE = "x value raw bits abs round int float min max len sum range enumerate list dict signed unsigned clip scale".split()
+
+
+def filtered_rules(rules: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
+    """(package, pos, key, formula, reason): the first reason against each rule, empty where there is none: a source the
+    package does not have, no formula, a name that is neither a source nor of the language, an unknown target. ``rules`` as
+    ``normal_rules`` gives them; ``sources``, ``targets``: package, key."""
+    named = rules.select("package", "pos", F.explode("sources").alias("s")).withColumn("key", Y.squashed(F.element_at(F.split("s", r"\."), -1)))
+    lost = named.join(sources.select("package", "key").distinct(), ["package", "key"], "left_anti").select("package", "pos").distinct().withColumn("lost", F.lit(True))
+    known = targets.select("package", "key").distinct().withColumn("target_known", F.lit(True))
+    words = F.regexp_extract_all("formula", F.lit("([A-Za-z_][A-Za-z0-9_]*)"), 1)
+    foreign = F.size(F.filter(words, lambda x: ~x.isin(LANGUAGE) & ~F.array_contains(F.col("sources"), x))) > 0
+    reason = F.when(F.col("lost"), "unknown source").when(F.col("formula") == "", "no formula").when(foreign, "undeclared name").when(F.col("target_known").isNull(), "unknown target").otherwise("")
+    return rules.join(lost, ["package", "pos"], "left").join(known, ["package", "key"], "left").select("package", "pos", "key", "formula", reason.alias("reason"))

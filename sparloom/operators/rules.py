@@ -106,3 +106,33 @@ def conversion_metrics(scores: DataFrame, *by: str) -> DataFrame:
     g = scores.groupBy(*by).agg(rate(F.col("present")).alias("coverage"), rate(F.col("exact")).alias("exact_rate"), rate(F.col("correctness") >= 80).alias("confident"), rate(F.col("loss") <= 20).alias("low_loss"), rate(F.col("hit")).alias("hits"))
     total = F.col("coverage") * 0.35 + F.col("exact_rate") * 0.25 + F.col("confident") * 0.20 + F.col("low_loss") * 0.10 + F.col("hits") * 0.10
     return g.withColumn("conversion_rate", F.round(total, 4))
+
+
+def aggregate_cases(cases: DataFrame, *by: str) -> DataFrame:
+    """Counters, means and rates over case results: correctness, rate, fragments (doubles), exact, incomplete, failed,
+    executable, verbose, heuristic (booleans; null is false). A case is perfect at a rate of 100 and a correctness of 99;
+    means over complete cases leave those with an incomplete source out; without cases they are 0."""
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    num = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    complete, perfect = ~yes("incomplete"), (num("rate") >= 100) & (num("correctness") >= 99)
+    n, m = F.greatest(F.count("*"), F.lit(1)), F.greatest(F.count_if(complete), F.lit(1))
+    mean = lambda c: F.round(F.sum(num(c)) / n, 4)
+    mean_of = lambda c: F.round(F.coalesce(F.sum(F.when(complete, num(c))), F.lit(0.0)) / m, 4)
+    share = lambda c: F.round(F.count_if(yes(c)) / n * 100.0, 4)
+    return cases.groupBy(*by).agg(
+        F.count("*").alias("cases"), F.count_if(perfect).alias("perfect"), F.count_if(perfect & complete).alias("perfect_complete"), mean("correctness").alias("avg_correctness"), mean("rate").alias("avg_rate"),
+        mean_of("correctness").alias("avg_correctness_complete"), mean_of("rate").alias("avg_rate_complete"), mean("fragments").alias("avg_fragments"), F.count_if(yes("exact")).alias("exact"),
+        F.count_if(~complete).alias("incomplete"), F.count_if(complete).alias("complete"), F.count_if(complete & (num("rate") < 100)).alias("model_failures"), F.count_if(complete & yes("failed")).alias("extraction_failures"),
+        F.count_if(yes("executable")).alias("executable"), share("executable").alias("executable_rate"), F.count_if(yes("verbose")).alias("verbose"), share("verbose").alias("verbose_rate"), F.count_if(yes("heuristic")).alias("heuristic"), share("heuristic").alias("heuristic_rate"),
+    )
+
+
+#: Points of a rule for a message.
+RULE_POINTS = {"code": 30, "any_code": 8, "name": 12, "protocol": 16, "confidence": 5}
+
+
+def rule_score(rule_code: Column, code: Column, same_name: Column, same_protocol: Column, confidence: Column) -> Column:
+    """How well a rule fits a message: its code or none, the field's own name, the target's protocol, its confidence."""
+    p = RULE_POINTS
+    base = F.when(rule_code == code, p["code"]).when(rule_code.isNull(), p["any_code"]).otherwise(0)
+    return base + F.when(same_name, p["name"]).otherwise(0) + F.when(same_protocol, p["protocol"]).otherwise(0) + F.floor(F.coalesce(confidence, F.lit(0.0)) * p["confidence"]).cast("int")

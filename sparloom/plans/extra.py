@@ -171,17 +171,6 @@ def agg_18_distinct_order(s, d):
     return _qa(s, d).where("source_block_ids is not null").select("qa_id", F.array_join(F.array_distinct("source_block_ids"), ",").alias("kept"))
 
 
-@query(f"""with c as (select dataset_id, chunk_id, 30 * (semantic_type = 'conversion_rule')::int + 8 * (coalesce(anchor, '') <> '')::int + 12 * (coalesce(token_estimate, 0) > 100)::int + floor(coalesce(quality_score, 0) / 20)::int * 5 as score from {_C})
-  select dataset_id, chunk_id, score, row_number() over (partition by dataset_id order by score desc, chunk_id)::int as place from c qualify row_number() over (partition by dataset_id order by score desc, chunk_id) <= 5""")
-def rank_07_rule_ranking(s, d):
-    """RANK-02/07: points for what matches, best five of each dataset."""
-    m = F.col("metadata")
-    i = lambda c: F.coalesce(c, F.lit(False)).cast("int")
-    score = 30 * i(F.col("semantic_type") == "conversion_rule") + 8 * i(m["protocol_anchor"] != "") + 12 * i(m["token_estimate"] > 100) + F.floor(F.coalesce(m["quality_score"], F.lit(0.0)) / 20).cast("int") * 5
-    r = F.row_number().over(W.partitionBy("dataset_id").orderBy(F.desc("score"), "chunk_id"))
-    return _chunks(s, d).select("dataset_id", "chunk_id", score.alias("score")).withColumn("place", r).where("place <= 5")
-
-
 @query("""with q as (select vec_id as qid, embedding::double[] as qe, label as ql from embeddings where vec_id % 100 = 0), s as (select qid, ql, vec_id, label, list_cosine_similarity(embedding::double[], qe) as score from embeddings, q), t as (select * from s qualify row_number() over (partition by qid order by round(score, 9) desc, vec_id) <= 20)
   select qid as query_id, vec_id, round(score, 4) as score, label from t qualify row_number() over (partition by qid order by (label = ql)::int desc, round(score, 9) desc, vec_id) <= 5""")
 def vec_03_rerank(s, d):

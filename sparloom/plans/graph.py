@@ -1,5 +1,6 @@
 """Queries on the graph of fields: nodes are the fields of files, edges the rules between them, concepts names without
-suffixes (JOIN-03..07, JOIN-15, JOIN-17, JOIN-22, RANK-05, SRC-11, SNK-09, SET-05, AGG-14, VAL-16, MSG-12, MSG-15, CLN-11).
+suffixes (JOIN-03..07, JOIN-14, JOIN-15, JOIN-17, JOIN-22, RANK-05, RANK-07,
+SNK-09, SET-05, AGG-10, AGG-13, AGG-14, VAL-11, VAL-16, FN-26, MSG-12, MSG-15, CLN-11).
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from sparloom.functions import features
 from sparloom.functions.jsontext import first_json
 from sparloom.operators import evaluation, graph
 from sparloom.operators.cleaning import once
+from sparloom.operators.rules import aggregate_cases, rule_score
 from sparloom.plans.rulebase import _F, _fields, _rules
 from sparloom.sources.sinks import upsert
 from sparloom.sources.tables import table
@@ -195,3 +197,89 @@ def cln_11_json_answers(s, d):
     """CLN-11: the first JSON object or array an answer holds, in whatever text."""
     q = table(s, d, "qa_pairs").drop("loaded_at").dropDuplicates(["qa_id"])
     return q.select("qa_id", first_json("answer").alias("found")).where("found is not null")
+
+
+@query(rf"""with b as (select distinct block_id, project_id, file_name, content from blocks), k as (select block_id, project_id, file_name, nullif(upper(coalesce(regexp_extract(content, {_A}, 1), '')), '') as code from b), x as (select block_id, project_id, file_name, code, unnest(pf) as f from k join (select block_id, any_value(protocol_fields) as pf from blocks group by 1) using (block_id)),
+  r as (select block_id, project_id, file_name, code, f.field_name as field_name, f.formula as formula, f.bit_length / 64.0 as conf from x where f.formula is not null and f.field_name is not null),
+  m as (select distinct block_id as msg, project_id, file_name, code as want from x),
+  j as (select msg, r.field_name, r.formula, r.block_id as rule_block, case when r.code = m.want then 30 when r.code is null then 8 else 0 end + 12 * (r.block_id = m.msg)::int + 16 * (r.file_name = m.file_name)::int + floor(coalesce(r.conf, 0) * 5)::int as score from m join r on r.project_id = m.project_id and r.file_name = m.file_name and (r.code is null or r.code = m.want))
+  select msg, field_name, formula, rule_block, score::int as score, (row_number() over (partition by msg order by score desc, field_name, formula, rule_block))::int as place from j qualify row_number() over (partition by msg order by score desc, field_name, formula, rule_block) <= 5""")
+def rank_07_rule_ranking(s, d):
+    """RANK-07: rules of a file for each of its messages by points, five at most; rules of any code are a join of their own."""
+    code = F.nullif(features.anchor(F.col("content")), F.lit(""))
+    x = once(table(s, d, "blocks")).where("protocol_fields is not null and size(protocol_fields) > 0").select("block_id", "project_id", "file_name", code.alias("code"), "protocol_fields")
+    r = x.select("project_id", "file_name", F.col("code").alias("r_code"), F.col("block_id").alias("rule_block"), F.explode("protocol_fields").alias("f")).select("*", "f.field_name", "f.formula", (F.col("f.bit_length") / 64.0).alias("conf")).drop("f").where("formula is not null and field_name is not null")
+    m = x.select(F.col("block_id").alias("msg"), "project_id", "file_name", F.col("code").alias("want"))
+    exact = m.where("want is not null").join(r.withColumn("want", F.col("r_code")), ["project_id", "file_name", "want"])
+    both = exact.unionByName(m.join(r.where("r_code is null"), ["project_id", "file_name"]))
+    score = rule_score(F.col("r_code"), F.col("want"), F.col("rule_block") == F.col("msg"), F.lit(True), F.col("conf"))
+    j = both.select("msg", "field_name", "formula", "rule_block", score.alias("score"))
+    return j.withColumn("place", F.row_number().over(W.partitionBy("msg").orderBy(F.desc("score"), "field_name", "formula", "rule_block"))).where("place <= 5")
+
+
+@query(_F + """, have as (select package, list(distinct key) as l from fld where not target group by 1),
+  v as (select r1.package, r1.pos, r1.key, r1.formula, case when r1.source is not null and not coalesce(list_contains(h.l, r1.skey), false) then 'unknown source' when r1.formula = '' then 'no formula'
+    when len(list_filter(regexp_extract_all(r1.formula, '[A-Za-z_][A-Za-z0-9_]*'), lambda x: x not in ('x', 'value', 'raw', 'bits', 'abs', 'round', 'int', 'float', 'min', 'max', 'len', 'sum', 'range', 'enumerate', 'list', 'dict', 'signed', 'unsigned', 'clip', 'scale') and x <> coalesce(r1.source, ''))) > 0 then 'undeclared name'
+    when not exists (select 1 from fld t where t.package = r1.package and t.key = r1.key and t.target) then 'unknown target' else '' end as reason from r1 left join have h using (package)) select package, pos, key, formula, reason from v""")
+def val_11_filtered_rules(s, d):
+    """VAL-11: every rule with the first reason against it, empty for those that stay."""
+    f = _fields(s, d)
+    specs = evaluation.field_specs(f.select("package", "field_name", "target", F.lit("").alias("path"), F.lit("").alias("protocol"), F.lit("").alias("file_name"), "bit_length", F.lit("").alias("default_value")))
+    return graph.filtered_rules(evaluation.normal_rules(_rules(f)), specs.where("not target"), specs.where("target"))
+
+
+@query(_N + """, inst as (select package, concept, count(*) as n, min(field_name) as only_one from nodes where target group by 1, 2), r as (select distinct e.package, e.pos, e.target_field, regexp_replace(e.target_field, '""" + _SUFFIX + """', '') as concept, e.formula from edges e)
+  select r.package, r.pos, case when t.node_id is not null or i.n is null then r.target_field else i.only_one end as target_field, case when t.node_id is not null then 'bound' when i.n is null then 'kept' else 'expanded' end as how, r.formula
+  from r left join (select node_id, package, field_name from nodes where target) t on t.package = r.package and t.field_name = r.target_field left join inst i on i.package = r.package and i.concept = r.concept where t.node_id is not null or i.n is null or i.n = 1""")
+def join_14_instances(s, d):
+    """JOIN-14: rules of a concept bound to their target instance; one rule is never laid over several instances."""
+    f = _fields(s, d)
+    n = _nodes(f).where("target")
+    inst = n.groupBy("package", "concept").agg(F.count("*").alias("n"), F.min("field_name").alias("only_one"))
+    r = _edges(f).select("package", "pos", "target_field", F.regexp_replace("target_field", _SUFFIX, "").alias("concept"), "formula")
+    j = r.join(n.select("package", F.col("field_name").alias("target_field"), F.lit(True).alias("bound")), ["package", "target_field"], "left").join(inst, ["package", "concept"], "left")
+    j = j.where("bound or n is null or n = 1")
+    own = F.col("bound") | F.col("n").isNull()
+    return j.select("package", "pos", F.when(own, F.col("target_field")).otherwise(F.col("only_one")).alias("target_field"), F.when(F.col("bound"), "bound").when(F.col("n").isNull(), "kept").otherwise("expanded").alias("how"), "formula")
+
+
+@query(_N + """, i as (select package, regexp_replace(field_name, '""" + _SUFFIX + """', '') as concept, field_name, min(ordinal) as ordinal, arg_min(bit_length, ordinal) filter (bit_length is not null) as bl, min(ordinal) filter (bit_length is not null) as bl_at, arg_min(meaning, ordinal) filter (meaning is not null) as mn, min(ordinal) filter (meaning is not null) as mn_at from fld where target group by 1, 2, 3)
+  select package, concept, count(*)::bigint as instances, string_agg(field_name, ',' order by ordinal) as members, arg_min(bl, bl_at) as bit_length, arg_min(mn, mn_at) as meaning from i group by 1, 2""")
+def agg_13_concepts(s, d):
+    """AGG-13: required fields once each, grouped by concept: how many, which, and the first attributes given."""
+    f = _fields(s, d).where("target")
+    first = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct("ordinal", c)))[c]
+    once_ = f.groupBy("package", "field_name").agg(F.min("ordinal").alias("at"))
+    members = once_.withColumn("concept", F.regexp_replace("field_name", _SUFFIX, "")).groupBy("package", "concept").agg(F.count("*").alias("instances"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "field_name"))), lambda x: x["field_name"]), ",").alias("members"))
+    given = f.withColumn("concept", F.regexp_replace("field_name", _SUFFIX, "")).groupBy("package", "concept").agg(first("bit_length").alias("bit_length"), first("meaning").alias("meaning"))
+    return members.join(given, ["package", "concept"])
+
+
+@query(r"""with q as (select distinct qa_id, dataset_id, question, answer, is_low_quality, conversion_mode from qa_pairs where qa_task_type = 'protocol_conversion'),
+  c as (select conversion_mode, least(100, length(coalesce(answer, '')))::double as correctness, case when regexp_matches(coalesce(answer, ''), '[0-9]') then 100.0 else 50.0 end::double as rate, (length(question) % 7 * 10)::double as fragments, regexp_matches(coalesce(answer, ''), '=') as exact, not regexp_matches(question, '[A-Z][A-Z0-9]+_[A-Z0-9_]+') as incomplete,
+    coalesce(answer, '') = '' as failed, regexp_matches(coalesce(answer, ''), '[A-Z][A-Z0-9]+_') as executable, length(coalesce(answer, '')) > 300 as wordy, coalesce(is_low_quality, false) as heuristic from q)
+  select conversion_mode, count(*)::bigint as cases, (count(*) filter (rate >= 100 and correctness >= 99))::bigint as perfect, (count(*) filter (rate >= 100 and correctness >= 99 and not incomplete))::bigint as perfect_complete, round(sum(correctness) / count(*), 4) as avg_correctness, round(sum(rate) / count(*), 4) as avg_rate,
+  round(coalesce(sum(correctness) filter (not incomplete), 0) / greatest(count(*) filter (not incomplete), 1), 4) as avg_correctness_complete, round(coalesce(sum(rate) filter (not incomplete), 0) / greatest(count(*) filter (not incomplete), 1), 4) as avg_rate_complete, round(sum(fragments) / count(*), 4) as avg_fragments, (count(*) filter (exact))::bigint as exact,
+  (count(*) filter (incomplete))::bigint as incomplete, (count(*) filter (not incomplete))::bigint as complete, (count(*) filter (not incomplete and rate < 100))::bigint as model_failures, (count(*) filter (not incomplete and failed))::bigint as extraction_failures, (count(*) filter (executable))::bigint as executable, round((count(*) filter (executable)) / count(*) * 100.0, 4)::double as executable_rate,
+  (count(*) filter (wordy))::bigint as "verbose", round((count(*) filter (wordy)) / count(*) * 100.0, 4)::double as verbose_rate, (count(*) filter (heuristic))::bigint as heuristic, round((count(*) filter (heuristic)) / count(*) * 100.0, 4)::double as heuristic_rate from c group by 1""")
+def agg_10_cases(s, d):
+    """AGG-10: all measures over case results, here conversion pairs with results read off their texts."""
+    a = F.coalesce("answer", F.lit(""))
+    q = table(s, d, "qa_pairs").where("qa_task_type = 'protocol_conversion'").drop("loaded_at").dropDuplicates(["qa_id"])
+    c = q.select(
+        "conversion_mode", F.least(F.lit(100), F.char_length(a)).cast("double").alias("correctness"), F.when(a.rlike("[0-9]"), 100.0).otherwise(50.0).alias("rate"), (F.char_length("question") % 7 * 10).cast("double").alias("fragments"), F.contains(a, F.lit("=")).alias("exact"),
+        (~F.col("question").rlike("[A-Z][A-Z0-9]+_[A-Z0-9_]+")).alias("incomplete"), (a == "").alias("failed"), a.rlike("[A-Z][A-Z0-9]+_").alias("executable"), (F.char_length(a) > 300).alias("verbose"), F.col("is_low_quality").alias("heuristic"),
+    )
+    return aggregate_cases(c, "conversion_mode")
+
+
+@query(r"""with q as (select distinct qa_id, question from qa_pairs where question is not null), t as (select qa_id, regexp_extract_all(question, '[A-Z][A-Z0-9_./\-]{2,}') as l from q), u as (select qa_id, unnest(l) as name, generate_subscripts(l, 1) as i from t),
+  f as (select field_name, min(formula) as formula from (select unnest(protocol_fields, recursive := true) from blocks) where field_name is not null group by 1), m as (select qa_id, name, formula, i, f.field_name is not null as known, name not in ('WHAT', 'HOW', 'WHY', 'THE', 'AND', 'FOR', 'PROTOCOL') as word from u left join f on f.field_name = u.name)
+  select qa_id, name as source_field, formula, known from m qualify row_number() over (partition by qa_id order by known desc, word desc, i) = 1""")
+def fn_26_question_fields(s, d):
+    """FN-26: the field a question is about, a known one before others, with its formula."""
+    q = table(s, d, "qa_pairs").where("question is not null").drop("loaded_at").dropDuplicates(["qa_id"]).select("qa_id", F.posexplode(F.regexp_extract_all("question", F.lit(r"([A-Z][A-Z0-9_./\-]{2,})"), 1)).alias("i", "name"))
+    f = once(table(s, d, "blocks")).select(F.explode("protocol_fields").alias("f")).where("f.field_name is not null").groupBy(F.col("f.field_name").alias("name")).agg(F.min("f.formula").alias("formula")).withColumn("known", F.lit(True))
+    m = q.join(f, "name", "left").withColumns({"known": F.coalesce("known", F.lit(False)), "word": ~F.col("name").isin("WHAT", "HOW", "WHY", "THE", "AND", "FOR", "PROTOCOL")})
+    best = m.groupBy("qa_id").agg(F.min_by(F.struct("name", "formula", "known"), F.struct(~F.col("known"), ~F.col("word"), "i")).alias("b"))
+    return best.select("qa_id", F.col("b.name").alias("source_field"), "b.formula", "b.known")

@@ -96,12 +96,6 @@ def join_08_rule_diff(s, d):
     return rules.rule_diff(old, new, ["p_partkey"])
 
 
-@query("select c_nationkey, arg_max(c_custkey, (c_acctbal, -c_custkey)) as c_custkey, max(c_acctbal)::double as best from customer group by 1")
-def agg_13_best_instance(s, d):
-    c = table(s, d, "customer")
-    return c.groupBy("c_nationkey").agg(F.max_by("c_custkey", F.struct("c_acctbal", -F.col("c_custkey"))).alias("c_custkey"), F.max("c_acctbal").cast("double").alias("best"))
-
-
 @query(f"""with r as (select *, coalesce(lag(payload) over w <> payload, true)::int as new from {_E} window w as (partition by name order by ts, payload)), g as (select *, sum(new) over (partition by name order by ts, payload rows unbounded preceding) as run from r)
   select event_id, row_number() over (partition by name, run order by ts, payload) as repeats from g""")
 def str_01_repeats(s, d):

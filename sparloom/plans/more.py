@@ -108,25 +108,11 @@ def spl_04_pseudo_tables(s, d):
     return once(table(s, d, "blocks")).where("content is not null").select("block_id", F.size(lines).cast("bigint").alias("lines"), F.size(F.filter(lines, lambda r: F.size(F.split(r, r"\|")) >= 3)).cast("bigint").alias("rows"))
 
 
-@query(f"with p as (select distinct project_id, field_name from {_B} join {_F} using (block_id) where field_name is not null), c as (select field_name, count(*) as projects from p group by 1 having count(*) = 1) select project_id, count(*) as own_fields from p semi join c using (field_name) group by 1")
-def join_14_unambiguous(s, d):
-    """JOIN-12/14/22: fields that exactly one project defines; ambiguous ones are left out."""
-    p = once(table(s, d, "blocks")).select("project_id", F.explode("protocol_fields.field_name").alias("field_name")).where("field_name is not null").distinct()
-    one = p.groupBy("field_name").agg(F.count("*").alias("projects")).where("projects = 1").select("field_name")
-    return p.join(one, "field_name", "left_semi").groupBy("project_id").agg(F.count("*").alias("own_fields"))
-
-
 @query()
 def snk_05_lines(s, d):
     return sinks.training_lines(table(s, d, "qa_pairs").drop("loaded_at").dropDuplicates(["qa_id"]))
 
 
-@query("select status, count(*) as jobs, count(*) filter (progress is null) as idle, round(avg(progress.percent), 4) as mean_percent from (select distinct job_id, status, progress from finetune_jobs) group by 1")
-def agg_10_job_counts(s, d):
-    j = table(s, d, "finetune_jobs").drop("loaded_at").dropDuplicates(["job_id"])
-    return j.groupBy("status").agg(F.count("*").alias("jobs"), F.count_if(F.col("progress").isNull()).alias("idle"), F.round(F.avg("progress.percent"), 4).alias("mean_percent"))
-
-
 @query("select job_id, (s // 3600)::varchar || 'h ' || ((s % 3600) // 60)::varchar || 'm ' || (s % 60)::varchar || 's' as run from (select job_id, progress.current_step::bigint * 7 as s from (select distinct job_id, progress from finetune_jobs) where progress is not null)")
 def fn_24_duration(s, d):
     """FN-24: seconds as hours, minutes and seconds."""
