@@ -93,7 +93,8 @@ def temperature(shares: dict[str, float], tokens: dict[str, float], repeats: dic
 
 def source_sizes(tokens: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, target_share, max_repeats, tokens, total): one row per source with a target, ``total`` over all documents."""
-    per = tokens.groupBy("source").agg(F.sum("tokens").alias("tokens"))
+    # Read twice, for the total and per source; cut, so that texts are tokenized once.
+    per = cut(tokens.groupBy("source").agg(F.sum("tokens").alias("tokens")))
     total = per.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("total"))
     goal = targets.select(F.lower(F.trim("source")).alias("source"), F.col("target_share").cast("double").alias("target_share"), F.coalesce("max_repeats", F.lit(1)).alias("max_repeats")).where("source is not null")
     return goal.join(per, "source", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0))).join(F.broadcast(total))
