@@ -53,3 +53,10 @@ def maybe(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     a, b = places(h, 8 * len(bits))
     hit = lambda at: (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
     return (hit(a) & hit(b)).astype(bool)
+
+
+def one(bits: bytes, h: int) -> bool:
+    """Whether a single hash may be in the filter, given as bytes."""
+    mask = 8 * len(bits) - 1
+    a, b = h & mask, (h >> 31) & mask
+    return bool(bits[a >> 3] >> (7 - (a & 7)) & 1 and bits[b >> 3] >> (7 - (b & 7)) & 1)

@@ -71,11 +71,10 @@ class Codes(dict):
 
     def __init__(self, names: np.ndarray):
         super().__init__()
-        self.names = names
+        self.names = names.tobytes()
 
     def __missing__(self, w):
-        h = np.array([xxhash.xxh64_intdigest(w, 42)], dtype=np.uint64)
-        c = canonical(w, bool(bloom.maybe(self.names, h)[0]))
+        c = canonical(w, bloom.one(self.names, xxhash.xxh64_intdigest(w, 42)))
         v = (xxhash.xxh64_intdigest(c), xxhash.xxh64_intdigest(w) if c is not w else 0, c is not w)
         if len(self) < self.LIMIT:
             self[w] = v

@@ -350,12 +350,10 @@ class Suspects(dict):
 
     def __init__(self, bits: np.ndarray):
         super().__init__()
-        self.bits, self.size = bits.tobytes(), 8 * len(bits)
+        self.bits = bits.tobytes()
 
     def maybe(self, word: str) -> bool:
-        h = xxhash.xxh64_intdigest(word, 42)
-        a, b = h & (self.size - 1), (h >> 31) & (self.size - 1)
-        return bool(self.bits[a >> 3] >> (7 - (a & 7)) & 1 and self.bits[b >> 3] >> (7 - (b & 7)) & 1)
+        return bloom.one(self.bits, xxhash.xxh64_intdigest(word, 42))
 
     def __missing__(self, raw):
         w = tuple(x for x in words_of(raw) if self.maybe(x))
