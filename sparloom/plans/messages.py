@@ -161,7 +161,7 @@ def vec_01_ivf_recall(s, d):
     e = table(s, d, "embeddings")
     q = e.where("vec_id % 100 = 0")
     exact = retrieval.search(e, q, 10).select("query_id", "vec_id")
-    got = retrieval.ivf_search(e, q, 10, lists=32, probes=24).select("query_id", "vec_id", F.lit(1).alias("hit"))
+    got = retrieval.ivf_search(e, q, 10).select("query_id", "vec_id", F.lit(1).alias("hit"))
     return exact.join(got, ["query_id", "vec_id"], "left").groupBy("query_id").agg(F.round(F.avg(F.coalesce("hit", F.lit(0))), 4).alias("recall"))
 
 
