@@ -102,3 +102,18 @@ def filtered_rules(rules: DataFrame, sources: DataFrame, targets: DataFrame) ->
     foreign = F.size(F.filter(words, lambda x: ~x.isin(LANGUAGE) & ~F.array_contains(F.col("sources"), x))) > 0
     reason = F.when(F.col("lost"), "unknown source").when(F.col("formula") == "", "no formula").when(foreign, "undeclared name").when(F.col("target_known").isNull(), "unknown target").otherwise("")
     return rules.join(lost, ["package", "pos"], "left").join(known, ["package", "key"], "left").select("package", "pos", "key", "formula", reason.alias("reason"))
+
+
+def assembled(rules: DataFrame, targets: DataFrame, alias: str) -> DataFrame:
+    """(package, target_field, formula, rule_type, origin): the rules of each package made executable and complete.
+
+    ``rules``: first rules in normal form; ``targets``: package, key, field_name. A rule for an unknown target is left out; ``x``
+    stands for the rule's source, which is written with its alias; a rule without a source or with ``result`` in its formula
+    becomes 0, and so does every target without a rule."""
+    t = targets.groupBy("package", "key").agg(F.min("field_name").alias("target"))
+    source = F.get("sources", F.lit(0))
+    named = F.regexp_replace("formula", F.lit(r"(^|[^A-Za-z0-9_.])x($|[^A-Za-z0-9_.])"), F.concat(F.lit(f"$1{alias}."), source, F.lit("$2")))
+    zero = source.isNull() | F.col("formula").rlike(r"(?i)(?:^|[^A-Za-z0-9_])result(?:$|[^A-Za-z0-9_])")
+    j = t.join(rules.select("package", "key", "formula", "sources", F.lit(True).alias("ruled")), ["package", "key"], "left")
+    formula = F.when(F.col("ruled").isNull() | zero, "0").otherwise(named)
+    return j.select("package", F.col("target").alias("target_field"), formula.alias("formula"), F.when(formula == "0", "const").otherwise("expression").alias("rule_type"), F.when(F.col("ruled"), "rule").otherwise("default").alias("origin"))

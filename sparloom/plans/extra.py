@@ -82,7 +82,7 @@ def val_13_unique_names(s, d):
 
 @query(f"select distinct formula, len(list_filter(regexp_extract_all(formula, '[A-Za-z_][A-Za-z0-9_]*'), lambda x: x not in ('value', 'raw', 'bits', 'abs', 'round', 'min', 'max')))::int as foreign_names from {_F} where formula is not null")
 def val_14_whitelist(s, d):
-    """VAL-11/14: names in formulas that the language does not know."""
+    """VAL-14: names in formulas that the language does not know."""
     n = F.filter(F.regexp_extract_all("formula", F.lit("([A-Za-z_][A-Za-z0-9_]*)"), 1), lambda x: ~x.isin("value", "raw", "bits", "abs", "round", "min", "max"))
     return _fields(s, d).where("formula is not null").select("formula", F.size(n).alias("foreign_names")).distinct()
 
@@ -186,7 +186,7 @@ def vec_03_rerank(s, d):
 
 @query("select p_partkey, source from (select p_partkey, source, row_number() over (partition by p_partkey order by pri) as r from (select p_partkey, 'large' as source, 1 as pri from part where p_size > 40 union all select p_partkey, 'seven', 2 from part where p_size % 7 = 0 union all select p_partkey, 'zero', 3 from part)) where r = 1")
 def set_01_priority_union(s, d):
-    """SET-01/05: union of sources, the first that has the key wins."""
+    """SET-01: union of sources, the first that has the key wins."""
     p = table(s, d, "part")
     u = p.where("p_size > 40").select("p_partkey", F.lit("large").alias("source"), F.lit(1).alias("pri")).unionByName(p.where("p_size % 7 = 0").select("p_partkey", F.lit("seven").alias("source"), F.lit(2).alias("pri"))).unionByName(p.select("p_partkey", F.lit("zero").alias("source"), F.lit(3).alias("pri")))
     return u.groupBy("p_partkey").agg(F.min_by("source", "pri").alias("source"))
@@ -229,7 +229,7 @@ def msg_11_response(s, d):
 
 @query("""select o_orderkey, o_totalprice::double * 2 as "A", 0.0::double as "B", 0.0::double as "C" from orders""")
 def msg_17_completed(s, d):
-    """MSG-16/17: targets without a rule get 0."""
+    """MSG-17: targets without a rule get 0."""
     o = table(s, d, "orders").select("o_orderkey", F.col("o_totalprice").cast("double").alias("o_totalprice"))
     return convert(o, completed([Rule("A", "o_totalprice * 2", ("o_totalprice",))], ["a", "b", "c"]), "o_orderkey")
 

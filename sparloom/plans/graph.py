@@ -1,6 +1,6 @@
 """Queries on the graph of fields: nodes are the fields of files, edges the rules between them, concepts names without
 suffixes (JOIN-03..07, JOIN-14, JOIN-15, JOIN-17, JOIN-22, RANK-05, RANK-07,
-SNK-09, SET-05, AGG-10, AGG-13, AGG-14, VAL-11, VAL-16, FN-26, MSG-12, MSG-15, CLN-11).
+SNK-09, SET-05, AGG-10, AGG-13, AGG-14, VAL-11, VAL-16, FN-26, MSG-12, MSG-15, MSG-16, CLN-11).
 """
 
 from __future__ import annotations
@@ -283,3 +283,15 @@ def fn_26_question_fields(s, d):
     m = q.join(f, "name", "left").withColumns({"known": F.coalesce("known", F.lit(False)), "word": ~F.col("name").isin("WHAT", "HOW", "WHY", "THE", "AND", "FOR", "PROTOCOL")})
     best = m.groupBy("qa_id").agg(F.min_by(F.struct("name", "formula", "known"), F.struct(~F.col("known"), ~F.col("word"), "i")).alias("b"))
     return best.select("qa_id", F.col("b.name").alias("source_field"), "b.formula", "b.known")
+
+
+@query(_F + r""", t as (select package, key, min(field_name) as target_field from fld where target group by 1, 2),
+  k as (select ru.package, ru.key, t.target_field, case when ru.source is null or regexp_matches(ru.formula, '(?i)(?:^|[^A-Za-z0-9_])result(?:$|[^A-Za-z0-9_])') then '0' else regexp_replace(ru.formula, '(^|[^A-Za-z0-9_.])x($|[^A-Za-z0-9_.])', '\1src.' || ru.source || '\2', 'g') end as formula, ru.source from ru join t using (package, key))
+  select package, target_field, formula, case when formula = '0' then 'const' else 'expression' end as rule_type, 'rule' as origin from k union all select t.package, t.target_field, '0', 'const', 'default' from t where not exists (select 1 from k where k.package = t.package and k.key = t.key)""")
+def msg_16_package(s, d):
+    """MSG-16/JOIN-13: the conversion package of a file: one rule per known target, formulas with aliased sources, a zero rule
+    where a source is missing or the formula still names its result, and for every target without a rule."""
+    f = _fields(s, d)
+    rules = evaluation.first_rules(evaluation.normal_rules(_rules(f)))
+    targets = evaluation.field_specs(f.where("target").select("package", "field_name", F.lit("").alias("path"), F.lit("").alias("protocol"), F.lit("").alias("file_name"), "bit_length", F.lit("").alias("default_value")))
+    return graph.assembled(rules, targets, "src")

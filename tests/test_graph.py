@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparloom.functions import features, jsontext
-from sparloom.operators import graph
+from sparloom.operators import graph, retrieval
 from sparloom.sources import sinks
 
 
@@ -62,3 +62,28 @@ def test_sinks_keep_keys_single(spark):
     assert [json.loads(r.value) for r in sinks.preference_lines(p).collect()] == [{"prompt": "q", "chosen": "good", "rejected": "bad"}]
     packs = {r.package: json.loads(r.value) for r in sinks.rule_package(spark.createDataFrame([("p", 2, "b"), ("p", 1, "a"), ("q", 1, "c")], "package string, pos int, formula string")).collect()}
     assert [x["formula"] for x in packs["p"]["rules"]] == ["a", "b"] and packs["q"]["project_name"] == "q"
+
+
+def test_assembled_packages(spark):
+    rules = spark.createDataFrame([("p", "a", "x*2 + x", ["u"]), ("p", "b", "result + 1", ["u"]), ("p", "c", "x", []), ("p", "gone", "x", ["u"]), ("p", "e", "max(x, ax)", ["v_1"])], "package string, key string, formula string, sources array<string>")
+    targets = spark.createDataFrame([("p", k, k.upper()) for k in "abcde"] + [("q", "z", "Z")], "package string, key string, field_name string")
+    got = {(r.package, r.target_field): (r.formula, r.rule_type, r.origin) for r in graph.assembled(rules, targets, "s").collect()}
+    assert got == {("p", "A"): ("s.u*2 + s.u", "expression", "rule"), ("p", "B"): ("0", "const", "rule"), ("p", "C"): ("0", "const", "rule"), ("p", "D"): ("0", "const", "default"), ("p", "E"): ("max(s.v_1, ax)", "expression", "rule"), ("q", "Z"): ("0", "const", "default")}
+
+
+def test_filtered_rules(spark):
+    rules = spark.createDataFrame([("p", 1, "a", "x + 1", ["s.u"]), ("p", 2, "a", "x", ["lost"]), ("p", 3, "a", "", ["u"]), ("p", 4, "a", "w * 2", ["u"]), ("p", 5, "no", "u * 2", ["u"]), ("p", 6, "a", "7", [])], "package string, pos int, key string, formula string, sources array<string>")
+    s = spark.createDataFrame([("p", "u")], "package string, key string")
+    t = spark.createDataFrame([("p", "a")], "package string, key string")
+    assert {r.pos: r.reason for r in graph.filtered_rules(rules, s, t).collect()} == {1: "", 2: "unknown source", 3: "no formula", 4: "undeclared name", 5: "unknown target", 6: ""}
+
+
+def test_search_in_blocks_is_the_same(spark, monkeypatch):
+    e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding")
+    e = e.unionByName(e.where("vec_id < 20").select((F.col("vec_id") + 100000).alias("vec_id"), "embedding")).unionByName(e.limit(1).select(F.lit(-1).cast("bigint").alias("vec_id"), F.lit(None).cast("array<float>").alias("embedding")))
+    q = e.where("vec_id % 100 = 0 or vec_id = -1")
+    whole = {tuple(r) for r in retrieval.search(e, q, 7).select("query_id", "vec_id", "rank").collect()}
+    monkeypatch.setattr(retrieval, "QUERY_ROWS", 2)
+    assert {tuple(r) for r in retrieval.search(e, q, 7).select("query_id", "vec_id", "rank").collect()} == whole and len(whole) == 7 * (q.count() - 1)
+    assert retrieval.search(e, q.limit(0), 7).count() == 0 and retrieval.search(e.limit(0), q, 7).count() == 0
+    assert retrieval.ivf_search(e, q, 7).where("rank = 1").count() == q.count() - 1
