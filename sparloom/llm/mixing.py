@@ -134,6 +134,36 @@ def plan_mix(sizes: list, target_entropy: float | None = None) -> list[dict]:
     return out
 
 
+def temper_tokens(sizes: list, target_entropy: float | None = None, steps: int = 60) -> list[dict]:
+    """Weights by the sources' own token shares, raised to the largest exponent up to 1 at which the mix has the target entropy
+    (without one, that of the target shares), or, where a source would be used beyond its limit, to the smallest above it
+    at which none is. At exponent 1 every source is used once, so there always is one; a source without tokens has weight 0."""
+    have = {r["source"]: float(r["tokens"]) for r in sizes}
+    rep = {r["source"]: int(r["max_repeats"]) for r in sizes}
+    goal = {r["source"]: r["target_share"] or 0.0 for r in sizes}
+    total = sum(have.values())
+    if not total:
+        return []
+    share = {k: v / total for k, v in have.items()}
+    want = entropy(temper(goal, 1.0)) if target_entropy is None else target_entropy
+    exponent = bisect_exponent(share, lambda w: entropy(w) >= want - 1e-12, 0.0, 1.0)
+    fits = lambda e: all(w * total <= have[k] * rep[k] + 1e-9 * total for k, w in temper(share, e).items())
+    if not fits(exponent):
+        low, high = exponent, 1.0
+        for _ in range(steps):
+            mid = (low + high) / 2
+            low, high = (low, mid) if fits(mid) else (mid, high)
+        exponent = high
+    w = temper(share, exponent)
+    return [{"source": k, "token_share": share[k], "weight": w[k], "exponent": exponent, "passes": w[k] * total / have[k] if have[k] else 0.0} for k in share]
+
+
+def tempered(docs: DataFrame, targets: DataFrame, path: str, target_entropy: float | None = None) -> DataFrame:
+    """(source, token_share, weight, exponent, passes): the sources with a target mixed by temperature alone."""
+    rows = temper_tokens(source_sizes(with_tokens(docs, path), targets).collect(), target_entropy)
+    return docs.sparkSession.createDataFrame(rows, "source string, token_share double, weight double, exponent double, passes double")
+
+
 PLAN = "source string, target_share double, weight double, exponent double, tokens bigint, max_repeats int, short boolean, passes double"
 
 

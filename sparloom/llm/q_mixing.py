@@ -33,7 +33,12 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.actual_shares(table(spark, d, "documents"), table(spark, d, "mix_targets"), _path(spark))
 
 
-QUERIES = {f.__name__: f for f in (p8_found, p8_plan, p8_mix, p8_shares)}
+def p8_tempered(spark: SparkSession, d: str) -> DataFrame:
+    """The mix by the sources' own token shares, flattened to the entropy of the target shares as far as repetition allows."""
+    return mixing.tempered(table(spark, d, "documents"), table(spark, d, "mix_targets"), _path(spark))
+
+
+QUERIES = {f.__name__: f for f in (p8_found, p8_plan, p8_mix, p8_shares, p8_tempered)}
 SQL = {
     "p8_found": """
 with t as (select sum(length(text)) as all_chars from documents),

@@ -65,6 +65,17 @@ def test_temperature():
     assert math.isclose(sum(mixing.temper(s, 0.3).values()), 1.0)
 
 
+def test_temper_tokens():
+    rows = [{"source": k, "tokens": n, "max_repeats": m, "target_share": t} for k, n, m, t in (("a", 900, 1, 0.4), ("b", 90, 9, 0.3), ("c", 10, 20, 0.3), ("d", 0, 1, 0.0))]
+    free = {r["source"]: r for r in mixing.temper_tokens(rows, 0.5)}
+    assert abs(mixing.entropy({k: r["weight"] for k, r in free.items()}) - 0.5) < 1e-6 and 0 < free["a"]["exponent"] < 1 and free["d"]["weight"] == 0
+    # The entropy of the targets asks for more repeats than there are: the limit decides.
+    tight = {r["source"]: r for r in mixing.temper_tokens([dict(r, max_repeats=2) for r in rows])}
+    assert max(r["passes"] for r in tight.values()) == pytest.approx(2, abs=1e-6) and tight["a"]["exponent"] > free["a"]["exponent"]
+    once = mixing.temper_tokens([dict(r, max_repeats=1) for r in rows])
+    assert all(r["weight"] == pytest.approx(r["token_share"]) for r in once) and mixing.temper_tokens([]) == []
+
+
 def test_mix(spark):
     docs = [(i, "word " * 10, " Big ", 1) for i in range(300)] + [(1000 + i, "word " * 10, "small", 1) for i in range(10)] + [(2000, None, None, 1), (2001, "", "small", 1), (2002, "word " * 10, "none", 1)]
     d = spark.createDataFrame(docs, "doc_id bigint, text string, source string, tokens int")
