@@ -65,13 +65,13 @@ OPENING = 400
 def real_lines(text):
     """Lines that hold a real value outside of slots and are no title. Two of them rule residue out, as a document may have one
     opening line, and most documents are done with here; ``residue`` counts the same lines as real."""
-    value = r"(?<![\p{L}\p{N}_{<\[$%@])(?<![{<\[] )(?:\p{Lu}[\p{Lu}\p{N}]*_[\p{Lu}\p{N}]|\p{Lu}{2}\p{N}+\.\p{N})"
-    return F.size(F.filter(F.split(text, r"\R"), lambda x: x.rlike(value) & x.rlike(r"\p{Ll}") & ~x.rlike(r"^[\s\p{Z}>]*(?:#|Ref\b)") & ~x.rlike(SLOT) & ((F.char_length(x) > 2 * TITLE) | x.rlike(r"[.!?。！？;；:：]\W*$"))))
+    value = r"(?<![\p{L}\p{N}_{<\[$%@.])(?<![{<\[] )(?:\p{Lu}[\p{Lu}\p{N}]*_[\p{Lu}\p{N}]|\p{Lu}{2}\p{N}+\.\p{N})"
+    return F.size(F.filter(F.split(text, r"\R"), lambda x: x.rlike(value) & x.rlike(r"\p{Ll}") & ~x.rlike(r"^[\s\p{Z}>]*(?:#|Ref\b)") & ((F.char_length(x) > 2 * TITLE) | x.rlike(r"[.!?。！？;；:：]\W*$"))))
 
 
 def no_words(line):
     """Many words and no function word among them."""
-    return (F.size(F.split(line, r"\s+")) >= 6) & line.rlike(r"\.$") & ~line.rlike(STOP) & ~line.rlike(SLOT)
+    return line.rlike(r"\.$") & ~line.rlike(STOP) & (F.size(F.split(line, r"\s+")) >= 6) & ~line.rlike(SLOT)
 
 
 def suspect_lines(docs: DataFrame) -> DataFrame:
