@@ -87,6 +87,10 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)], dtype="float64")
 
 
+#: The same, evaluated once where a filter and a column use it: the planner would copy it into both.
+ratio_once = sequence_ratio.asNondeterministic()
+
+
 def formula_kind(c: Column) -> Column:
     """mapping, conditional, constant or expression, by what the formula holds."""
     t = F.trim(c)

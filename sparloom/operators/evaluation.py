@@ -66,7 +66,10 @@ def candidates(targets: DataFrame, sources: DataFrame, k: int, threshold: float)
     """(package, key, path, near): the ``k`` sources most like each target, from ``threshold`` on, best first."""
     spread = sources.select("package", F.col("ordinal").alias("s_ordinal"), F.col("key").alias("s_key"), F.col("field_name").alias("s_name"), F.col("text").alias("s_text"), F.pmod(F.xxhash64("path", "field_name"), F.lit(BLOCKS)).cast("int").alias("block"))
     asked = targets.select("package", "key", "path", "ordinal", "text").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
-    scored = asked.join(spread, ["package", "block"]).withColumn("raw", Y.sequence_ratio("text", "s_text")).where(F.col("raw") >= threshold).withColumn("score", F.round("raw", 4))
+    # A pair costs far more than its two texts weigh: pairs go evenly over all cores, however small they are.
+    cores = targets.sparkSession.sparkContext.defaultParallelism
+    pairs = asked.join(spread, ["package", "block"]).repartition(2 * cores, "path", "s_ordinal", "package")
+    scored = pairs.withColumn("raw", Y.ratio_once("text", "s_text")).where(F.col("raw") >= threshold).withColumn("score", F.round("raw", 4))
     w = Window.partitionBy("package", "key", "path", "ordinal").orderBy(F.desc("score"), "s_ordinal")
     best = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max(1, k))
     return best.groupBy("package", "key", "path", "ordinal").agg(F.array_sort(F.collect_list(F.struct("rank", "score", "s_key", "s_name"))).alias("near"))

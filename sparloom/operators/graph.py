@@ -24,14 +24,15 @@ def source_candidates(targets: DataFrame, sources: DataFrame, k: int = 5) -> Dat
 
     An equal name alone is enough and then the only one; a first candidate far ahead of the second stays alone; else up to
     ``k`` from LEAST points on. ``targets``: package, ordinal, field_name; ``sources``: package, field_name."""
-    j = targets.join(sources.select("package", F.col("field_name").alias("source")), "package")
+    cores = targets.sparkSession.sparkContext.defaultParallelism
+    j = targets.join(sources.select("package", F.col("field_name").alias("source")), "package").repartition(2 * cores, "package", "field_name", "source")
     t, s = F.upper(F.trim("field_name")), F.upper(F.trim(F.element_at(F.split("source", r"\."), -1)))
     j = j.withColumns({"t": t, "s": s}).where("t <> '' and s <> ''").withColumns({"tg": Y.groups_of(F.col("t")), "sg": Y.groups_of(F.col("s")), "tf": _family(F.col("t")), "sf": _family(F.col("s"))})
     tokens = lambda c: F.filter(F.split(c, r"[^A-Z0-9]+"), lambda x: x != "")
     number = lambda c: F.regexp_extract(c, r"([0-9]+)$", 1)
     same = F.col("tf") == F.col("sf")
     points = (
-        Y.sequence_ratio("t", "s") * POINTS["ratio"] + F.size(F.array_intersect(tokens(F.col("t")), tokens(F.col("s")))) * POINTS["token"] + F.when(same, POINTS["family"]).otherwise(0.0)
+        Y.ratio_once("t", "s") * POINTS["ratio"] + F.size(F.array_intersect(tokens(F.col("t")), tokens(F.col("s")))) * POINTS["token"] + F.when(same, POINTS["family"]).otherwise(0.0)
         + F.when(same & (number(F.col("t")) != "") & (number(F.col("s")) != "") & (number(F.col("t")) != number(F.col("s"))), POINTS["number"]).otherwise(0.0) + F.when(F.arrays_overlap("tg", "sg"), POINTS["quantity"]).otherwise(0.0)
         + F.when(F.startswith(F.col("t"), F.col("s")) | F.startswith(F.col("s"), F.col("t")), POINTS["starts"]).otherwise(0.0) + F.when(F.endswith(F.col("t"), F.col("s")) | F.endswith(F.col("s"), F.col("t")), POINTS["ends"]).otherwise(0.0)
     )

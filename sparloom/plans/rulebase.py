@@ -14,6 +14,7 @@ from sparloom.functions import extract as X
 from sparloom.functions import similarity as Y
 from sparloom.operators import evaluation, rulechecks, splitter
 from sparloom.operators.cleaning import once
+from sparloom.session import cut
 from sparloom.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -85,7 +86,7 @@ def agg_09_duplicate_targets(s, d):
 
 
 def _evaluated(s, d):
-    f = _fields(s, d)
+    f = cut(_fields(s, d))
     return evaluation.evaluate(_specs(f.where("target")), _specs(f.where("not target")), _rules(f))
 
 
