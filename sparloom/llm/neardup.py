@@ -19,6 +19,12 @@ Keys travel packed: one row per batch and bucket of keys, so that a shuffle move
 with the input, each holds about PER_BUCKET keys. Pairs of a key are made size by size in bounded pieces and counted
 before they are shuffled.
 
+Disk. Texts are kept once, in compressed Parquet; steps between move hashes of them, and only texts of candidates are
+joined. The buckets are done in up to ROUNDS rounds, as many as the estimated keys call for, whose shuffles end with them:
+two records that share COMMON keys share at least COMMON / rounds, rounded up, in one round, so that each round decides
+alone and loses no pair. Numbers are
+packed as differences, byte by byte (``planes``), whose leading zeros the compression of the shuffle takes away.
+
 Defined results
     * null parts of a record count as empty; records without a single substring of WIDTH characters are alike to none.
     * equal texts are alike; a class of at most ``expand`` equal texts comes out in all its pairs, a larger one as the
@@ -31,22 +37,25 @@ Defined results
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
+from contextlib import ExitStack, contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparloom.session import cut
+from sparloom.llm import bloom
+from sparloom.session import checkpoint_dir, cut
 
 WIDTH = 8
 THRESHOLD = 0.7
 #: Keys two alike records share at least.
-COMMON = 8
+COMMON = 16
 #: Records with fewer tokens may share fewer than COMMON: one key of theirs counts for all.
-TINY = 16
+TINY = 2 * COMMON
 #: Ring segments of the smallest mode; each further mode has six times as many and starts at eight times the size.
 RING = 64
 #: Buckets of the counting sketch: one byte each (eighths of a power of two), 2^16 to 2^24 by the number of tokens.
@@ -56,6 +65,12 @@ SLICE = 1 << 16
 RARE = 10
 #: Keys in a bucket, about.
 PER_BUCKET = 2_000_000
+#: Rounds at most; shuffled bytes that one round may have in any case, and for each character of text.
+ROUNDS, ROUND_BYTES, ROUND_SHARE = 8, 50_000_000, 1.1
+#: Bytes of a key, and of a record in a bucket, as measured; records from which the number of keys is estimated.
+KEY_BYTES, ENTRY_BYTES, SAMPLE = 5, 2.5, 4000
+#: Characters worked on at once.
+CACHED = 150_000
 #: Pairs held before they are counted.
 HELD = 2_000_000
 #: Segments of the pigeonring test.
@@ -71,6 +86,59 @@ class Settings:
     expand: int = 64
 
 
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def freed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the actions inside go when their action ends, not when the driver collects its garbage."""
+    before = spark.conf.get(FREED)
+    spark.conf.set(FREED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(FREED, before)
+
+
+@contextmanager
+def stored(df: DataFrame) -> Iterator[DataFrame]:
+    """The rows as compressed Parquet in the checkpoint folder, for as long as the block runs."""
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    sc = spark.sparkContext
+    path = f"{sc._jsc.sc().getCheckpointDir().get()}/near-{uuid.uuid4().hex}"
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        at = sc._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def once(df: DataFrame) -> DataFrame:
+    """As ``cut``, for rows that are dear to make: a checkpoint evaluates its last stage twice."""
+    with stored(df) as rows:
+        return cut(rows)
+
+
+def planes(a: np.ndarray) -> bytes:
+    """Numbers byte by byte: all lowest bytes, then all second ones, and so on."""
+    return np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes()
+
+
+def unplaned(raw: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
+
+
+def steps(a: np.ndarray) -> bytes:
+    """Differences of whole numbers from one to the next, the first from 0."""
+    return planes(np.diff(a.astype(np.int64), prepend=0))
+
+
+def unstepped(raw: bytes) -> np.ndarray:
+    return np.cumsum(unplaned(raw, np.int64))
+
+
 def normal_text(*parts: Column) -> Column:
     """Parts joined by blanks, in lower case, each run of other than letters and digits one blank, trimmed."""
     joined = F.concat_ws(" ", *[F.coalesce(p, F.lit("")) for p in parts])
@@ -135,11 +203,15 @@ def token_order(reps: DataFrame, tokens: int) -> np.ndarray:
     slices = (1 << bits) // SLICE
 
     def local(batches):
-        counts = np.zeros(1 << bits, dtype=np.uint32)
+        counts, held, size = np.zeros(1 << bits, dtype=np.uint32), [np.zeros(0, np.int32)], 0
         for b in batches:
-            for s in _slices(b):
-                _, h = shingles(s.column("text").to_pylist())
-                counts += np.bincount((h & U((1 << bits) - 1)).astype(np.int64), minlength=1 << bits).astype(np.uint32)
+            for s in _slices(b, CACHED):
+                held.append((shingles(s.column("text").to_pylist())[1] & U((1 << bits) - 1)).astype(np.int32))
+                size += len(held[-1])
+                if size > 2 * HELD:
+                    counts += np.bincount(np.concatenate(held), minlength=1 << bits).astype(np.uint32)
+                    held, size = held[:1], 0
+        counts += np.bincount(np.concatenate(held), minlength=1 << bits).astype(np.uint32)
         if counts.any():
             kind = np.uint8 if counts.max() < 256 else np.uint32
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(slices, dtype=np.int32)), pa.array([p.astype(kind).tobytes() for p in counts.reshape(slices, SLICE)], pa.binary())], names=["slice", "counts"])
@@ -189,14 +261,22 @@ def _rank_in_group(code: np.ndarray) -> np.ndarray:
     return rank
 
 
+def prefix(n: np.ndarray, threshold: float) -> np.ndarray:
+    """Budget that the prefix of a record of so many tokens reaches."""
+    return n - np.ceil(threshold * n - 1e-9).astype(np.int64) + COMMON
+
+
 def signatures(owner: np.ndarray, h: np.ndarray, n_of: np.ndarray, threshold: float, ring: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(record, key, spent budget) of the prefix keys; ``owner, h`` as ``shingles`` gives them with an order; records of
-    size 0 in ``n_of`` have no tokens here."""
-    need = n_of - np.ceil(threshold * n_of - 1e-9).astype(np.int64) + COMMON
+    size 0 in ``n_of`` have no tokens here. Tokens of a sketch bucket that only one record has spend budget, but nobody
+    shares them, so that they give no key."""
+    need = prefix(n_of, threshold)
     first = np.concatenate([[0], np.cumsum(n_of)[:-1]])
-    near = np.arange(len(owner)) - first[owner] < need[owner] + ring
-    owner, h = owner[near], h[near]
+    some = np.where(n_of > 0, np.minimum(n_of, need + ring), 0)
+    near = np.arange(some.sum()) + np.repeat(first - np.cumsum(some) + some, some)
+    owner, h = np.repeat(np.arange(len(n_of)), some), h[near]
     single = (h >> U(56)).astype(np.float64) <= 8 * math.log2(RARE) if ring else np.ones(len(h), dtype=bool)
+    shared = (h >> U(56)) > U(0)
     t = h & LOW56
     cls = ((t >> U(20)) % U(max(1, ring))).astype(np.int64)
     inc = np.ones(len(owner), dtype=np.int64)
@@ -206,9 +286,9 @@ def signatures(owner: np.ndarray, h: np.ndarray, n_of: np.ndarray, threshold: fl
     base = np.concatenate([[0], got])[np.searchsorted(owner, np.arange(len(n_of)))]
     got = got - base[owner]
     keep = got - inc < need[owner]
-    o, t, c, g, s = owner[keep], t[keep], cls[keep], got[keep], single[keep]
+    o, t, c, g, s, shared = owner[keep], t[keep], cls[keep], got[keep], single[keep], shared[keep]
     salt = U(0x51ED27 * (ring + 1))
-    docs, keys, spent = [o[s]], [mix(t[s] + salt)], [g[s]]
+    docs, keys, spent = [o[s & shared]], [mix(t[s & shared] + salt)], [g[s & shared]]
     o, t, c, g = o[~s], t[~s], c[~s], g[~s]
     code = o * max(1, ring) + c
     order = _ordered(code)
@@ -223,46 +303,72 @@ def signatures(owner: np.ndarray, h: np.ndarray, n_of: np.ndarray, threshold: fl
     return np.concatenate(docs), np.concatenate(keys), np.concatenate(spent)
 
 
+def part_of(n: np.ndarray, threshold: float) -> np.ndarray:
+    """The budget that one part of 255 of the prefix stands for."""
+    return (prefix(n, threshold) + 254) // 255
+
+
 POSTS = "bucket int, docs binary, sizes binary, counts binary, keys binary, spent binary"
 PACKED = POSTS.replace(" int", "").replace(" binary", "").split(", ")
 
 
-def postings(reps: DataFrame, order: np.ndarray, buckets: int, threshold: float) -> DataFrame:
-    """The prefix keys of every record, packed by bucket: records (id, size, number of keys), then their keys with the
-    budget spent up to each."""
-    sent = reps.sparkSession.sparkContext.broadcast(order)
-
-    def run(batches):
-        rank = sent.value
-        for b in batches:
-            for s in _slices(b):
-                ids = s.column("doc").to_numpy(zero_copy_only=False)
-                owner, h = shingles(s.column("text").to_pylist(), rank)
-                if not len(h):
-                    continue
-                n_of = np.bincount(owner, minlength=len(ids))
-                parts = []
+def postings_of(batches: Iterator[pa.RecordBatch], rank: np.ndarray, buckets: range, whole: int, threshold: float) -> Iterator[pa.RecordBatch]:
+    """The prefix keys of every record in some of the ``whole`` buckets, packed by bucket: records (id, size, number of
+    keys), then their keys with the budget spent up to each, in parts of at most 255 of the prefix, rounded down."""
+    for b in batches:
+        for s in _slices(b):
+            ids = s.column("doc").to_numpy(zero_copy_only=False)
+            n_of, parts = np.zeros(len(ids), dtype=np.int64), []
+            at = 0
+            for few in _slices(s, CACHED):
+                owner, h = shingles(few.column("text").to_pylist(), rank)
+                n = n_of[at : at + few.num_rows]
+                n += np.bincount(owner, minlength=len(n))
                 for ring, low, high in modes(threshold):
-                    if low > n_of.max():
+                    if low > n.max():
                         break
-                    part = (n_of >= low) & (n_of < high)
-                    m = part[owner]
-                    if m.any():
-                        parts.append(signatures(owner[m], h[m], np.where(part, n_of, 0), threshold, ring))
-                o, k, g = (np.concatenate(x) for x in zip(*parts))
-                where = (k % U(buckets)).astype(np.int64)
-                by = _ordered(where * len(ids) + o)
-                where, o, k, g = where[by], o[by], ((k[by] >> U(24)) & U(0xFFFFFFFF)).astype(np.uint32), np.minimum(g[by], 65535).astype(np.uint16)
-                edges = np.searchsorted(where, np.arange(buckets + 1))
-                cols = [[] for _ in PACKED]
-                for i in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
-                    x, z = edges[i], edges[i + 1]
-                    who, count = np.unique(o[x:z], return_counts=True)
-                    for c, v in zip(cols, (i, ids[who].astype(np.int64).tobytes(), n_of[who].astype(np.uint32).tobytes(), count.astype(np.uint32).tobytes(), k[x:z].tobytes(), g[x:z].tobytes())):
-                        c.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32())] + [pa.array(c, pa.binary()) for c in cols[1:]], names=PACKED)
-
-    return reps.select("doc", "text").mapInArrow(run, POSTS)
+                    part = (n >= low) & (n < high)
+                    m = slice(None) if part.all() else part[owner]
+                    o, k, g = signatures(owner[m], h[m], np.where(part, n, 0), threshold, ring)
+                    where = (k % U(whole)).astype(np.int64) - buckets.start
+                    here = np.flatnonzero((where >= 0) & (where < len(buckets)))
+                    parts.append((where[here], o[here] + at, k[here], g[here]))
+                at += few.num_rows
+            where, o, k, g = (np.concatenate(x) for x in zip(*parts))
+            by = _ordered(where * len(ids) + o)
+            where, o, k, g = where[by], o[by], ((k[by] >> U(24)) & U(0xFFFFFFFF)).astype(np.uint32), g[by]
+            g = (g // part_of(n_of[o], threshold)).astype(np.uint8)
+            edges = np.searchsorted(where, np.arange(len(buckets) + 1))
+            cols = [[] for _ in PACKED]
+            for i in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
+                x, z = edges[i], edges[i + 1]
+                first = np.flatnonzero(np.diff(o[x:z], prepend=-1))
+                who, count = o[x:z][first], np.diff(first, append=z - x)
+                for c, v in zip(cols, (buckets[i], steps(ids[who]), steps(n_of[who]), planes(count.astype(np.uint32)), k[x:z].tobytes(), g[x:z].tobytes())):
+                    c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32())] + [pa.array(c, pa.binary()) for c in cols[1:]], names=PACKED)
+
+
+def postings(reps: DataFrame, sent, buckets: range, whole: int, threshold: float) -> DataFrame:
+    """``postings_of`` all records; ``sent``: the broadcast order."""
+    return reps.select("doc", "text").mapInArrow(lambda batches: postings_of(batches, sent.value, buckets, whole, threshold), POSTS)
+
+
+def plan(reps: DataFrame, sent, rows: int, tokens: int, threshold: float) -> tuple[int, int]:
+    """(rounds, buckets in a round) by the keys of a sample; both only share out the work."""
+    some = reps.sample(min(1.0, SAMPLE / max(1, rows)), seed=1)
+
+    def run(batches):
+        for b in postings_of(batches, sent.value, range(1), 1, threshold):
+            yield pa.RecordBatch.from_arrays([pa.array([len(unplaned(v.as_py(), np.uint32)) for v in b.column("counts")], pa.int64()), pa.array([len(v.as_py()) for v in b.column("spent")], pa.int64())], names=["records", "keys"])
+
+    got = some.select("doc", "text").mapInArrow(run, "records bigint, keys bigint").agg(F.sum("records").alias("records"), F.sum("keys").alias("keys")).first()
+    each = got["keys"] / got["records"] if got["records"] else 0
+    buckets = max(8, math.ceil(each * rows / PER_BUCKET))
+    entries = buckets * (1 - (1 - 1 / buckets) ** each)
+    size = rows * (KEY_BYTES * each + ENTRY_BYTES * entries)
+    rounds = min(ROUNDS, max(1, math.ceil(size / max(ROUND_BYTES, ROUND_SHARE * tokens))))
+    return rounds, max(8, math.ceil(buckets / rounds))
 
 
 def key_pairs(key: np.ndarray, n: np.ndarray, g: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -296,20 +402,22 @@ def shared_keys(post: DataFrame, parts: int, threshold: float) -> DataFrame:
         edges = np.searchsorted(part, np.arange(parts + 1))
         some = np.flatnonzero(edges[1:] > edges[:-1])
         cut_at = [(edges[i], edges[i + 1]) for i in some.tolist()]
-        return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32))] + [pa.array([v[a:z].tobytes() for a, z in cut_at], pa.binary()) for v in (d1, d2, count)], names=["part", "d1", "d2", "counts"])
+        cols = [steps(d1[a:z]) for a, z in cut_at], [planes(d2[a:z] - d1[a:z]) for a, z in cut_at], [count[a:z].tobytes() for a, z in cut_at]
+        return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32))] + [pa.array(c, pa.binary()) for c in cols], names=["part", "d1", "d2", "counts"])
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (np.int64, np.uint32, np.uint32, np.uint32, np.uint16)
-        got = [[] for _ in kinds]
+        read = (unstepped, unstepped, lambda v: unplaned(v, np.uint32), lambda v: np.frombuffer(v, np.uint32), lambda v: np.frombuffer(v, np.uint8))
+        got = [[] for _ in read]
         for b in batches:
-            for into, name, kind in zip(got, PACKED[1:], kinds):
-                into += [np.frombuffer(v.as_py(), dtype=kind) for v in b.column(name)]
+            for into, name, one in zip(got, PACKED[1:], read):
+                into += [one(v.as_py()) for v in b.column(name)]
         docs, size, count, keys, spent = (np.concatenate(x) for x in got)
         del got
         docs, inverse = np.unique(docs, return_inverse=True)
         doc, n = np.repeat(inverse, count), np.repeat(size, count)
-        by = np.argsort((keys.astype(np.uint64) << U(32)) | n)
-        keys, doc, n, spent = keys[by], doc[by], n[by].astype(np.int64), spent[by].astype(np.int64)
+        by = np.argsort((keys.astype(np.uint64) << U(32)) | n.astype(np.uint64))
+        keys, doc, n, spent = keys[by], doc[by], n[by], spent[by].astype(np.int64)
+        spent *= part_of(n, threshold)
         held, size = [], 0
         for x, y in key_pairs(keys, n, spent, threshold):
             if not len(x):
@@ -327,8 +435,8 @@ def shared_keys(post: DataFrame, parts: int, threshold: float) -> DataFrame:
     return post.groupBy("bucket").applyInArrow(run, PAIRS)
 
 
-def candidates(shared: DataFrame) -> DataFrame:
-    """(d1, d2): pairs that share COMMON keys over all buckets."""
+def candidates(shared: DataFrame, least: int) -> DataFrame:
+    """(d1, d2): pairs that share so many keys over the buckets."""
 
     def counted(d1, d2, n):
         order = np.argsort(mix(d1.view(np.uint64) + mix(d2.view(np.uint64))), kind="stable")
@@ -342,15 +450,16 @@ def candidates(shared: DataFrame) -> DataFrame:
         held, size = [], 0
         for b in batches:
             for row in zip(b.column("d1"), b.column("d2"), b.column("counts")):
-                held.append(tuple(np.frombuffer(v.as_py(), dtype=k) for v, k in zip(row, (np.int64, np.int64, np.uint8))))
+                d1 = unstepped(row[0].as_py())
+                held.append((d1, d1 + unplaned(row[1].as_py(), np.int64), np.frombuffer(row[2].as_py(), dtype=np.uint8)))
                 size += len(held[-1][0])
                 if size > 4 * HELD:
                     held = [counted(*(np.concatenate([h[i] for h in held]).astype(np.int64) for i in range(3)))]
                     size = len(held[0][0])
         d1, d2, n = counted(*(np.concatenate([h[i] for h in held]).astype(np.int64) for i in range(3)))
-        yield pa.RecordBatch.from_arrays([pa.array(d1[n >= COMMON]), pa.array(d2[n >= COMMON])], names=["d1", "d2"])
+        yield pa.RecordBatch.from_arrays([pa.array(d1[n >= least]), pa.array(d2[n >= least])], names=["d1", "d2"])
 
-    return shared.groupBy("part").applyInArrow(run, "d1 bigint, d2 bigint").dropDuplicates(["d1", "d2"])
+    return shared.groupBy("part").applyInArrow(run, "d1 bigint, d2 bigint")
 
 
 def chain_ok(diff: np.ndarray, budget: np.ndarray) -> np.ndarray:
@@ -398,7 +507,15 @@ def pair_check(one: list[str], two: list[str], threshold: float) -> np.ndarray:
 
 def full_check(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     """(rep1, rep2, similarity) of the candidates whose true sets are alike. Sizes of what comes out of Python are unknown
-    to the planner, so both joins are shuffled whatever it thinks of them."""
+    to the planner, so both joins are shuffled whatever it thinks of them; a Bloom filter spares texts of no candidate."""
+    spark = reps.sparkSession
+    sent = spark.sparkContext.broadcast(bloom.build(pairs.select(F.explode(F.array("d1", "d2")).alias("doc")).distinct().select(F.xxhash64("doc").alias("h"))))
+
+    @F.arrow_udf("boolean")
+    def asked(h: pa.Array) -> pa.Array:
+        return pa.array(bloom.maybe(sent.value, h.to_numpy(zero_copy_only=False)))
+
+    reps = reps.where(asked(F.xxhash64("doc")))
     one = reps.select(F.col("doc").alias("d1"), F.col("rep").alias("rep1"), F.col("text").alias("t1"))
     two = reps.select(F.col("doc").alias("d2"), F.col("rep").alias("rep2"), F.col("text").alias("t2"))
 
@@ -416,9 +533,16 @@ def full_check(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame
     return joined.select("rep1", "rep2", "t1", "t2").mapInArrow(run, "rep1 string, rep2 string, similarity double")
 
 
+def text_key() -> list[Column]:
+    """128 bits of hash that stand for the text."""
+    return [F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2")]
+
+
 def classes(records: DataFrame) -> DataFrame:
-    """(doc, rep, copies, text): one row per distinct text, its smallest id and how many ids have it. ``records``: id, text."""
-    return records.groupBy("text").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).select(F.xxhash64("rep").alias("doc"), "rep", "copies", "text")
+    """(doc, rep, copies, t1, t2, text): one row per distinct text, its smallest id and how many ids have it, texts of like
+    size side by side; to be kept before it is read twice, as it numbers the rows. ``records``: id, text."""
+    per = records.select("id", "text", *text_key()).groupBy("t1", "t2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.min("text").alias("text"))
+    return per.sortWithinPartitions(F.char_length("text")).select(F.monotonically_increasing_id().alias("doc"), "rep", "copies", "t1", "t2", "text")
 
 
 def records(df: DataFrame, key: str, *parts: str) -> DataFrame:
@@ -429,25 +553,34 @@ def records(df: DataFrame, key: str, *parts: str) -> DataFrame:
 def similar_classes(reps: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(rep1, rep2, similarity) of all pairs of different texts that are alike; ``reps`` is read several times."""
     t = settings.threshold
-    tokens = reps.agg(F.coalesce(F.sum(F.char_length("text")), F.lit(0)).alias("n")).first()["n"]
-    buckets = max(8, math.ceil(tokens / 2 / PER_BUCKET))
-    post = postings(reps, token_order(reps, tokens), buckets, t)
-    return full_check(candidates(shared_keys(post, 8 * buckets, t)), reps, t).dropDuplicates(["rep1", "rep2"])
+    spark = reps.sparkSession
+    size = reps.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.char_length("text")), F.lit(0)).alias("chars")).first()
+    tokens, pairs = size["chars"], None
+    with freed(spark):
+        sent = spark.sparkContext.broadcast(token_order(reps, tokens))
+        rounds, per = plan(reps, sent, size["rows"], tokens, t)
+        for r in range(rounds):
+            post = postings(reps, sent, range(r * per, (r + 1) * per), rounds * per, t)
+            found = candidates(shared_keys(post, 4 * per, t), math.ceil(COMMON / rounds))
+            pairs = once(found if pairs is None else pairs.unionByName(found).dropDuplicates(["d1", "d2"]))
+        return full_check(pairs, reps, t)
 
 
 def members(recs: DataFrame, reps: DataFrame) -> DataFrame:
     """(id, rep, copies) of the ids whose text several ids have; salted, as one text may have a third of all ids."""
-    several = reps.where("copies > 1").select(F.xxhash64("text").alias("th"), F.col("text").alias("rtext"), "rep", "copies", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    side = recs.select("id", "text", F.xxhash64("text").alias("th"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
-    return side.hint("merge").join(several.hint("merge"), ["th", "salt"]).where("text = rtext").select("id", "rep", "copies")
+    several = reps.where("copies > 1").select("t1", "t2", "rep", "copies", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    side = recs.select("id", *text_key(), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
+    return side.hint("merge").join(several.hint("merge"), ["t1", "t2", "salt"]).select("id", "rep", "copies")
 
 
 def alike_pairs(recs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(id1, id2) of all alike pairs of ids, smaller id first; large classes of equal texts as links to their smallest id."""
-    reps = cut(classes(recs))
-    long = reps.where(F.char_length("text") >= WIDTH)
-    links = cut(similar_classes(long, settings).select("rep1", "rep2"))
-    own = cut(members(recs, long))
+    with freed(recs.sparkSession), ExitStack() as at_end:
+        with stored(recs) as kept:
+            reps = at_end.enter_context(stored(classes(kept)))
+            long = reps.where(F.char_length("text") >= WIDTH)
+            own = once(members(kept, long))
+        links = once(similar_classes(long, settings).select("rep1", "rep2"))
     small = own.where(F.col("copies") <= settings.expand)
     others = small.where("id <> rep").hint("merge")
     first = links.hint("merge").join(others.select(F.col("rep").alias("rep1"), F.col("id").alias("x1")), "rep1").select(F.col("x1").alias("rep1"), "rep2")
@@ -463,19 +596,22 @@ def alike_pairs(recs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 def memberships(recs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(id, class_id, copies, links, group_id): every id with the smallest id of its text, how many ids have that text, to how
     many other ids it is alike, and the smallest id of all that are linked to it by chains of likeness."""
-    reps = cut(classes(recs))
-    long = reps.where(F.char_length("text") >= WIDTH)
-    pairs = cut(similar_classes(long, settings).select("rep1", "rep2"))
+    with freed(recs.sparkSession), ExitStack() as at_end:
+        with stored(recs) as kept:
+            reps = at_end.enter_context(stored(classes(kept)))
+            recs = once(kept.select("id").hint("merge").join(members(kept, reps).select("id", "rep").hint("merge"), "id", "left").select("id", F.coalesce("rep", "id").alias("rep")))
+        pairs = once(similar_classes(reps.where(F.char_length("text") >= WIDTH), settings).select("rep1", "rep2"))
+        reps = cut(reps.select("rep", "copies", (F.char_length("text") >= WIDTH).alias("long")))
+    long = reps.where("long")
     both = pairs.unionByName(pairs.select(F.col("rep2").alias("rep1"), F.col("rep1").alias("rep2")))
     size = long.select(F.col("rep").alias("rep2"), "copies").hint("merge")
     near = both.hint("merge").join(size, "rep2").groupBy("rep1").agg(F.sum("copies").alias("near")).withColumnRenamed("rep1", "rep")
     group = groups(pairs.select(F.col("rep1").alias("id1"), F.col("rep2").alias("id2"))).withColumnRenamed("id", "rep")
     per = reps.hint("merge").join(near.hint("merge"), "rep", "left").hint("merge").join(group.hint("merge"), "rep", "left")
-    alone = F.when(F.char_length("text") >= WIDTH, F.col("copies") - 1).otherwise(0)
+    alone = F.when(F.col("long"), F.col("copies") - 1).otherwise(0)
     per = per.select("rep", "copies", (alone + F.coalesce("near", F.lit(0))).alias("links"), F.coalesce("group_id", "rep").alias("group_id"))
-    ids = recs.select("id").hint("merge").join(members(recs, reps).select("id", "rep").hint("merge"), "id", "left").select("id", F.coalesce("rep", "id").alias("rep"))
     salted = per.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    out = ids.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).hint("merge").join(salted.hint("merge"), ["rep", "salt"])
+    out = recs.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).hint("merge").join(salted.hint("merge"), ["rep", "salt"])
     return out.select("id", F.col("rep").alias("class_id"), "copies", "links", "group_id")
 
 

@@ -6,12 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparloom.llm import neardup
-from sparloom.session import cut
 from sparloom.sources.tables import table
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
-    return cut(neardup.records(table(spark, d, "qa_pairs"), "qa_id", "question", "answer", "instruction"))
+    return neardup.records(table(spark, d, "qa_pairs"), "qa_id", "question", "answer", "instruction")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

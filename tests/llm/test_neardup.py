@@ -1,5 +1,9 @@
 import itertools
+import os
 import random
+import threading
+import time
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -114,3 +118,65 @@ def test_groups(spark):
 @pytest.mark.parametrize("name", sorted(q_neardup.QUERIES))
 def test_queries_run(spark, small, name):
     assert q_neardup.QUERIES[name](spark, small).count() >= 0
+
+
+def on_disk(*folders):
+    total = 0
+    for top in folders:
+        for at, _, files in os.walk(top):
+            for f in files:
+                try:
+                    total += os.stat(os.path.join(at, f)).st_blocks * 512
+                except OSError:
+                    pass
+    return total
+
+
+@pytest.mark.parametrize("way", [N.alike_pairs, N.memberships])
+def test_disk_stays_within_four_times_the_input(spark, tmp_path, monkeypatch, way):
+    """Shuffles, checkpoints and texts kept beside them, at their peak, against the table's Parquet."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 9))) for _ in range(4000)]
+    rows = []
+    for i in range(4000):
+        w = [rng.choice(words) for _ in range(70)]
+        rows += [(f"a{i:05}", " ".join(w)), (f"b{i:05}", " ".join(w[:30] + w[31:]))]
+    path = str(tmp_path / "in.parquet")
+    spark.createDataFrame(rows, "k string, text string").repartition(2).write.parquet(path)
+    monkeypatch.setattr(N, "ROUND_BYTES", 1, raising=False)
+    folders = [str(d) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()] + [spark.conf.get("spark.checkpoint.dir")]
+    spark._jvm.System.gc()
+    time.sleep(1)
+    floor, peak, done = on_disk(*folders), [0], threading.Event()
+
+    def watch():
+        while not done.wait(0.05):
+            peak[0] = max(peak[0], on_disk(*folders) - floor)
+
+    seen = threading.Thread(target=watch)
+    seen.start()
+    try:
+        way(N.records(spark.read.parquet(path), "k", "text")).write.format("noop").mode("overwrite").save()
+    finally:
+        done.set()
+        seen.join()
+    assert 0 < peak[0] <= 4 * on_disk(path)
+
+
+def test_packed_numbers_come_back():
+    a = np.array([5, 3, 2**40, -7, 2**40 + 1], dtype=np.int64)
+    assert (N.unstepped(N.steps(a)) == a).all() and (N.unplaned(N.planes(a.astype(np.uint32)), np.uint32) == a.astype(np.uint32)).all()
+
+
+def test_rounds_give_the_pairs_of_one(spark, monkeypatch):
+    rng = random.Random(8)
+    words = [rng.choice("abcdef") * 2 + str(k) for k in range(50)]
+    rows = []
+    for i in range(80):
+        w = [rng.choice(words) for _ in range(rng.choice([6, 15, 40, 120]))]
+        rows += [(f"a{i}", " ".join(w)), (f"b{i}", " ".join(w[3:] + w[:3])), (f"c{i}", " ".join(w[: int(len(w) * 0.8)]))]
+    r = recs(spark, [(k, v, 0, "") for k, v in rows])
+    for most in (1, 5, 8):
+        monkeypatch.setattr(N, "plan", lambda *_, m=most: (m, 8))
+        assert {(p.id1, p.id2) for p in N.alike_pairs(r).collect()} == brute(rows)
+    assert not list(Path(spark.conf.get("spark.checkpoint.dir")).rglob("near-*"))
